@@ -1,0 +1,11 @@
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
