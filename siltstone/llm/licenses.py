@@ -34,7 +34,7 @@ TEMPLATES = (
     ("reserved", "copyright all rights reserved"),
 )
 #: Words of a k-gram; k-grams that a template needs at least, as a share; how far apart merged diagonals are.
-K, COVER, DRIFT = 3, 0.6, 2
+K, COVER, DRIFT = 3, 0.7, 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
