@@ -62,12 +62,30 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
     own = Tokenizer.from_file(tokenizer_file)
     own.encode_special_tokens = True  # a special token's string in a text is ordinary text
 
+    word, model = own.model.tokenize, byte_letters()
+
     def many(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        """A plain word, with or without the space before it, is one match of the pattern, and goes to the model at once."""
+        out: list[list[int] | None] = []
+        for p in pieces:
+            core = p[1:] if p[:1] == " " else p
+            plain = core.isalpha() and max(core) < "\u0250"
+            out.append([t.id for t in word(p.encode().decode("latin-1").translate(model))] if plain else None)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, e in zip(rest, own.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
 
     return PieceEncoder(many)
 
 
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others, in order, from 256 on."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip([b for b in range(256) if b not in itself], range(256, 512)))
+
+
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
 
 

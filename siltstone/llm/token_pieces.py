@@ -12,6 +12,9 @@ import re
 from collections.abc import Callable, Iterable
 
 BOUNDARY = re.compile(r"(?<=\S) ")
+#: A line break between other characters is a match of its own; so is a run of punctuation after a letter or digit.
+LINE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
+TAIL = re.compile(r"(?<=[^\W_])[!-/:-@\[-`{-~]+\Z")
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -27,44 +30,66 @@ def packed(ids: Iterable[int]) -> bytes:
 
 
 class PieceEncoder:
-    """encode_many maps strings to lists of ids. limit: pieces kept; longer pieces than longest aren't kept."""
+    """encode_many maps strings to lists of ids. limit: pieces kept of either kind; pieces over longest aren't kept.
+
+    Pieces that are new are cut further where that is safe as well, at single line breaks between other characters and
+    before punctuation that ends a word, so that what has to be encoded is mostly plain words.
+    """
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 700_000, longest: int = 40):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of pieces that follow a space
+        self.units: dict[str, bytes] = {}  # of the strings that were encoded
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that follow a space, most of them kept."""
-        todo = list(pieces)
-        found = dict(zip(todo, map(packed, self.encode_many([" " + p for p in todo]))))
-        if len(self.memo) + len(found) > self.limit:
-            self.memo.clear()
-        self.memo.update((p, b) for p, b in found.items() if len(p) <= self.longest and p and not p[-1].isspace())
-        return found
+    def _units(self, piece: str) -> list[str]:
+        out = []
+        for k, part in enumerate(LINE_BREAK.split(" " + piece)):
+            if k:
+                out.append("\n")
+            tail = TAIL.search(part)
+            out += [part[: tail.start()], tail[0]] if tail else [part]
+        return out
+
+    def _encoded(self, wanted: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units."""
+        units, new = self.units, set()
+        for parts in wanted:
+            new.update(u for u in parts if u not in units)
+        todo = list(new)
+        found = dict(zip(todo, map(packed, self.encode_many(todo)))) if todo else {}
+        out = [b"".join([found[u] if u in found else units[u] for u in parts]) for parts in wanted]
+        if len(units) + len(found) > self.limit:
+            units.clear()
+        units.update((u, b) for u, b in found.items() if len(u) <= self.longest)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
-        split, heads, missing, memo = [], [], set(), self.memo
+        memo = self.memo
+        if len(memo) > self.limit:
+            memo.clear()
+        split, heads, missing = [], [], set()
         for text in texts:
             pieces = text.split(" ")
-            new = {p for p in pieces[1:] if p not in memo}
-            if pieces[0][-1:].isspace() or any(not p or p[-1].isspace() for p in new):
+            head = pieces.pop(0)
+            new = set(pieces).difference(memo)
+            if head[-1:].isspace() or any(not p or p[-1].isspace() for p in new):
                 pieces = BOUNDARY.split(text)
-                new = {p for p in pieces[1:] if p not in memo}
-            heads.append(pieces[0])
+                head = pieces.pop(0)
+                new = set(pieces).difference(memo)
+            heads.append(head)
             split.append(pieces)
             missing |= new
-        found = {}
-        if missing:
-            known = {p: memo[p] for pieces in split for p in pieces[1:] if p in memo} if len(memo) + len(missing) > self.limit else None
-            found = self._learn(missing) | (known or {})
-        first = map(packed, self.encode_many(heads))
+        todo = list(missing)
+        found = dict(zip(todo, self._encoded([self._units(p) for p in todo])))
+        heads = self._encoded([[head] for head in heads])
+        memo.update((p, b) for p, b in found.items() if p and len(p) <= self.longest and "\n" not in p and not p[-1].isspace())
         out = []
-        for head, pieces in zip(first, split):
+        for head, pieces in zip(heads, split):
             try:
-                out.append(head + b"".join(map(memo.__getitem__, pieces[1:])))
+                out.append(head + b"".join(map(memo.__getitem__, pieces)))
             except KeyError:
-                out.append(head + b"".join([memo[p] if p in memo else found[p] for p in pieces[1:]]))
+                out.append(head + b"".join([memo[p] if p in memo else found[p] for p in pieces]))
         return out
 
 
