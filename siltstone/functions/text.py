@@ -135,7 +135,7 @@ def found(text: Column, pattern: str) -> Column:
 def terms(text: Column, families: tuple[str, ...] = TERMS) -> Column:
     """The distinct clinical terms of a text, in lower case."""
     low = F.lower(text)
-    return let(low, lambda t: F.array_distinct(F.transform(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in families])), F.trim)))
+    return let(low, lambda t: F.array_distinct(F.transform(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in families])), lambda x: F.trim(x))))
 
 
 def token_f1(generated: Column, reference: Column) -> Column:
@@ -210,7 +210,7 @@ def doc_citations(text: Column) -> Column:
     """The normalised names in square brackets, parted by semicolons or commas, that have a letter."""
     inside = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+?)\]"), F.lit(1))
     parts = F.flatten(F.transform(inside, lambda x: F.split(x, r"[;,]\s*")))
-    named = F.filter(F.transform(parts, F.trim), lambda p: p.rlike("[A-Za-z]"))
+    named = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p.rlike("[A-Za-z]"))
     clean = lambda p: squeezed(F.regexp_replace(F.regexp_replace(F.lower(p), r"\.(md|json|pdf|txt)$", ""), r"[_\-]+", " "))
     return F.array_distinct(F.filter(F.transform(named, clean), lambda p: p != ""))
 
@@ -295,7 +295,7 @@ def answers_match(predicted: Column, expected: Column) -> tuple[Column, Column]:
 
 def coerce_options(raw: Column) -> Column:
     """Options from one delimited text: by ||, by lines (two at least), or by |; else null."""
-    parts = lambda sep: F.filter(F.transform(F.split(raw, sep), F.trim), lambda x: x != "")
+    parts = lambda sep: F.filter(F.transform(F.split(raw, sep), lambda x: F.trim(x)), lambda x: x != "")
     lines = parts("\n")
     return F.when(F.contains(raw, F.lit("||")), parts(r"\|\|")).when(F.size(lines) >= 2, lines).when(F.contains(raw, F.lit("|")), parts(r"\|"))
 
@@ -344,7 +344,7 @@ def question_kind(text: Column) -> Column:
 def section_heading(text: Column) -> Column:
     """A # or ** heading among the first five lines, else the first line over 20 characters that is no tag, cut at 100,
     else Content (X34)."""
-    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5), F.trim)
+    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 5), lambda x: F.trim(x))
     bold = lambda x: x.startswith("**") & x.endswith("**")
 
     def of(ls: Column) -> Column:

@@ -32,6 +32,13 @@ class KeywordIndex:
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
+    def persisted(self) -> KeywordIndex:
+        """The same, kept for plans that read it many times and do not write it; each part spills to disk as needed."""
+        from pyspark import StorageLevel
+
+        postings = self.postings.persist(StorageLevel.MEMORY_AND_DISK)
+        return KeywordIndex(postings, self.documents.persist(StorageLevel.MEMORY_AND_DISK), term_stats(postings, self.documents).persist(StorageLevel.MEMORY_AND_DISK))
+
     @staticmethod
     def read(spark, path: str) -> KeywordIndex:
         return KeywordIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "terms")))
