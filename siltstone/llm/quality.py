@@ -25,6 +25,8 @@ from siltstone.llm.toxicity import chosen, held_out, presence, word_buckets
 MAX_LABELLED, MAX_POOL, ROUNDS, PASSED_ON = 6_000, 6_000, 4, 300
 #: Hashed one-hot places of source and language, and numeric parts of the metadata.
 PLACES, NUMBERS = 256, 8
+#: Hashed words that are features of the content view.
+FEATURES = 400
 
 
 def metadata(text: str, lang: str | None, source: str | None) -> np.ndarray:
@@ -97,7 +99,7 @@ def co_train(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, rounds: i
         flat = (Linear(np.zeros(1), sure), Linear(np.zeros(meta.shape[1]), sure))
         return Model(np.zeros(1, np.int64), flat, ((1.0, 0.0), (1.0, 0.0)))
     aside, learnt = known[3::4], np.delete(known, np.s_[3::4])
-    buckets = chosen([words[i] for i in learnt if y[i] == 0], [words[i] for i in learnt if y[i] == 1])
+    buckets = chosen([words[i] for i in learnt if y[i] == 0], [words[i] for i in learnt if y[i] == 1], FEATURES)
     x = (presence(words, buckets), meta)
     taught = [{int(i): int(y[i]) for i in learnt} for _ in x]
     free = set(np.flatnonzero(y < 0).tolist())

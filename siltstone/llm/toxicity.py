@@ -26,7 +26,7 @@ from siltstone.llm.common import text_of
 #: Sample bounds of the fit, in documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 #: Words are hashed to so many bits; so many of them are features of the model.
-BITS, FEATURES = 20, 400
+BITS, FEATURES = 20, 100
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -82,7 +82,7 @@ def presence(texts: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 8) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-3, seed: int = 8) -> Model:
     """The non-negative risk is minimised by Adam over mini-batches, with the logistic loss; where a batch's negative
     part falls below zero, the step goes up its gradient instead. Without positives the model scores all texts 0."""
     if not positive or not unlabelled:
@@ -113,7 +113,22 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(buckets, w[:-1], float(w[-1]))
+    return Model(buckets, w[:-1], float(w[-1]) - threshold(xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1], prior))
+
+
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut between logits of the least non-negative risk of wrong decisions, and of such cuts the widest.
+
+    The logistic fit separates the classes but is unsure of texts with few telling words; the cut says where, by the
+    class prior, the unlabelled texts above are no more than the positives account for.
+    """
+    every = np.unique(np.r_[positive, unlabelled])
+    cuts, width = np.r_[every[:1] - 1, (every[1:] + every[:-1]) / 2, every[-1:] + 1], np.r_[0.0, np.diff(every), 0.0]
+    above = lambda z: 1 - np.searchsorted(np.sort(z), cuts) / len(z)
+    found = above(positive)
+    risk = prior * (1 - found) + np.maximum(0, above(unlabelled) - prior * found)
+    best = np.flatnonzero(risk <= risk.min() + 0.002)
+    return float(cuts[best[np.argmax(width[best])]])
 
 
 def held_out() -> Column:
