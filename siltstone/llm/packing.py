@@ -68,9 +68,16 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
         """A plain word, with or without the space before it, is one match of the pattern, and goes to the model at once."""
         out: list[list[int] | None] = []
         for p in pieces:
-            core = p[1:] if p[:1] == " " else p
-            plain = core.isalpha() and max(core) < "\u0250"
-            out.append([t.id for t in word(p.encode().decode("latin-1").translate(model))] if plain else None)
+            spaced = p[:1] == " "
+            core = p[1:] if spaced else p
+            if not core.isalpha():
+                out.append(None)
+            elif core.isascii():
+                out.append([t.id for t in word(SPACE + core if spaced else core)])
+            elif max(core) < "\u0250":
+                out.append([t.id for t in word(p.encode().decode("latin-1").translate(model))])
+            else:
+                out.append(None)
         rest = [k for k, ids in enumerate(out) if ids is None]
         if rest:
             for k, e in zip(rest, own.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
@@ -80,6 +87,10 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
     return PieceEncoder(many)
 
 
+#: The space as byte-level vocabularies write it.
+SPACE = "\u0120"
+
+
 def byte_letters() -> dict[int, int]:
     """How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others, in order, from 256 on."""
     itself = [*range(33, 127), *range(161, 173), *range(174, 256)]

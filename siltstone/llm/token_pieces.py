@@ -42,8 +42,10 @@ class PieceEncoder:
         self.units: dict[str, bytes] = {}  # of the strings that were encoded
 
     def _units(self, piece: str) -> list[str]:
+        if piece.isalpha():
+            return [" " + piece]
         out = []
-        for k, part in enumerate(LINE_BREAK.split(" " + piece)):
+        for k, part in enumerate(LINE_BREAK.split(" " + piece) if "\n" in piece else (" " + piece,)):
             if k:
                 out.append("\n")
             tail = TAIL.search(part)
