@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm.common import HOT_SHARE, materialise
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) for every node of edges(a, b); alternating large and small stars.
 
-    Only minima are gathered per node, so a node with very many edges is pre-aggregated like any other, and the join
-    that sends a node's minimum to its edges is one that adaptive execution can split.
+    Only minima are gathered per node, so a node with very many edges is pre-aggregated like any other. The minima are
+    written before they meet the edges again: of nodes with over 1/HOT_SHARE of all edges they are broadcast, HOT_SHARE
+    at most, and no task gathers the edges of a hot node.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = None
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), name)
+        large = _with_minima(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, name)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+        small = _with_minima(large, low)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, name)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -32,3 +33,15 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components have not settled")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _with_minima(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges(u, v) with m of their u. A hot node's minimum comes by broadcast; edges of other nodes are shuffled."""
+    total, most = low.agg(F.sum("n"), F.max("n")).first()
+    bound = max((total or 0) // HOT_SHARE, 1000)
+    if (most or 0) <= bound:
+        return edges.join(low.select("u", "m"), "u")
+    hot = F.broadcast(low.filter(F.col("n") > bound).select("u", F.col("m").alias("hot_m")))
+    cold = low.filter(F.col("n") <= bound).select(F.col("u"), "m")
+    at_hot = edges.join(hot, "u").select("u", "v", F.col("hot_m").alias("m"))
+    return at_hot.unionByName(edges.join(hot, "u", "left_anti").join(cold, "u").select("u", "v", "m"))
