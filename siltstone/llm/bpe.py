@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_of
+from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
 from siltstone.llm.token_pieces import PieceEncoder, sliced
 
 #: Pieces of more characters than this are matched by the regex module, whose matching does not recurse on long white space.
@@ -42,6 +42,9 @@ def encoder(rank_file: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(lambda pieces: [encode_one(p) for p in pieces])
 
 
+cache_cleared_by("bpe", encoder.cache_clear)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens`` to the rows of docs.
 
@@ -52,9 +55,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") ->
     rows = docs.select(*others, text_of(text).alias("_bpe_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         own = encoder(rank_file, pattern)
         for batch in batches:
-            ids = [x for part in sliced(batch.column(len(others)).to_pylist()) for x in own.encode(part)]
+            ids = [x for part in sliced(each_text(batch.column(len(others)))) for x in own.encode(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*others, "ids", "n_tokens"])
 
     return rows.mapInArrow(run, rows.drop("_bpe_text").schema.add("ids", "binary").add("n_tokens", "long"))
@@ -70,10 +74,11 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         own, enc = encoder(rank_file, pattern), encoding(rank_file, pattern)
         for batch in batches:
             n, digests, decoded = [], [], []
-            for part in sliced(batch.column(1).to_pylist()):
+            for part in sliced(each_text(batch.column(1))):
                 for ids in own.encode(part):
                     n.append(len(ids) // 4)
                     digests.append(hashlib.sha256(ids).hexdigest())

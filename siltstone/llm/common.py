@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache_cleared_by(name: str, clear: Callable[[], None]) -> None:
+    """Registers what an operator keeps in a Python worker from task to task."""
+    _CACHES[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called by an operator's tasks: workers are used again, and what other operators kept in this one is let go."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
+def each_text(column: pa.Array, rows: int = 64) -> Iterator[str]:
+    """The texts of a batch's column, few of them as Python strings at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

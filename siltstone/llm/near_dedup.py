@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import attach, materialise, text_of
+from siltstone.llm.common import attach, cache_cleared_by, claim, each_text, materialise, text_of
 from siltstone.llm.components import components
 
 SHINGLE = 5
@@ -52,7 +52,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words; so many are kept."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -62,6 +62,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+cache_cleared_by("words", _WORDS.clear)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -95,9 +96,10 @@ def set_digest(x: np.ndarray) -> bytes:
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words")
     for batch in batches:
         n, digests, signatures = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in each_text(batch.column(1)):
             x = shingles(text)
             n.append(len(x))
             digests.append(set_digest(x) if len(x) else None)
@@ -239,9 +241,10 @@ def member_sets(width: int):
     """The shingle sets of texts that are members; of rows that share an id, those with the member's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for batch in batches:
             keep, sets = [], []
-            for k, (text, digest) in enumerate(zip(batch.column(width).to_pylist(), batch.column(0).to_pylist())):
+            for k, (text, digest) in enumerate(zip(each_text(batch.column(width)), batch.column(0).to_pylist())):
                 x = shingles(text)
                 if set_digest(x) == digest:
                     keep.append(k)

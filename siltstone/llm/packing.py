@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import text_of
+from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
 from siltstone.llm.token_pieces import PieceEncoder, sliced
 
 
@@ -87,6 +87,9 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
     return PieceEncoder(many)
 
 
+cache_cleared_by("packing", encoder.cache_clear)
+
+
 #: The space as byte-level vocabularies write it.
 SPACE = "\u0120"
 
@@ -106,11 +109,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, groups: int, length: int = 1024
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         own, count = encoder(tokenizer_file), 0
         for batch in batches:
             names, out = batch.column(0), [[] for _ in range(6)]
             k = 0
-            for part in sliced(batch.column(1).to_pylist()):
+            for part in sliced(each_text(batch.column(1))):
                 for ids in own.encode(part):
                     ids += end
                     n, count = len(ids) // 4, count + 1

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_of
+from siltstone.llm.common import claim, text_of
 from siltstone.llm.toxicity import chosen, held_out, presence, word_buckets
 
 #: Labelled rows and unlabelled texts of the fit, at most; rounds; texts that a view passes on in a round, at most.
@@ -166,13 +166,13 @@ def quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     rows = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("buckets")
         for batch in batches:
             scores = []
-            _, texts, langs, sources = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(texts), 512):
-                part = slice(at, at + 512)
-                meta = np.array([metadata(*x) for x in zip(texts[part], langs[part], sources[part])])
-                scores.append(model.score(presence([word_buckets(t) for t in texts[part]], model.buckets), meta))
+            for at in range(0, batch.num_rows, 512):
+                _, texts, langs, sources = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                meta = np.array([metadata(*x) for x in zip(texts, langs, sources)])
+                scores.append(model.score(presence([word_buckets(t) for t in texts], model.buckets), meta))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -30,16 +30,17 @@ def packed(ids: Iterable[int]) -> bytes:
 
 
 class PieceEncoder:
-    """encode_many maps strings to lists of ids. limit: pieces kept of either kind; pieces over longest aren't kept.
+    """encode_many maps strings to lists of ids. limit: pieces kept (a third as many other strings). Words of more
+    than longest letters, and other pieces of more than mixed characters, rarely come again and are not kept.
 
     Pieces that are new are cut further where that is safe as well, at single line breaks between other characters and
     before punctuation that ends a word, so that what has to be encoded is mostly plain words.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 700_000, longest: int = 40):
-        self.encode_many, self.limit, self.longest = encode_many, limit, longest
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 600_000, longest: int = 20, mixed: int = 12):
+        self.encode_many, self.limit, self.longest, self.mixed = encode_many, limit, longest, mixed
         self.memo: dict[str, bytes] = {}  # of pieces that follow a space
-        self.units: dict[str, bytes] = {}  # of the strings that were encoded
+        self.units: dict[str, bytes] = {}  # of encoded strings that follow no space
 
     def _units(self, piece: str) -> list[str]:
         if piece.isalpha():
@@ -54,16 +55,27 @@ class PieceEncoder:
 
     def _encoded(self, wanted: list[list[str]]) -> list[bytes]:
         """The ids of each list of units."""
-        units, new = self.units, set()
+        units, memo, found = self.units, self.memo, {}
         for parts in wanted:
-            new.update(u for u in parts if u not in units)
-        todo = list(new)
-        found = dict(zip(todo, map(packed, self.encode_many(todo)))) if todo else {}
-        out = [b"".join([found[u] if u in found else units[u] for u in parts]) for parts in wanted]
-        if len(units) + len(found) > self.limit:
+            for u in parts:
+                if u not in found:
+                    found[u] = memo.get(u[1:]) if u[:1] == " " else units.get(u)
+        todo = [u for u, b in found.items() if b is None]
+        new = dict(zip(todo, map(packed, self.encode_many(todo)))) if todo else {}
+        found |= new
+        if len(units) > self.limit // 3:
             units.clear()
-        units.update((u, b) for u, b in found.items() if len(u) <= self.longest)
-        return out
+        for u, b in new.items():
+            if len(u) <= self.longest and not u[-1:].isspace():
+                if u[:1] != " ":
+                    units[u] = b
+                elif 1 < len(u) and u[1:].isalpha():
+                    memo[u[1:]] = b
+        return [b"".join([found[u] for u in parts]) for parts in wanted]
+
+    def clear(self) -> None:
+        self.memo.clear()
+        self.units.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
@@ -85,7 +97,7 @@ class PieceEncoder:
         todo = list(missing)
         found = dict(zip(todo, self._encoded([self._units(p) for p in todo])))
         heads = self._encoded([[head] for head in heads])
-        memo.update((p, b) for p, b in found.items() if p and len(p) <= self.longest and "\n" not in p and not p[-1].isspace())
+        memo.update((p, b) for p, b in found.items() if p and len(p) <= self.mixed and "\n" not in p and not p[-1].isspace())
         out = []
         for head, pieces in zip(heads, split):
             try:
@@ -95,7 +107,7 @@ class PieceEncoder:
         return out
 
 
-def sliced(texts: list[str], chars: int = 400_000) -> Iterable[list[str]]:
+def sliced(texts: Iterable[str], chars: int = 400_000) -> Iterable[list[str]]:
     """Runs of texts of about so many characters, so that the split pieces of few texts are held at once."""
     run, n = [], 0
     for text in texts:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_of
+from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
 
 #: Sample bounds of the fit, in documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
@@ -33,7 +33,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 class Buckets(dict):
     """Hash buckets of words; so many are kept."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         b = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
@@ -43,6 +43,7 @@ class Buckets(dict):
 
 
 _BUCKETS = Buckets()
+cache_cleared_by("buckets", _BUCKETS.clear)
 
 
 def word_buckets(text: str) -> np.ndarray:
@@ -160,7 +161,7 @@ def sample(texts: DataFrame) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_buckets(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["buckets"])
+            yield pa.RecordBatch.from_arrays([pa.array([word_buckets(t).tobytes() for t in each_text(batch.column(0))], pa.binary())], names=["buckets"])
 
     return [np.frombuffer(r[0], np.int32) for r in texts.select("text").mapInArrow(run, "buckets binary").collect()]
 
@@ -171,8 +172,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(*others, text_of().alias("_toxicity_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("buckets")
         for batch in batches:
-            scores = [model.score(word_buckets(t)) for t in batch.column(len(others)).to_pylist()]
+            scores = [model.score(word_buckets(t)) for t in each_text(batch.column(len(others)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*others, "toxicity"])
 
     return rows.mapInArrow(run, rows.drop("_toxicity_text").schema.add("toxicity", "double"))
