@@ -39,10 +39,11 @@ def update(spark: SparkSession, files: DataFrame, path: str, **options) -> DataF
     manifest = spark.read.parquet(f"{path}/manifest")
     config = ingestion_manifest(files.select("source", F.sha2("text", 256).alias("sha256")), {k: str(v) for k, v in options.items()})
     changes = changed(config, manifest, sha="config_sha256").unionByName(changed(config, manifest)).groupBy("source").agg(F.min("change").alias("change"))
+    # written before the manifest it was made from is replaced
+    changes.write.mode("overwrite").parquet(f"{path}/changes")
+    changes = spark.read.parquet(f"{path}/changes")
     kept = spark.read.parquet(f"{path}/chunks").join(changes.select("source"), "source", "left_anti")
     fresh = chunks_of(files.join(changes.filter("change <> 'removed'").select("source"), "source", "left_semi"), **options)
-    changes = changes.persist()
-    changes.count()
     kept.unionByName(fresh).write.mode("overwrite").parquet(f"{path}/chunks-next")
     chunks = spark.read.parquet(f"{path}/chunks-next")
     keyword.build(chunks, text_col="content").write(f"{path}/keyword")
