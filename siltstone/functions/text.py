@@ -100,11 +100,12 @@ def char_grams(text: Column, n: int = 5) -> Column:
     """The distinct character n-grams of normalised text without spaces; a shorter text is one itself."""
     packed = F.replace(normalized(text), F.lit(" "), F.lit(""))
 
-    def grams(s: Column) -> Column:
-        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
-        return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(many)
+    def grams(chars: Column) -> Column:
+        # slices of the array of characters: a substring would be sought from the text's start each time
+        windows = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), ""))
+        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
 
-    return let(packed, grams)
+    return let(F.regexp_extract_all(packed, F.lit("(?s)."), F.lit(0)), grams)
 
 
 def word_grams(words: Column, n: int = 3) -> Column:

@@ -19,6 +19,8 @@ CITATIONS = (
     r"([^,]+?)\s+(?:states?|indicates?|recommends?)\s*\((?:p\.?|page)\s*(\d+)\)",
     r"\[([^\]]+?)\](?!\()",
 )
+#: What a text must have for a form to be sought in it: the forms themselves are slow on long texts without any.
+SIGNS = (r"(?:p\.?|page)\s*\d+\]", r"(?:p\.?|page)\s*\d+\)", r"According to ", r"(?:states?|indicates?|recommends?)\s*\((?:p\.?|page)\s*\d+\)", r"\[")
 UNIT_NUMBER = r"\d+\.?\d*(?:\s*(?:mg|g|kg|ml|mcg|%|days?|hours?|weeks?))?"
 
 
@@ -28,8 +30,9 @@ def citations(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     found = []
     for k, form in enumerate(CITATIONS):
-        names = F.regexp_extract_all(text, F.lit(f"(?i){form}"), F.lit(1))
-        pages = F.regexp_extract_all(text, F.lit(f"(?i){form}"), F.lit(2)) if k < len(CITATIONS) - 1 else F.array_repeat(F.lit(None).cast("string"), F.size(names))
+        seen, none = text.rlike(f"(?i){SIGNS[k]}"), F.array().cast("array<string>")
+        names = F.when(seen, F.regexp_extract_all(text, F.lit(f"(?i){form}"), F.lit(1))).otherwise(none)
+        pages = F.when(seen, F.regexp_extract_all(text, F.lit(f"(?i){form}"), F.lit(2))).otherwise(none) if k < len(CITATIONS) - 1 else F.array_repeat(F.lit(None).cast("string"), F.size(names))
         found.append(F.zip_with(names, pages, lambda n, p: F.struct(F.trim(n).alias("source"), p.cast("int").alias("page"))))
     same = lambda x, y: (F.lower(x["source"]) == F.lower(y["source"])) & x["page"].eqNullSafe(y["page"])
     return let(F.concat(*found), lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), lambda y: same(x, y))))

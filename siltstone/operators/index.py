@@ -16,8 +16,8 @@ from siltstone.functions.text import keyword_tokens
 
 # The Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms up to this number are broadcast to the postings.
-BROADCAST_TERMS = 1_000_000
+#: Questions of an audit up to this number are broadcast with their n-grams.
+BROADCAST_QUESTIONS = 2_000
 
 
 @dataclass(frozen=True)
@@ -100,8 +100,10 @@ def leakage_audit(questions: DataFrame, documents: DataFrame, pool: int = 50, re
     q = asked.withColumn("q_norm", normalized(F.col("q_text"))).withColumn("q_grams", char_grams(F.col("q_text"))).drop("q_text")
     # only the candidates' texts are compared
     ids = pool_rows.select("doc_id").distinct()
-    d = documents.select("doc_id", F.col("text").alias("d_text")).join(ids, "doc_id").withColumn("d_norm", normalized(F.col("d_text"))).withColumn("d_grams", char_grams(F.col("d_text"))).drop("d_text")
-    both = pool_rows.join(q, "query_id").join(d, "doc_id")
+    # the comparison is all the work: a stated number of partitions keeps small shuffles from being merged into one task
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = documents.select("doc_id", F.col("text").alias("d_text")).join(ids, "doc_id").repartition(tasks, "doc_id").withColumn("d_norm", normalized(F.col("d_text"))).withColumn("d_grams", char_grams(F.col("d_text"))).drop("d_text")
+    both = pool_rows.join(d, "doc_id").repartition(tasks, "query_id", "doc_id").join(F.broadcast(q) if q.count() <= BROADCAST_QUESTIONS else q, "query_id")
     exact = (F.col("q_norm") != "") & (F.col("d_norm") != "") & (F.contains(F.col("d_norm"), F.col("q_norm")) | F.contains(F.col("q_norm"), F.col("d_norm")))
     both = both.select("query_id", "doc_id", "score_millionths", exact.alias("exact"), jaccard(F.col("q_grams"), F.col("d_grams")).alias("jaccard"))
     order = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("jaccard"), F.desc("score_millionths"), "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,8 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
         hits = batches.filter("is_original").join(chunks.select("doc_id", "section", "source"), "doc_id").select("query_id", F.col("batch_rank").alias("rank"), "section", "source")
         focus = queries.select("query_id", focus_query(F.col("text")).alias("text"))
         batches = batches.unionByName(round_of(refined(focus, hits, plan), 1))
+    # hits of few ids and numbers, which several of the following steps read
+    batches = batches.persist(StorageLevel.MEMORY_AND_DISK)
     fused = r.fuse_batches(batches.withColumnRenamed("doc_id", "key"), candidates).withColumnRenamed("key", "doc_id").withColumnRenamed("rank", "retrieval_rank")
     rows = fused.join(chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     if scorer is None:
