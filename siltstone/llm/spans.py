@@ -51,7 +51,12 @@ def match_spans(text: Column, pattern: str, value_group: int = 0) -> Column:
 
 
 def masked(text: Column, pattern: str) -> Column:
-    """The text with each match overwritten by as many NUL characters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("\0"), F.length(m)), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    """The text with each match overwritten by as many NUL characters. The text is bound once, so that masks may be
+    nested without the expression growing with each."""
+
+    def cover(t: Column) -> Column:
+        whole = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        parts = F.zip_with(F.split(t, pattern, -1), whole, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("\0"), F.length(m)), F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(parts, "")).otherwise(t)
+
+    return let(text, cover)
