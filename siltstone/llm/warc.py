@@ -263,7 +263,9 @@ def read_packages(packages: DataFrame, columns: list[str] | None = None, range_b
 
     kinds = dict(x.split(" ") for x in RECORD_SCHEMA.split(", "))
     found = ranges(packages, range_bytes)
-    return found.repartition("path", "start").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    # a row stands for megabytes of records: a stated number of partitions is not merged for being small
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "path", "start").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
