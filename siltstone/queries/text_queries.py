@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import parsing, text as T
@@ -133,9 +134,27 @@ CONTEXT = "WITH c AS (SELECT d.doc_id, d.text AS a, b.text AS c FROM documents d
 )
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """n: the place of each item by id, from 0. Places are counted within blocks of 4,096 ids, so that no task sorts all items."""
+    block = F.coalesce(F.floor(F.col("item_id") / 4096), F.lit(-1))
+    items = items.withColumn("block", block)
+    sizes = items.groupBy("block").agg(F.count("*").alias("size"))
+    starts = sizes.select("block", (F.sum("size").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("start"))
+    place = F.row_number().over(W.partitionBy("block").orderBy("item_id", "text")) - 1
+    return items.withColumn("place", place).join(starts, "block").withColumn("n", F.col("start") + F.col("place")).drop("block", "start", "place")
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with one benchmark item: document ids modulo the number of items meet the items' places, so that
+    ids without gaps reach every item, whatever the item ids are. Without any item a document stands alone."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    total = items.agg(F.count("*").alias("n_items"))
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(total)).withColumn("n", F.pmod(F.coalesce("doc_id", F.lit(0)), F.greatest("n_items", F.lit(1))))
+    return docs.drop("n_items").join(_numbered(items).withColumnRenamed("text", "passage"), "n", "left").drop("n")
+
+
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("c"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id")
+    return _paired(spark, sf_dir).select("doc_id", F.col("text").alias("a"), F.col("passage").alias("c"))
 
 
 @query(CONTEXT + f"SELECT doc_id, CAST(floor((CASE WHEN a = '' OR c = '' THEN 0.0 ELSE least(1.0, 0.4 * ({_cover('a_t', 'c_t', '1.0')}) + 0.3 * ({_cover('ag', 'cg', '0.0')}) + 0.3 * ({_cover('an', 'cn', '1.0')})) END) * 1e6 + 0.5) AS BIGINT) AS faithfulness_millionths FROM s")
@@ -197,10 +216,10 @@ def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ground_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    answers = docs.select(F.col("doc_id").alias("answer_id"), cited().alias("answer"), (F.col("doc_id") % 40).alias("item_id"))
-    chunks = answers.select("answer_id", "item_id").join(table(spark, sf_dir, "benchmark"), "item_id").select("answer_id", F.lit(1).alias("rank"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("source"), F.lit(3).alias("page"), F.col("text").alias("content"))
-    return grounding.grounded(answers.drop("item_id"), chunks)
+    pairs = _paired(spark, sf_dir)
+    answers = pairs.select(F.col("doc_id").alias("answer_id"), cited().alias("answer"))
+    chunks = pairs.select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("rank"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("source"), F.lit(3).alias("page"), F.col("passage").alias("content"))
+    return grounding.grounded(answers, chunks)
 
 
 # --- answers -----------------------------------------------------------------------------------------------------
