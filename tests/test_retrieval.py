@@ -117,3 +117,9 @@ def test_prep(spark):
     records = prep.calc_records(calc)
     assert records.count() == 6 and prep.calc_selected(prep.calc_scored(records), 4, 2).count() == 4
     assert [r["sample_id"] for r in prep.calc_selected(prep.calc_scored(records), 2).collect()] == ["calc_006", "calc_005"]
+
+
+def test_collection_stats_counts_all_rows(spark):
+    """One source fills the first 6,000 rows; 40 others and a null one come after it."""
+    rows = spark.range(6041).coalesce(1).select(F.when(F.col("id") < 6000, "hot").when(F.col("id") < 6040, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
+    assert retrieval.collection_stats(rows, F.col("source")).first().asDict() == {"n_chunks": 6041, "n_documents_seen": 41}
