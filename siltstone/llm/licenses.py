@@ -4,7 +4,8 @@ Every rolling k-gram of a text's words is hashed, and the hashes are joined to t
 The templates are fixed phrases of this module, so that side of the join is small at any size of the input and is
 broadcast. A hit votes for its diagonal, the offset of the text's place from the template's; neighbouring diagonals are
 merged, which lets a few words be missing or added; and a span counts when the words of its hits are those of the
-template and the votes cover enough of it.
+template and the votes cover enough of it. Short templates have too few k-grams for that, as one word breaks up to K of
+them: they are also looked for word by word, with one word added, missing or replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ TEMPLATES = (
 )
 #: Words of a k-gram; k-grams that a template needs at least, as a share; how far apart merged diagonals are.
 K, COVER, DRIFT = 3, 0.7, 2
+# Of the templates that one missing word takes below COVER, the words that name the license and always stand.
+NAMING = {
+    "licensed under the apache license version 2 0": ("apache", "2"), "licensed under cc by nc": ("nc",), "licensed under cc by sa": ("sa",),
+    "this work is licensed under the gnu general public license version": ("gnu",), "released under the mit license": ("mit",), "copyright all rights reserved": ("reserved",),
+}
+# Words that make it another license, or none, where one of them is added or put for a word.
+TURNING = ("afl", "agpl", "apache", "bsd", "cc", "gnu", "gpl", "lgpl", "lesser", "affero", "mit", "mpl", "mozilla", "nc", "nd", "no", "non", "not", "sa", "some", "without")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -69,6 +77,32 @@ def phrase_places(w: Column) -> Column:
     return F.concat(*found)
 
 
+def edited_pattern(phrase: str, naming: tuple[str, ...]) -> str:
+    """A pattern of the phrase with one word added inside, missing or replaced, for words that each follow a space. The
+    last word and the naming ones stand, and no turning word comes in."""
+    w = phrase.split()
+    other = f" (?!(?:{'|'.join(TURNING)}) )[^ ]+"
+    rest = ["".join(f" {x}" for x in w[i:]) for i in range(len(w))]
+    out = other + rest[-1]
+    for i in range(len(w) - 2, 0, -1):
+        without = [] if w[i] in naming else [rest[i + 1], other + rest[i + 1]]
+        out = "(?:" + "|".join([f" {w[i]}{out}", other + rest[i], *without]) + ")"
+    # where the first word is missing or replaced, the others stand
+    return f"(?: {w[0]}{out}|{rest[1]}) "
+
+
+def edited_labels(w: Column) -> Column:
+    """The labels of short templates that stand with one word added, missing or replaced. Only texts with the words that
+    always stand are searched."""
+    found = []
+    for label, phrase in TEMPLATES:
+        if phrase in NAMING:
+            parts = phrase.split()
+            seen = _all([F.array_contains(w, x) for x in dict.fromkeys((*NAMING[phrase], parts[-1]))])
+            found.append(F.when(seen, F.when(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).rlike(edited_pattern(phrase, NAMING[phrase])), F.lit(label))))
+    return F.array_compact(F.array(*found))
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -81,17 +115,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty: no words, no labels, score 0. Repeated rows and null ids each keep a row. A text may
     hold a phrase many times; each place counts. score: 1 where a phrase stands in full, else the largest share of a
-    template's k-grams on merged diagonals, also where that is too low for a label. An empty table gives no rows;
+    template's k-grams on merged diagonals, also where that is too low for a label or a short template stands with one
+    word changed. An empty table gives no rows;
     columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), words(text_of()).alias("w"))
-    rows = rows.select("doc_id", "uid", "w", let(F.col("w"), phrase_places).alias("places"))
+    rows = rows.select("doc_id", "uid", "w", let(F.col("w"), phrase_places).alias("places"), let(F.col("w"), edited_labels).alias("edited"))
     grams = let(F.col("w"), lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, K)])), 1, F.greatest(F.size(w) - K + 1, F.lit(0))))
     p = F.transform("places", lambda x: x["p"])
     base = F.struct(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(p).cast("long").alias("first_word"), F.array_max(p).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))).alias("own"),
+        F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))).alias("own"), "edited",
     )
     each = rows.select("uid", base.alias("base"), "w", F.posexplode_outer(grams).alias("p", "h"))
     known = F.broadcast(template_grams(spark))
@@ -108,5 +143,5 @@ def scan(docs: DataFrame) -> DataFrame:
     out = merged.groupBy("uid").agg(F.first("base", ignorenulls=True).alias("base"), F.array_sort(F.collect_set(F.when(share >= COVER, F.col("label")))).alias("others"), F.coalesce(F.max(share), F.lit(0.0)).alias("share"))
     return out.select(
         "base.doc_id", "base.n_words", "base.n_base", "base.first_word", "base.last_word", F.array_join("base.own", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base.own", "others")), ",").alias("labels"), F.when(F.col("base.n_base") > 0, 1.0).otherwise(F.col("share")).alias("score"),
+        F.array_join(F.array_sort(F.array_union(F.array_union("base.own", "base.edited"), "others")), ",").alias("labels"), F.when(F.col("base.n_base") > 0, 1.0).otherwise(F.col("share")).alias("score"),
     )

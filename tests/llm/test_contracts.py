@@ -217,6 +217,25 @@ def test_license_diagonals(spark):
     assert 0 < got[2]["score"] < 0.7 and got[7]["score"] == 0.0
 
 
+def test_license_with_one_word_changed(spark):
+    """Every template keeps its label with a word added in any gap, or any word but the last missing or replaced that does not name it."""
+    cases = []
+    for label, phrase in licenses.TEMPLATES:
+        w, naming = phrase.split(), licenses.NAMING.get(phrase, ())
+        cases += [(label, [*w[:i], "xyz", *w[i:]]) for i in range(1, len(w))]
+        cases += [(label, w[:i] + put + w[i + 1 :]) for i in range(len(w) - 1) if w[i] not in naming for put in ([], ["xyz"])]
+    cases.append(("mit", "licensed under the mit license".split()))
+    rows = [(k, f"A file, {' '.join(w)}; and more.") for k, (_, w) in enumerate(cases)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [" ".join(w) for k, (label, w) in enumerate(cases) if label not in got[k]] == []
+
+
+def test_other_licenses_get_no_label(spark):
+    texts = ["copyright some rights reserved", "released under the license", "released under the BSD license", "licensed under CC BY 4.0", "licensed under the apache license version 1 1", "licensed under the license version 2 0", "licensed under cc by nd sa"]
+    got = [r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["", "", "", "cc-by", "", "", "cc-by"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """English-like texts; toxic ones hold one of a few words, good ones have full lines."""
