@@ -1,115 +1,143 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-A rotation learnt by iterative quantisation on a bounded sample turns vectors into binary codes. Codes split into
-substrings; by the pigeonhole principle a code within Hamming radius r of a query's has a substring within
-r // substrings of the query's, so probing the substrings' tables to that radius retrieves every code within r.
-What is retrieved is ranked by cosine on the original vectors in double precision.
+Rotations learnt by iterative quantisation on a bounded sample turn vectors into binary codes of several hundred bits.
+A code splits into substrings of ``width`` bits, and each substring has a table of its own: the rows of one keyed table,
+whose key is the substring's number and value. A query probes each table with its own value and all that differ from it
+in ``errors`` bits at most. By the pigeonhole principle that retrieves every code within a Hamming distance of
+``substrings * (errors + 1) - 1``; codes farther away are retrieved when any one of the substrings is near enough, which
+the fit makes likely for true neighbours. What is retrieved and lies within ``radius`` on the whole code is ranked by
+cosine on the original vectors in double precision.
 
-Vectors are dealt to blocks of bounded size, each with tables of its own; a block of queries meets each block of
-vectors once. Only the k nearest of a block leave its task.
+Tables and probes meet in a join on the key; no vector is copied to where it is not asked for. The fit takes the width,
+errors and number of substrings that reach the wanted recall on the sample with the fewest rows in the join and after
+it, so the more vectors there are the longer the substrings get, and the smaller the share of codes that a query meets.
+
+Equal vectors are one class from the start: it is indexed once, asks once, and hands on its smallest ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-#: Vectors that the rotation and the radius are fitted on, at most.
-SAMPLE = 8_192
-SUBSTRINGS = 4
-#: Vectors, and queries, that a task holds of one block.
-BLOCK, QUERY_BLOCK = 32_768, 8_192
+from siltstone.llm.common import attach, materialise
+
+#: Vectors that rotations, widths and the radius are fitted on, at most; bits of the shortest and the longest code.
+SAMPLE, MIN_BITS, MAX_BITS = 8_192, 512, 1_536
+#: Share of the sample's neighbours that the tables, and then the radius, must let through.
+PROBED, REACHED = 0.95, 0.995
+#: Classes that ask up to this number are broadcast with their codes (200 bytes each).
+BROADCAST_ASKING = 20_000
+#: Queries of the exact search that a task holds at once.
+EXACT_BLOCK = 2_048
 
 
 @dataclass(frozen=True)
 class Codes:
-    """mean and rotation give a code's bits; radius: how far queries look."""
+    """mean and rotation give a code's bits, in substrings of ``width`` bits, packed in 64-bit words so that none crosses
+    a word. ``substrings`` of them have tables; a code is longer than these where they have fewer than MIN_BITS, as its
+    distance is the filter before floats are read. errors and radius: how far queries look."""
 
     mean: np.ndarray
     rotation: np.ndarray
+    width: int
+    substrings: int
+    errors: int
     radius: int
 
-    def bits(self, x: np.ndarray) -> np.ndarray:
-        """Codes as SUBSTRINGS columns of unsigned integers."""
-        on = (unit(x) - self.mean) @ self.rotation > 0
-        width = on.shape[1] // SUBSTRINGS
-        return (on.reshape(len(on), SUBSTRINGS, width) << np.arange(width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    @property
+    def each(self) -> int:
+        """Substrings in a word."""
+        return 64 // self.width
+
+    @property
+    def length(self) -> int:
+        """Substrings of the whole code."""
+        return max(self.substrings, -(-MIN_BITS // self.width))
+
+    def words(self, x: np.ndarray) -> np.ndarray:
+        """Codes as rows of 64-bit words."""
+        on = bits(unit(x), self.mean, self.rotation[:, : self.width * self.length])
+        value = (on.reshape(len(on), self.length, self.width) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+        out = np.zeros((len(on), -(-self.length // self.each)), np.uint64)
+        for s in range(self.length):
+            out[:, s // self.each] |= value[:, s] << np.uint64(s % self.each * self.width)
+        return out.view(np.int64)
+
+    def masks(self) -> list[int]:
+        """Every pattern of ``errors`` set bits at most."""
+        return [sum(1 << b for b in at) for n in range(self.errors + 1) for at in combinations(range(self.width), n)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Rows of length 1; the largest part is divided out first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def bits(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    return ((x - mean) @ rotation > 0).astype(np.uint64)
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def rotations(x: np.ndarray, total: int, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The mean, and ``total`` directions: one iterative quantisation after another, each from another random start."""
+    mean, dim = x.mean(axis=0), x.shape[1]
+    z = x[rng.permutation(len(x))[:2048]] - mean
+    found = []
+    while sum(t.shape[1] for t in found) < total:
+        turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        for _ in range(rounds):
+            left, _, right = np.linalg.svd(z.T @ np.where(z @ turn > 0, 1.0, -1.0), full_matrices=False)
+            turn = left @ right
+        found.append(turn)
+    return mean, np.concatenate(found, axis=1)[:, :total]
 
 
-def fit(sample: np.ndarray, k: int, reach: float = 0.98, rounds: int = 30, seed: int = 9) -> Codes:
-    """Learns the rotation by iterative quantisation, and the radius that holds the share ``reach`` of the sample's own
-    k nearest neighbours; in all the vectors, neighbours are nearer still. Codes have a multiple of SUBSTRINGS bits."""
+def fit(sample: np.ndarray, k: int, vectors: int, asking: int, rounds: int = 8, seed: int = 9) -> Codes:
+    """Learns the codes from the sample and chooses width, errors and substrings for so many vectors and queries.
+
+    The neighbours are those within the sample; among all vectors they are nearer still, so the recall there is no less.
+    """
     rng = np.random.default_rng(seed)
-    x = unit(sample)
-    mean = x.mean(axis=0)
-    dim = x.shape[1]
-    bits = -(-dim // SUBSTRINGS) * SUBSTRINGS
-    z = x - mean
-    _, basis = np.linalg.eigh(z.T @ z)
-    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0][:dim]
-    v = z @ basis
-    for _ in range(rounds):
-        b = np.where(v @ turn > 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(v.T @ b, full_matrices=False)
-        turn = left @ right
-    codes = Codes(mean, basis @ turn, bits)
-    own, at = codes.bits(sample), rng.permutation(len(x))[:256]
-    near = []
+    x = unit(np.unique(sample, axis=0))
+    mean, turn = rotations(x, MAX_BITS, rounds, rng)
+    own = bits(x, mean, turn).astype(bool)
+    at = rng.permutation(len(x))[:256]
+    pairs = []
     for i in at:
         cosine = x @ x[i]
         cosine[i] = -2
-        top = np.argsort(-cosine)[: min(k, len(x) - 1)]
-        near.append(distance(own[top], own[i]))
-    far = np.concatenate(near) if near else np.zeros(1)
-    return Codes(mean, codes.rotation, int(np.ceil(np.quantile(far, reach))) if len(far) else bits)
-
-
-class Block:
-    """The substring tables of a block of vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        self.codes, self.bits = codes, codes.bits(self.vectors)
-        self.tables = []
-        for s in range(SUBSTRINGS):
-            column = self.bits[:, s]
-            members = np.argsort(column, kind="stable")
-            values, start = np.unique(column[members], return_index=True)
-            self.tables.append((values, np.r_[start, len(column)], members))
-
-    def within(self, code: np.ndarray) -> np.ndarray:
-        """The places of all codes within the radius: buckets within its share are probed, then whole codes compared."""
-        found = np.zeros(len(self.ids), bool)
-        for s, (values, start, members) in enumerate(self.tables):
-            near = np.bitwise_count(values ^ code[s]) <= self.codes.radius // SUBSTRINGS
-            found[members[np.repeat(near, np.diff(start))]] = True
-        found = np.flatnonzero(found)
-        return found[distance(self.bits[found], code) <= self.codes.radius]
-
-    def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> list[tuple[int, float]]:
-        at = self.within(code)
-        at = at[self.ids[at] != query_id]
-        if len(at) < k:
-            at = np.flatnonzero(self.ids != query_id)  # too few in the radius: the block's every vector is ranked
-        score = (self.vectors[at] * query).sum(axis=1) / (self.norms[at] * np.sqrt((query * query).sum()))
-        top = np.lexsort((self.ids[at], -score))[:k]
-        return [(int(self.ids[at[t]]), float(score[t])) for t in top]
+        pairs += [(i, j) for j in np.argsort(-cosine, kind="stable")[: min(k, len(x) - 1)]]
+    if not pairs:
+        return Codes(mean, turn, 8, 1, 0, 8)
+    near = np.array(pairs)
+    near = own[near[:, 0]] != own[near[:, 1]]
+    other = own[rng.integers(0, len(x), 4096)] != own[rng.integers(0, len(x), 4096)]
+    best = None
+    for width in range(6, 25):
+        tables = MAX_BITS // width
+        apart, chance = (d[:, : tables * width].reshape(len(d), tables, width).sum(axis=2) for d in (near, other))
+        for errors in range(4):
+            recall = np.maximum.accumulate(apart <= errors, axis=1).mean(axis=0)
+            enough = np.flatnonzero(recall >= PROBED)
+            n = int(enough[0]) + 1 if len(enough) else tables
+            probes = sum(1 for e in range(errors + 1) for _ in combinations(range(width), e))
+            met = max(np.minimum(1, (chance[:, :n] <= errors).sum(axis=1)).mean(), 1 - (1 - min(1.0, probes / 2**width)) ** n)
+            cost = (recall[n - 1] < PROBED, -min(recall[n - 1], PROBED), vectors * n + asking * n * probes + asking * vectors * met)
+            if best is None or cost < best[0]:
+                best = cost, width, errors, n
+    _, width, errors, n = best
+    codes = Codes(mean, turn, width, n, errors, 0)
+    far = near[:, : codes.length * width].sum(axis=1)
+    return replace(codes, radius=int(np.ceil(np.quantile(far, REACHED))))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -118,41 +146,135 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    rows = rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")) if repeated else rows
+
+
+def parts(column: pa.Array) -> np.ndarray:
+    """A batch's vectors as the rows of a matrix."""
+    flat = column.flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def coded(rows: DataFrame, codes: Codes) -> DataFrame:
+    """vec_id, digest (equal for equal vectors), code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = parts(batch.column(1)) + 0.0  # no negative zeros
+                digests = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in x]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests), pa.array(list(codes.words(x)), pa.list_(pa.int64()))], names=["vec_id", "digest", "code"])
+
+    return rows.mapInArrow(run, "vec_id long, digest string, code array<long>")
+
+
+def keys(codes: Codes) -> Column:
+    """The keys of a code's substrings: number and value."""
+
+    def key(s: Column) -> Column:
+        word = F.get("code", F.floor(s / codes.each).cast("int"))
+        value = F.call_function("shiftrightunsigned", word, (s % codes.each * codes.width).cast("int"))
+        return s.cast("long") * F.lit(1 << codes.width) + value.bitwiseAND(F.lit((1 << codes.width) - 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(codes.substrings - 1)), key)
+
+
+def retrieved(classes: DataFrame, codes: Codes) -> DataFrame:
+    """qid, cid: the classes that each asking class finds in a table and within the radius."""
+    asks = classes.filter("asks")
+    entries = classes.select("cid", F.explode(keys(codes)).alias("key"))
+    masks = F.array(*[F.lit(m).cast("long") for m in codes.masks()])
+    probes = asks.select(F.col("cid").alias("qid"), F.explode(keys(codes)).alias("own")).select("qid", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
+    met = entries.join(probes, "key").select("qid", "cid").repartition("cid").dropDuplicates(["qid", "cid"])
+    asked = asks.select(F.col("cid").alias("qid"), F.col("code").alias("asked"))
+    met = met.join(classes.select("cid", "code"), "cid").join(F.broadcast(asked) if asked.count() <= BROADCAST_ASKING else asked, "qid")
+    words = range(-(-codes.length // codes.each))
+    apart = sum((F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("asked", F.lit(i)))) for i in words), F.lit(0))
+    return met.filter(apart <= codes.radius).select("qid", "cid")
+
+
+def cosines(pairs: DataFrame) -> DataFrame:
+    """qid, cid, score of pairs(qid, cid, q, v): cosine in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = (unit(parts(batch.column(2))) * unit(parts(batch.column(3)))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["qid", "cid", "score"])
+
+    return pairs.select("qid", "cid", "q", "v").mapInArrow(run, "qid long, cid long, score double")
+
+
+def exact(rows: DataFrame, qids: DataFrame, keep: int) -> DataFrame:
+    """qid, vec_id, score: each query's ``keep`` nearest, from all vectors. The queries are taken in blocks of bounded
+    size; of a batch of vectors only each query's nearest leave the task."""
+    found = rows.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
+    asked = materialise(rows.join(qids, F.col("vec_id") == F.col("qid")).select("qid", "v").withColumn("block", F.floor((F.row_number().over(W.orderBy("qid")) - 1) / EXACT_BLOCK)), "nearest-exact")
+    for block in range((asked.agg(F.max("block")).first()[0] + 1) if asked.count() else 0):
+        held = asked.filter(F.col("block") == block).collect()
+        ids, q = np.array([r["qid"] for r in held]), unit(np.array([r["v"] for r in held]))
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vec, x = batch.column(0).to_numpy(), unit(parts(batch.column(1)))
+                out = []
+                for i, y in zip(ids, q):
+                    score = (x * y).sum(axis=1)
+                    out += [(i, vec[t], score[t]) for t in np.lexsort((vec, -score))[:keep]]
+                columns = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])
+
+        found = found.unionByName(rows.select("vec_id", "v").mapInArrow(run, "qid long, vec_id long, score double"))
+    return found
+
+
+def best(rows: DataFrame, n: int, ident: str) -> DataFrame:
+    """Each qid's first n by score, ties to the smaller id."""
+    order = W.partitionBy("qid").orderBy(F.desc("score"), ident)
+    return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """For each vector whose id is divisible by ``every``, its k nearest others by cosine: query_id, rank, vec_id, score.
 
     Vectors that are null or zero, hold null or non-finite parts, or differ in length from most, take no part, nor do
     rows without an id. Ties go to the smaller id. Repeated rows of an id are one vector (of different ones, the least
-    counts). With fewer than k others, all are returned; an empty table gives no rows. Other columns are not read.
+    counts). A query that finds fewer than k in the index is compared with all vectors, so with fewer than k others all
+    are returned; an empty table gives no rows. Other columns are not read.
     """
+    schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vector_col)
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    schema = "query_id long, vec_id long, score double"
     if not first:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes = fit(np.array([r["v"] for r in first]), k)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    count = vectors.count()
-    blocks, query_blocks = max(1, -(-count // block)), max(1, -(-count // every // query_block))
-    h = F.xxhash64("vec_id", F.lit(7))
-    held = rows.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(h, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    asks = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(h, F.lit(query_blocks)).alias("q"))
-
-    def met(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("asks", "ascending"), ("vec_id", "ascending")])
-        ids, asking = table["vec_id"].to_numpy(), table["asks"].to_numpy()
-        v = np.array(table["v"].combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
-        out: list[tuple[int, int, float]] = []
-        if asking.any() and not asking.all():
-            own = Block(ids[~asking], v[~asking], codes)
-            for i, x, code in zip(ids[asking], v[asking], codes.bits(v[asking])):
-                out += [(int(i), j, s) for j, s in own.nearest(int(i), x, code, k)]
-        columns = zip(*out) if out else ((), (), ())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    best = held.unionByName(asks).groupBy("b", "q").applyInArrow(met, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return vectors.sparkSession.createDataFrame([], schema)
+    is_asking = F.col("vec_id") % every == 0
+    total, asking = rows.agg(F.count("*"), F.count_if(is_asking)).first()
+    codes = fit(np.array([r["v"] for r in first]), k, total, asking)
+    every_one = materialise(coded(rows, codes), "nearest-codes")
+    # a class hands on its k + 1 smallest ids: one of them may be the query itself
+    members = every_one.select("digest", "vec_id").withColumn("n", F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    members = members.groupBy("digest").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    classes = every_one.groupBy("digest").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.max(is_asking).alias("asks"), F.first("code").alias("code"))
+    classes = materialise(classes.join(members, "digest"), "nearest-classes")
+    pairs = materialise(retrieved(classes, codes), "nearest-pairs")
+    asked = rows.select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
+    scored = cosines(pairs.join(rows, F.col("cid") == F.col("vec_id")).join(asked, "qid"))
+    # the k + 1 best classes hold the k + 1 best ids
+    ids = best(scored, k + 1, "cid").select("qid", "cid", "score").join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
+    found = materialise(best(ids, k + 1, "vec_id").select("qid", "vec_id", "score"), "nearest-found")
+    number = found.groupBy("qid").agg(F.count("*").alias("n"))
+    wanting = classes.filter("asks").select(F.col("cid").alias("qid")).join(number, "qid", "left").filter(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select("qid")
+    wanting = materialise(wanting, "nearest-wanting")
+    if wanting.limit(1).collect():
+        found = found.join(wanting, "qid", "left_anti").unionByName(best(exact(rows, wanting, k + 1), k + 1, "vec_id").select("qid", "vec_id", "score"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), lambda x: F.struct(x["i"].alias("i"), (-x["s"]).alias("s")))
+    lists = found.groupBy("qid").agg(ranked.alias("near")).join(classes.select("digest", "copies", F.col("cid").alias("qid")), "qid")
+    lists = materialise(lists.select("digest", "copies", "near"), "nearest-lists")
+    queries = every_one.filter(is_asking).select(F.col("vec_id").alias("query_id"), "digest")
+    out = attach(queries, lists, "digest", "copies", F.col("query_id"))
+    own = F.slice(F.filter("near", lambda x: x["i"] != F.col("query_id")), 1, k)
+    return out.select("query_id", F.posexplode(own).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), F.col("x.s").alias("score"))

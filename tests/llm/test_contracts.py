@@ -294,7 +294,7 @@ def test_nearest(spark):
     all_v = np.array([v[i] if i < 400 else v[50] for i in ids]).astype(np.float32).astype(np.float64)
     norm = np.sqrt((all_v**2).sum(1))
     hits = 0
-    for options in ({}, {"block": 100, "query_block": 3}):
+    for options in ({}, {"sample": 100}):
         got = nearest.nearest(df, 50, 5, **options).collect()
         by = {}
         for r in got:
@@ -312,14 +312,56 @@ def test_nearest(spark):
     assert hits >= 0.9 * 2 * 9 * 5
 
 
-def test_codes_within_radius():
+def nearest_brute(rows, every, k):
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = v @ v[q]
+        s[q] = -2
+        out[int(ids[q])] = [int(ids[j]) for j in np.lexsort((ids, -np.round(s, 12)))[:k]]
+    return out
+
+
+def test_nearest_recall(spark):
+    """At least 0.9 of the neighbours that brute force finds over the largest local table."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    want = nearest_brute(duckdb.sql(f"select vec_id, embedding from '{path}'").fetchall(), 50, 5)
+    got = {}
+    for r in nearest.nearest(spark.read.parquet(path)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want)
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_codes_within_radius(spark):
+    """Whatever the fit chose, every code within the distance that the pigeonhole principle covers is retrieved."""
     rng = np.random.default_rng(3)
     v = rng.normal(size=(500, 32))
-    codes = nearest.fit(v, 5)
-    block = nearest.Block(np.arange(500), v, codes)
-    for q in range(0, 500, 50):
-        want = np.flatnonzero(nearest.distance(block.bits, block.bits[q]) <= codes.radius)
-        assert block.within(block.bits[q]).tolist() == want.tolist()
+    codes = nearest.fit(v, 5, 500, 10)
+    for width, substrings, errors in ((codes.width, codes.substrings, codes.errors), (8, 6, 1), (13, 5, 2)):
+        own = nearest.replace(codes, width=width, substrings=substrings, errors=errors, radius=10_000)
+        on = nearest.bits(nearest.unit(v), own.mean, own.rotation[:, : width * substrings])
+        reach = substrings * (errors + 1) - 1
+        rows = [(i, i % 50 == 0, c.tolist()) for i, c in enumerate(own.words(v))]
+        met = nearest.retrieved(spark.createDataFrame(rows, "cid long, asks boolean, code array<long>"), own).collect()
+        found = {(r["qid"], r["cid"]) for r in met}
+        apart = {(q, c): int((on[q] != on[c]).sum()) for q in range(0, 500, 50) for c in range(500)}
+        assert {p for p, n in apart.items() if n <= reach} <= found and len(found) == len(met)
+        tables = lambda x: x.reshape(substrings, width)
+        assert all((tables(on[q]) != tables(on[c])).sum(axis=1).min() <= errors for q, c in found)
+
+
+def test_nearest_few_and_extreme(spark):
+    """Fewer than k others are all returned; vectors of extreme size keep their directions; a third of all is one vector."""
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3.0, 0.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2)]
+    assert [r["score"] for r in sorted(got)] == pytest.approx([3 / 10**0.5, 0.5**0.5])
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, -1.0, 0.5] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(300)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["query_id"]: [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == r["query_id"]] for r in got if r["query_id"] % 3 == 0} == {0: [3, 6, 9, 12, 15], 150: [0, 3, 6, 9, 12]}
 
 
 PAGES = [(1, "u1", "x" * 200), (2, "u2\r\nEvil: y", "x" * 200), (3, None, None), (4, "u4", "short"), (5, "u5", "short"), (6, "u6", "é" * 60), (0, "u0", "x" * 200), (None, "n", "x" * 200), (9, "u9", "y\r\n\r\nz" * 50)]
