@@ -5,12 +5,14 @@ A code splits into substrings of ``width`` bits, and each substring has a table
 whose key is the substring's number and value. A query probes each table with its own value and all that differ from it
 in ``errors`` bits at most. By the pigeonhole principle that retrieves every code within a Hamming distance of
 ``substrings * (errors + 1) - 1``; codes farther away are retrieved when any one of the substrings is near enough, which
-the fit makes likely for true neighbours. What is retrieved and lies within ``radius`` on the whole code is ranked by
-cosine on the original vectors in double precision.
+the fit makes likely for true neighbours. What is retrieved and lies within ``radius`` on the code's first words is ranked
+by cosine on the original vectors in double precision.
 
-Tables and probes meet in a join on the key; no vector is copied to where it is not asked for. The fit takes the width,
-errors and number of substrings that reach the wanted recall on the sample with the fewest rows in the join and after
-it, so the more vectors there are the longer the substrings get, and the smaller the share of codes that a query meets.
+Tables and probes meet in a join on the key, and the distance on those words is a condition of that join, so that what a
+bucket holds by chance never becomes a row; no vector is copied to where it is not asked for. The fit takes the width,
+errors and number of substrings that reach the wanted recall on the sample at the least cost of rows shuffled and codes
+compared, so the more vectors there are the longer the substrings get, and the smaller the share of codes that a query
+meets.
 
 Equal vectors are one class from the start: it is indexed once, asks once, and hands on its smallest ids.
 """
@@ -30,21 +32,26 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import attach, materialise
 
-#: Vectors that rotations, widths and the radius are fitted on, at most; bits of the shortest and the longest code.
-SAMPLE, MIN_BITS, MAX_BITS = 8_192, 512, 1_536
+#: Vectors that rotations, widths and the radius are fitted on, at most; bits of the longest code.
+SAMPLE, MAX_BITS = 8_192, 1_536
+#: 64-bit words of a code that the radius is measured on.
+WORDS = 6
 #: Share of the sample's neighbours that the tables, and then the radius, must let through.
-PROBED, REACHED = 0.95, 0.995
-#: Classes that ask up to this number are broadcast with their codes (200 bytes each).
-BROADCAST_ASKING = 20_000
-#: Queries of the exact search that a task holds at once.
+PROBED, REACHED = 0.96, 0.985
+#: Queries whose true neighbours the fit looks up, by comparing them with all vectors.
+FITTED_QUERIES = 256
+#: What a shuffled row costs, in codes compared within the join.
+ROW_COST = 2
+#: Queries of the exact search that a task holds at once, about.
 EXACT_BLOCK = 2_048
 
 
 @dataclass(frozen=True)
 class Codes:
     """mean and rotation give a code's bits, in substrings of ``width`` bits, packed in 64-bit words so that none crosses
-    a word. ``substrings`` of them have tables; a code is longer than these where they have fewer than MIN_BITS, as its
-    distance is the filter before floats are read. errors and radius: how far queries look."""
+    a word. ``substrings`` of them have tables; a code is longer than these where they fill fewer than WORDS words, as
+    distances are measured on so many. errors and radius: how far queries look. met: the share of other codes that a
+    query is expected to meet in its buckets."""
 
     mean: np.ndarray
     rotation: np.ndarray
@@ -52,6 +59,7 @@ class Codes:
     substrings: int
     errors: int
     radius: int
+    met: float = 1.0
 
     @property
     def each(self) -> int:
@@ -61,7 +69,7 @@ class Codes:
     @property
     def length(self) -> int:
         """Substrings of the whole code."""
-        return max(self.substrings, -(-MIN_BITS // self.width))
+        return max(self.substrings, WORDS * self.each)
 
     def words(self, x: np.ndarray) -> np.ndarray:
         """Codes as rows of 64-bit words."""
@@ -101,49 +109,39 @@ def rotations(x: np.ndarray, total: int, rounds: int, rng: np.random.Generator)
     return mean, np.concatenate(found, axis=1)[:, :total]
 
 
-def fit(sample: np.ndarray, k: int, vectors: int, asking: int, rounds: int = 8, seed: int = 9) -> Codes:
-    """Learns the codes from the sample and chooses width, errors and substrings for so many vectors and queries.
-
-    The neighbours are those within the sample; among all vectors they are nearer still, so the recall there is no less.
-    """
+def fit(sample: np.ndarray, near: tuple[np.ndarray, np.ndarray], vectors: int, asking: int, rounds: int = 8, seed: int = 9) -> Codes:
+    """Learns the codes from the sample, and from pairs of true neighbours chooses width, errors, substrings and radius for
+    so many vectors and queries."""
     rng = np.random.default_rng(seed)
     x = unit(np.unique(sample, axis=0))
     mean, turn = rotations(x, MAX_BITS, rounds, rng)
-    own = bits(x, mean, turn).astype(bool)
-    at = rng.permutation(len(x))[:256]
-    pairs = []
-    for i in at:
-        cosine = x @ x[i]
-        cosine[i] = -2
-        pairs += [(i, j) for j in np.argsort(-cosine, kind="stable")[: min(k, len(x) - 1)]]
-    if not pairs:
-        return Codes(mean, turn, 8, 1, 0, 8)
-    near = np.array(pairs)
-    near = own[near[:, 0]] != own[near[:, 1]]
-    other = own[rng.integers(0, len(x), 4096)] != own[rng.integers(0, len(x), 4096)]
+    if not len(near[0]):
+        return Codes(mean, turn, 8, 1, 0, 64 * WORDS)
+    code = lambda v: bits(unit(v), mean, turn).astype(bool)
+    own = code(x)
+    close, other = code(near[0]) != code(near[1]), own[rng.integers(0, len(x), 4096)] != own[rng.integers(0, len(x), 4096)]
     best = None
     for width in range(6, 25):
         tables = MAX_BITS // width
-        apart, chance = (d[:, : tables * width].reshape(len(d), tables, width).sum(axis=2) for d in (near, other))
+        apart, chance = (d[:, : tables * width].reshape(len(d), tables, width).sum(axis=2) for d in (close, other))
         for errors in range(4):
             recall = np.maximum.accumulate(apart <= errors, axis=1).mean(axis=0)
             enough = np.flatnonzero(recall >= PROBED)
             n = int(enough[0]) + 1 if len(enough) else tables
             probes = sum(1 for e in range(errors + 1) for _ in combinations(range(width), e))
-            met = max(np.minimum(1, (chance[:, :n] <= errors).sum(axis=1)).mean(), 1 - (1 - min(1.0, probes / 2**width)) ** n)
-            cost = (recall[n - 1] < PROBED, -min(recall[n - 1], PROBED), vectors * n + asking * n * probes + asking * vectors * met)
+            met = max((chance[:, :n] <= errors).any(axis=1).mean(), 1 - (1 - min(1.0, probes / 2**width)) ** n)
+            cost = (recall[n - 1] < PROBED, -min(recall[n - 1], PROBED), ROW_COST * (vectors * n + asking * n * probes) + asking * vectors * met)
             if best is None or cost < best[0]:
-                best = cost, width, errors, n
-    _, width, errors, n = best
-    codes = Codes(mean, turn, width, n, errors, 0)
-    far = near[:, : codes.length * width].sum(axis=1)
+                best = cost, width, errors, n, met
+    _, width, errors, n, met = best
+    codes = Codes(mean, turn, width, n, errors, 0, float(met))
+    far = close[:, : WORDS * codes.each * width].sum(axis=1)
     return replace(codes, radius=int(np.ceil(np.quantile(far, REACHED))))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v of the vectors that take part: not null, not zero, no null or non-finite part, and as long as most are."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     rows = rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
@@ -183,16 +181,13 @@ def keys(codes: Codes) -> Column:
 
 def retrieved(classes: DataFrame, codes: Codes) -> DataFrame:
     """qid, cid: the classes that each asking class finds in a table and within the radius."""
-    asks = classes.filter("asks")
-    entries = classes.select("cid", F.explode(keys(codes)).alias("key"))
+    words = lambda name: [F.get("code", F.lit(i)).alias(f"{name}{i}") for i in range(WORDS)]
+    entries = classes.select("cid", *words("w"), F.explode(keys(codes)).alias("key"))
     masks = F.array(*[F.lit(m).cast("long") for m in codes.masks()])
-    probes = asks.select(F.col("cid").alias("qid"), F.explode(keys(codes)).alias("own")).select("qid", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
-    met = entries.join(probes, "key").select("qid", "cid").repartition("cid").dropDuplicates(["qid", "cid"])
-    asked = asks.select(F.col("cid").alias("qid"), F.col("code").alias("asked"))
-    met = met.join(classes.select("cid", "code"), "cid").join(F.broadcast(asked) if asked.count() <= BROADCAST_ASKING else asked, "qid")
-    words = range(-(-codes.length // codes.each))
-    apart = sum((F.bit_count(F.get("code", F.lit(i)).bitwiseXOR(F.get("asked", F.lit(i)))) for i in words), F.lit(0))
-    return met.filter(apart <= codes.radius).select("qid", "cid")
+    probes = classes.filter("asks").select(F.col("cid").alias("qid"), *words("q"), F.explode(keys(codes)).alias("own"))
+    probes = probes.select("*", F.explode(masks).alias("mask")).withColumn("probed", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+    apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(WORDS)), F.lit(0))
+    return entries.join(probes, (F.col("key") == F.col("probed")) & (apart <= codes.radius)).select("qid", "cid").distinct()
 
 
 def cosines(pairs: DataFrame) -> DataFrame:
@@ -207,29 +202,34 @@ def cosines(pairs: DataFrame) -> DataFrame:
     return pairs.select("qid", "cid", "q", "v").mapInArrow(run, "qid long, cid long, score double")
 
 
-def exact(rows: DataFrame, qids: DataFrame, keep: int) -> DataFrame:
-    """qid, vec_id, score: each query's ``keep`` nearest, from all vectors. The queries are taken in blocks of bounded
-    size; of a batch of vectors only each query's nearest leave the task."""
-    found = rows.sparkSession.createDataFrame([], "qid long, vec_id long, score double")
-    asked = materialise(rows.join(qids, F.col("vec_id") == F.col("qid")).select("qid", "v").withColumn("block", F.floor((F.row_number().over(W.orderBy("qid")) - 1) / EXACT_BLOCK)), "nearest-exact")
-    for block in range((asked.agg(F.max("block")).first()[0] + 1) if asked.count() else 0):
-        held = asked.filter(F.col("block") == block).collect()
-        ids, q = np.array([r["qid"] for r in held]), unit(np.array([r["v"] for r in held]))
+def exact(rows: DataFrame, asked: list, keep: int) -> DataFrame:
+    """qid, vec_id, score: the ``keep`` nearest of each query of a bounded list (qid, v), from all vectors. Of a batch of
+    vectors only each query's nearest leave the task."""
+    ids, q = np.array([i for i, _ in asked]), unit(np.array([v for _, v in asked], np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec, x = batch.column(0).to_numpy(), unit(parts(batch.column(1)))
+            out = []
+            for i, y in zip(ids, q):
+                score = (x * y).sum(axis=1)
+                # all that tie with the last one stay, then ids decide
+                some = np.flatnonzero(score >= np.partition(score, -keep)[-keep]) if len(score) > keep else np.arange(len(score))
+                out += [(i, vec[t], score[t]) for t in some[np.lexsort((vec[some], -score[some]))[:keep]]]
+            columns = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "qid long, vec_id long, score double")
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec, x = batch.column(0).to_numpy(), unit(parts(batch.column(1)))
-                out = []
-                for i, y in zip(ids, q):
-                    score = (x * y).sum(axis=1)
-                    out += [(i, vec[t], score[t]) for t in np.lexsort((vec, -score))[:keep]]
-                columns = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "vec_id", "score"])
 
-        found = found.unionByName(rows.select("vec_id", "v").mapInArrow(run, "qid long, vec_id long, score double"))
-    return found
+def true_neighbours(rows: DataFrame, asked: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a bounded list of queries (qid, v), and of their k nearest others, pair by pair."""
+    pairs = best(exact(rows, asked, k + 1), k + 1, "vec_id").filter("qid <> vec_id").select("qid", "vec_id")
+    near = pairs.join(rows, "vec_id").select("qid", "v").collect()  # (k + 1) * FITTED_QUERIES rows at most
+    of = dict(asked)
+    return np.array([of[r["qid"]] for r in near], np.float64), np.array([r["v"] for r in near], np.float64)
 
 
 def best(rows: DataFrame, n: int, ident: str) -> DataFrame:
@@ -253,7 +253,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         return vectors.sparkSession.createDataFrame([], schema)
     is_asking = F.col("vec_id") % every == 0
     total, asking = rows.agg(F.count("*"), F.count_if(is_asking)).first()
-    codes = fit(np.array([r["v"] for r in first]), k, total, asking)
+    near = true_neighbours(rows, [(r["vec_id"], r["v"]) for r in first[:FITTED_QUERIES]], k)
+    codes = fit(np.array([r["v"] for r in first], np.float64), near, total, asking)
     every_one = materialise(coded(rows, codes), "nearest-codes")
     # a class hands on its k + 1 smallest ids: one of them may be the query itself
     members = every_one.select("digest", "vec_id").withColumn("n", F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
@@ -268,9 +269,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     found = materialise(best(ids, k + 1, "vec_id").select("qid", "vec_id", "score"), "nearest-found")
     number = found.groupBy("qid").agg(F.count("*").alias("n"))
     wanting = classes.filter("asks").select(F.col("cid").alias("qid")).join(number, "qid", "left").filter(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select("qid")
-    wanting = materialise(wanting, "nearest-wanting")
-    if wanting.limit(1).collect():
-        found = found.join(wanting, "qid", "left_anti").unionByName(best(exact(rows, wanting, k + 1), k + 1, "vec_id").select("qid", "vec_id", "score"))
+    # these are few, and are compared with all vectors in blocks of bounded size
+    wanting = materialise(wanting.join(asked, "qid").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, asking // EXACT_BLOCK)))), "nearest-wanting")
+    for block in [r[0] for r in wanting.groupBy("block").count().orderBy("block").collect()]:
+        some = [(r["qid"], r["q"]) for r in wanting.filter(F.col("block") == block).collect()]
+        found = found.join(wanting.filter(F.col("block") == block), "qid", "left_anti").unionByName(best(exact(rows, some, k + 1), k + 1, "vec_id").select("qid", "vec_id", "score"))
     ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), lambda x: F.struct(x["i"].alias("i"), (-x["s"]).alias("s")))
     lists = found.groupBy("qid").agg(ranked.alias("near")).join(classes.select("digest", "copies", F.col("cid").alias("qid")), "qid")
     lists = materialise(lists.select("digest", "copies", "near"), "nearest-lists")

@@ -338,7 +338,7 @@ def test_codes_within_radius(spark):
     """Whatever the fit chose, every code within the distance that the pigeonhole principle covers is retrieved."""
     rng = np.random.default_rng(3)
     v = rng.normal(size=(500, 32))
-    codes = nearest.fit(v, 5, 500, 10)
+    codes = nearest.fit(v, (v[:-1], v[1:]), 500, 10)
     for width, substrings, errors in ((codes.width, codes.substrings, codes.errors), (8, 6, 1), (13, 5, 2)):
         own = nearest.replace(codes, width=width, substrings=substrings, errors=errors, radius=10_000)
         on = nearest.bits(nearest.unit(v), own.mean, own.rotation[:, : width * substrings])
