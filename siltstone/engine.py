@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import tables
 from siltstone.functions import models
 from siltstone.functions.text import grounding_estimate
 from siltstone.operators.index import KeywordIndex
@@ -32,11 +33,11 @@ class Engine:
 
     @property
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+        return self.spark.read.parquet(f"{tables.current(self.spark, self.path)}/chunks")
 
     @property
     def index(self) -> KeywordIndex:
-        return KeywordIndex.read(self.spark, f"{self.path}/keyword")
+        return KeywordIndex.read(self.spark, f"{tables.current(self.spark, self.path)}/keyword")
 
     def search(self, questions: DataFrame, k: int = 5, **options) -> DataFrame:
         """questions: query_id, text. The k best chunks of each by fused rank."""
@@ -59,19 +60,21 @@ class Engine:
     def stats(self) -> DataFrame:
         return collection_stats(self.chunks, F.col("source"))
 
+    def upsert(self, chunks: DataFrame) -> None:
+        """Replaces or adds chunks by id."""
+        ingest.upsert(chunks, self.path)
+
     def delete(self, documents: DataFrame) -> None:
         """Removes the chunks of sources and indexes the others anew."""
-        from siltstone.operators import index as keyword
+        ingest.delete(self.spark, documents, self.path)
 
-        files.without_documents(self.chunks, documents, "source").write.mode("overwrite").parquet(f"{self.path}/chunks-next")
-        rest = self.spark.read.parquet(f"{self.path}/chunks-next")
-        rest.write.mode("overwrite").parquet(f"{self.path}/chunks")
-        keyword.build(self.chunks, text_col="content").write(f"{self.path}/keyword")
+    def reset(self) -> None:
+        ingest.reset(self.spark, self.path)
 
     def healthy(self) -> dict[str, bool]:
-        """Which artifacts can be read."""
-        out = {}
+        """Which artifacts of the current version can be read and have rows."""
+        out, found = {}, tables.versions(self.spark, self.path)
         for name in ("chunks", "manifest", "keyword/postings", "keyword/documents", "keyword/terms"):
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            out[name] = bool(hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
+            folder = f"{self.path}/v{found[-1]}/{name}" if found else None
+            out[name] = bool(folder and tables.exists(self.spark, folder) and self.spark.read.parquet(folder).limit(1).collect())
         return out

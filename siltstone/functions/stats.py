@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,24 +55,28 @@ def mcnemar_exact(b: str, c: str) -> Column:
     return p(F.col(b), F.col(c))
 
 
-def bootstrap_ci(pairs: DataFrame, by: tuple[str, ...], a: str, b: str, order: tuple[str, ...], resamples: int = 5000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """ci_low, ci_high of the mean paired difference of each group, by resampling of its pairs in a fixed order.
+def bootstrap_ci(pairs: DataFrame, by: tuple[str, ...], a: str, b: str, resamples: int = 5000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """ci_low, ci_high of the mean paired difference of each group, by resampling of its pairs (A10).
 
-    A pair of 0/1 outcomes differs by -1, 0 or 1, so a group is gathered as its counts of each difference, whatever
-    its size; a resample is then a multinomial draw of these counts, and its mean that of as many drawn pairs.
+    A group is gathered as its distinct differences and how often each occurs: three for 0/1 outcomes, whatever the
+    group's size. A resample is a multinomial draw of these counts, which is the distribution of as many drawn pairs.
+    Pairs with a null have no difference and are left out.
     """
-    del order  # counts have none
-    counts = pairs.groupBy(*by).agg(*[F.count_if(F.col(a) - F.col(b) == d).alias(f"d{k}") for k, d in enumerate((-1, 0, 1))])
     import numpy as np
 
+    difference = (F.col(a) - F.col(b)).cast("double")
+    counts = pairs.groupBy(*by, difference.alias("_d")).agg(F.count("*").alias("_n")).filter("_d is not null")
+    gathered = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_d", "_n"))).alias("_counts"))
+
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for row in frame[["d0", "d1", "d2"]].itertuples(index=False):
-            n = sum(row)
-            rng = np.random.default_rng(random.Random(f"{seed}:{row}").getrandbits(64))
-            drawn = np.sort((rng.multinomial(n, np.array(row) / n, resamples) @ np.array([-1, 0, 1])) / n)
+        for found in frame["_counts"]:
+            d, n = np.array([x["_d"] for x in found]), np.array([x["_n"] for x in found])
+            rng = np.random.default_rng([seed, *n.tolist()])
+            some = max(1, 1_000_000 // len(d))  # resamples held at once
+            drawn = np.sort(np.concatenate([rng.multinomial(n.sum(), n / n.sum(), min(some, resamples - at)) @ d for at in range(0, resamples, some)]) / n.sum())
             out.append((float(drawn[int(alpha / 2 * resamples)]), float(drawn[int((1 - alpha / 2) * resamples) - 1])))
         return frame[list(by)].assign(ci_low=[x for x, _ in out], ci_high=[x for _, x in out])
 
-    kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in by)
-    return counts.mapInPandas(lambda frames: map(draw, frames), f"{kinds}, ci_low double, ci_high double")
+    kinds = ", ".join(f"{c} {gathered.schema[c].dataType.simpleString()}" for c in by)
+    return gathered.mapInPandas(lambda frames: map(draw, frames), f"{kinds}, ci_low double, ci_high double")

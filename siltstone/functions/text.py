@@ -80,37 +80,58 @@ UNITS = "mcg|mmol|kcal|meq|units|unit|cal|mg|ml|iu|g"
 PER = "dose|hour|day|min|kg|dl|hr|d|l"
 
 
+#: A numeric range with what word characters lead it, or a run of word characters.
+TOKEN = r"[\p{L}\p{N}_]*?[0-9]+(?:\.[0-9]+)?-[0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}_]+"
+
+
 def keyword_tokens(text: Column) -> Column:
     """Tokens of the keyword index (X01, X02): numeric ranges stay whole, doses such as g/kg/day become one token with
-    _per_ between, other punctuation parts words; stopwords and single characters but k and l are dropped."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"([0-9]+(?:\.[0-9]+)?)[ \t\n\r\f]*[-–][ \t\n\r\f]*([0-9]+(?:\.[0-9]+)?)", "$1-$2 ")
-    edge = r"(^|[^\p{L}_])"
-    after = r"($|[^\p{L}\p{N}_])"
-    gap = r"[ \t\n\r\f]*/[ \t\n\r\f]*"
-    t = F.regexp_replace(t, f"{edge}({UNITS}){gap}({PER}){gap}({PER}){after}", "$1 $2_per_$3_per_$4 $5")
-    t = F.regexp_replace(t, f"{edge}({UNITS}){gap}({PER}){after}", "$1 $2_per_$3 $4")
-    t = F.regexp_replace(t, r"([0-9]+(?:\.[0-9]+)?-[0-9]+(?:\.[0-9]+)?)|[^\p{L}\p{N}_ \t\n\r\f]", "$1 ")
-    stop = F.array(*map(F.lit, KEYWORD_STOPWORDS))
-    words = F.transform(split_words(squeezed(t)), lambda w: F.regexp_replace(w, "^_+|_+$", ""))
-    return let(stop, lambda s: F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(s, w) | w.isin("k", "l")))
-
-
-def char_grams(text: Column, n: int = 5) -> Column:
-    """The distinct character n-grams of normalised text without spaces; a shorter text is one itself."""
+    _per_ between, other punctuation parts words; stopwords and single characters but k and l are dropped.
+
+    Each pass is taken only by texts that have its signs, which a look for a character or two tells.
+    """
+    edge, after, gap = r"(^|[^\p{L}_])", r"($|[^\p{L}\p{N}_])", r"[ \t\n\r\f]*/[ \t\n\r\f]*"
+
+    def ranged(t: Column) -> Column:
+        joined = F.regexp_replace(t, r"([0-9]+(?:\.[0-9]+)?)[ \t\n\r\f]*[-–][ \t\n\r\f]*([0-9]+(?:\.[0-9]+)?)", "$1-$2 ")
+        return F.when(t.rlike(r"[0-9][ \t\n\r\f]*[-–][ \t\n\r\f]*[0-9]"), joined).otherwise(t)
+
+    def dosed(t: Column) -> Column:
+        twice = F.regexp_replace(t, f"{edge}({UNITS}){gap}({PER}){gap}({PER}){after}", "$1 $2_per_$3_per_$4 $5")
+        return F.when(t.contains("/"), F.regexp_replace(twice, f"{edge}({UNITS}){gap}({PER}){after}", "$1 $2_per_$3 $4")).otherwise(t)
+
+    def parted(t: Column) -> Column:
+        words = F.when(t.rlike("[0-9]-[0-9]"), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).otherwise(F.split(t, r"[^\p{L}\p{N}_]+"))
+        words = F.when(t.contains("_"), F.transform(words, lambda w: F.btrim(w, F.lit("_")))).otherwise(words)
+        # a list of this length is looked up in a hash set
+        return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*KEYWORD_STOPWORDS) | w.isin("k", "l"))
+
+    return let(let(let(F.lower(text), ranged), dosed), parted)
+
+
+def char_grams(text: Column, n: int = 5, hashed: bool = False) -> Column:
+    """The distinct character n-grams of normalised text without spaces; a shorter text is one itself (X19). hashed: as
+    64-bit numbers, which sets compare faster."""
     packed = F.replace(normalized(text), F.lit(" "), F.lit(""))
 
-    def grams(chars: Column) -> Column:
-        # slices of the array of characters: a substring would be sought from the text's start each time
-        windows = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(n)), ""))
-        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+    def grams(t: Column) -> Column:
+        # a character is consumed and the window looked ahead to, so that windows overlap and no character is split
+        windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+        whole = F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(windows)
+        return F.array_distinct(F.transform(whole, lambda g: F.xxhash64(g)) if hashed else whole)
+
+    return let(packed, grams)
+
 
-    return let(F.regexp_extract_all(packed, F.lit("(?s)."), F.lit(0)), grams)
+def word_grams(words: Column, n: int = 3, hashed: bool = False) -> Column:
+    """The distinct word n-grams (X18). hashed: as 64-bit numbers."""
+    one = F.xxhash64 if hashed else lambda *parts: F.concat_ws(" ", *parts)
 
+    def grams(w: Column) -> Column:
+        every = F.transform(w, lambda x, i: one(x, *[F.get(w, i + k) for k in range(1, n)]))
+        return F.when(F.size(w) < n, F.array().cast("array<bigint>" if hashed else "array<string>")).otherwise(F.array_distinct(F.slice(every, 1, F.greatest(F.size(w) - (n - 1), F.lit(1)))))
 
-def word_grams(words: Column, n: int = 3) -> Column:
-    """The distinct word n-grams."""
-    return let(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))))
+    return let(words, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -171,7 +192,7 @@ def faithfulness(answer: Column, context: Column) -> Column:
     """How much of an answer the context supports: 0.4 terms, 0.3 word 3-grams, 0.3 numbers."""
     a, c = F.lower(answer), F.lower(context)
     words = lambda t: split_words(squeezed(t))
-    score = 0.4 * covered(terms(answer, CITATION_TERMS), terms(context, CITATION_TERMS), 1.0) + 0.3 * covered(word_grams(words(a)), word_grams(words(c)), 0.0) + 0.3 * covered(found(answer, NUMBER), found(context, NUMBER), 1.0)
+    score = 0.4 * covered(terms(answer, CITATION_TERMS), terms(context, CITATION_TERMS), 1.0) + 0.3 * covered(word_grams(words(a), hashed=True), word_grams(words(c), hashed=True), 0.0) + 0.3 * covered(found(answer, NUMBER), found(context, NUMBER), 1.0)
     empty = (F.coalesce(answer, F.lit("")) == "") | (F.coalesce(context, F.lit("")) == "")
     return F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), score))
 

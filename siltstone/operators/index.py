@@ -1,7 +1,8 @@
 """The keyword index as tables, and BM25 over it.
 
-postings: doc_id, term, tf; documents: doc_id, dl; terms: term, df, idf. All queries of a set are scored together: the
-query terms, which are few, select postings, and partial sums are merged per query and document.
+postings: doc_id, dl, term, tf; documents: doc_id, dl; terms: term, df, idf. The documents are tokenised once: postings
+carry their document's length, and what a build makes is written before it is read again. All queries of a set are
+scored together: the query terms, which are few, select postings, and partial sums are merged per query and document.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import keyword_tokens
+from siltstone.tables import discard, materialise
 
 # The Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,35 +29,37 @@ class KeywordIndex:
     terms: DataFrame
 
     def write(self, path: str) -> None:
-        """Parquet tables below path, the postings sorted by term so that a scan for few terms skips row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Parquet tables below path, the postings sorted by term so that a scan for few terms skips row groups (K04). The
+        ranges end within a term too, so a common term is no task of its own."""
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
-    def persisted(self) -> KeywordIndex:
-        """The same, kept for plans that read it many times and do not write it; each part spills to disk as needed."""
-        from pyspark import StorageLevel
-
-        postings = self.postings.persist(StorageLevel.MEMORY_AND_DISK)
-        return KeywordIndex(postings, self.documents.persist(StorageLevel.MEMORY_AND_DISK), term_stats(postings, self.documents).persist(StorageLevel.MEMORY_AND_DISK))
-
     @staticmethod
-    def read(spark, path: str) -> KeywordIndex:
-        return KeywordIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "terms")))
+    def read(spark, path: str) -> KeywordIndex | None:
+        """The index below path; None where a table is missing, so that its side of a retrieval is left out."""
+        from siltstone.tables import exists
+
+        names = ("postings", "documents", "terms")
+        if not all(exists(spark, f"{path}/{t}") for t in names):
+            return None
+        return KeywordIndex(*(spark.read.parquet(f"{path}/{t}") for t in names))
 
 
 def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> KeywordIndex:
-    """Tokenises, counts and weighs. Terms in more than half of the documents have a negative idf, which becomes EPSILON
-    times the mean idf of the vocabulary (A30)."""
-    rows = chunks.select(F.col(id_col).alias("doc_id"), (keyword_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens).alias("tokens"))
-    documents = rows.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return KeywordIndex(postings, documents, term_stats(postings, documents))
+    """Tokenises, counts and weighs; ids are distinct. Terms in more than half of the documents have a negative idf, which
+    becomes EPSILON times the mean idf of the vocabulary (A30)."""
+    own = keyword_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens
+    rows = materialise(chunks.select(F.col(id_col).alias("doc_id"), own.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens"), "index-tokens")
+    documents = materialise(rows.select("doc_id", "dl"), "index-documents")
+    postings = materialise(rows.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "index-postings")
+    discard(rows)
+    return KeywordIndex(postings, documents, materialise(term_stats(postings, documents), "index-terms"))
 
 
 def term_stats(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """term, df, idf. The totals are one row, which is broadcast."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = materialise(postings.groupBy("term").agg(F.count("*").alias("df")), "index-df")
     raw = df.crossJoin(F.broadcast(documents.agg(F.count("*").alias("n")))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -72,7 +76,7 @@ def bm25(queries: DataFrame, index: KeywordIndex, query_id: str = "query_id", te
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(keyword_tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighed = asked.join(index.terms.select("term", "idf"), "term")
     mean = index.documents.agg(F.avg("dl").alias("avgdl"))
-    hits = index.postings.join(weighed, "term").join(index.documents, "doc_id").crossJoin(F.broadcast(mean))
+    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(mean))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).filter("score > 0")
@@ -97,12 +101,12 @@ def leakage_audit(questions: DataFrame, documents: DataFrame, pool: int = 50, re
     index = build(documents)
     asked = questions.select(F.col(question_id).alias("query_id"), F.col("text").alias("q_text"))
     pool_rows = top_k(asked, index, pool, text_col="q_text").drop("rank", "score")
-    q = asked.withColumn("q_norm", normalized(F.col("q_text"))).withColumn("q_grams", char_grams(F.col("q_text"))).drop("q_text")
+    q = asked.withColumn("q_norm", normalized(F.col("q_text"))).withColumn("q_grams", char_grams(F.col("q_text"), hashed=True)).drop("q_text")
     # only the candidates' texts are compared
     ids = pool_rows.select("doc_id").distinct()
     # the comparison is all the work: a stated number of partitions keeps small shuffles from being merged into one task
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = documents.select("doc_id", F.col("text").alias("d_text")).join(ids, "doc_id").repartition(tasks, "doc_id").withColumn("d_norm", normalized(F.col("d_text"))).withColumn("d_grams", char_grams(F.col("d_text"))).drop("d_text")
+    d = documents.select("doc_id", F.col("text").alias("d_text")).join(ids, "doc_id").repartition(tasks, "doc_id").withColumn("d_norm", normalized(F.col("d_text"))).withColumn("d_grams", char_grams(F.col("d_text"), hashed=True)).drop("d_text")
     both = pool_rows.join(d, "doc_id").repartition(tasks, "query_id", "doc_id").join(F.broadcast(q) if q.count() <= BROADCAST_QUESTIONS else q, "query_id")
     exact = (F.col("q_norm") != "") & (F.col("d_norm") != "") & (F.contains(F.col("d_norm"), F.col("q_norm")) | F.contains(F.col("q_norm"), F.col("d_norm")))
     both = both.select("query_id", "doc_id", "score_millionths", exact.alias("exact"), jaccard(F.col("q_grams"), F.col("d_grams")).alias("jaccard"))

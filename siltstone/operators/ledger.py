@@ -167,7 +167,7 @@ def rag_lift(ledger: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFr
     from siltstone.functions.stats import bootstrap_ci, mcnemar_exact
 
     pairs = lift_pairs(ledger)
-    ci = bootstrap_ci(pairs, ("model_id", "strategy"), "rag", "no_rag", ("sample_id", "repeat_index"), resamples, seed)
+    ci = bootstrap_ci(pairs, ("model_id", "strategy"), "rag", "no_rag", resamples, seed)
     out = lift(pairs).join(ci, ["model_id", "strategy"])
     out = out.withColumn("pvalue", F.when((F.col("ci_low") > 0) | (F.col("ci_high") < 0), 0.01).otherwise(0.5)).withColumn("mcnemar_pvalue", mcnemar_exact("only_no_rag", "only_rag"))
     return holm(out, "pvalue", order=("model_id", "strategy"))

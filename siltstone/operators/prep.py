@@ -9,7 +9,8 @@ from siltstone.functions.text import squeezed
 
 # What marks a calculation question and a quantity, and the weights of complexities.
 CALC_INTENT = r"(?i)\b(calculate|infusion\s*rate|gir|dose|meq|mmol|mosm|m\s*l\s*/\s*hr|g\s*/\s*kg\s*/\s*day|mg\s*/\s*kg\s*/\s*min)\b"
-CALC_QUANTITY = r"(?i)-?\d+(?:\.\d+)?\s*(?:mcg|µg|ug|mg|g|iu|mmol|meq|kcal|mosm|ml|dl|l|%)(?:\s*/\s*(?:kg|day|hr|min|ml|dl|d|h|m|l))?(?:\s*/\s*(?:kg|day|hr|min|ml|dl|d|h|m|l))?"
+CALC_QUANTITY = r"(?i)(-?\d+(?:\.\d+)?)\s*(mcg|µg|ug|mg|g|iu|mmol|meq|kcal|mosm|ml|dl|l|%)(?:\s*/\s*(kg|day|hr|min|ml|dl|d|h|m|l))?(?:\s*/\s*(kg|day|hr|min|ml|dl|d|h|m|l))?"
+CALC_PER = {"h": "hr", "d": "day", "m": "min"}
 COMPLEXITY = ("basic", "intermediate", "advanced")
 MESSY_WORDS = r"(?i)\b(?:max(?:imum)?|min(?:imum)?|initial|advance|titrate|target|limit|osm(?:ol|olar)?)\b"
 MESSY_RANGE = r"(?i)\d+\s*(?:to|–|-)\s*\d+"
@@ -51,26 +52,33 @@ def complexity_weight(value: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, COMPLEXITY)), F.lower(F.trim(value))), F.lit(0)), F.lit(0)).cast("int")
 
 
-def quantity_signatures(*texts: Column) -> Column:
-    """The distinct quantities of texts, in lower case without spaces."""
-    every = F.concat(*[F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(CALC_QUANTITY), F.lit(0)) for t in texts])
-    return F.array_distinct(F.transform(every, lambda x: F.regexp_replace(F.lower(x), r"\s+", "")))
+def quantities_of(text: Column) -> Column:
+    """A text's quantities, parsed: array of (value, unit, per)."""
+    group = lambda k: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CALC_QUANTITY), F.lit(k))
+    names = F.create_map(*[F.lit(x) for kv in CALC_PER.items() for x in kv])
+    unit = lambda u: F.when(u.isin("µg", "ug"), "mcg").otherwise(u)
+    parts = F.arrays_zip(group(1).alias("v"), F.transform(group(2), F.lower).alias("u"), F.transform(group(3), F.lower).alias("p"), F.transform(group(4), F.lower).alias("r"))
+    pers = lambda x: F.transform(F.filter(F.array(x["p"], x["r"]), lambda p: p != ""), lambda p: F.coalesce(F.try_element_at(names, p), p))
+    return F.transform(parts, lambda x: F.struct(x["v"].cast("double").alias("value"), unit(x["u"]).alias("unit"), pers(x).alias("per")))
 
 
 def calc_scored(records: DataFrame) -> DataFrame:
     """Eligible calculation questions with weight, density and messy (F11, M12): a calculation is asked for and a
-    quantity answered."""
+    quantity answered. density: the distinct quantities. messy: weights of the complexity, of distinct keys (unit and
+    pers), of keys with several values in the answer, of ranges, of messy words and of the density, each but the first
+    up to a bound."""
     q, a = F.col("question"), F.col("reference_answer")
     rows = records.filter(q.rlike(CALC_INTENT) & a.rlike(CALC_QUANTITY)).withColumn("weight", complexity_weight(F.col("complexity")))
-    rows = rows.withColumn("density", F.size(quantity_signatures(q, a)))
-    unit = lambda x: F.regexp_replace(x, r"^-?[0-9.]+", "")
-    rows = rows.withColumn("_keys", F.size(F.array_distinct(F.transform(quantity_signatures(q, a), unit))))
-    own = quantity_signatures(a)
-    rows = rows.withColumn("_own", own).withColumn("_several", F.size(F.filter(F.array_distinct(F.transform("_own", unit)), lambda k: F.size(F.filter(F.col("_own"), lambda x: unit(x) == k)) > 1)))
+    rows = rows.withColumn("_own", quantities_of(a)).withColumn("_all", F.concat(quantities_of(q), "_own"))
+    key = lambda x: F.struct(x["unit"], x["per"])
+    keys = F.array_distinct(F.transform("_all", key))
+    values = lambda k: F.array_distinct(F.transform(F.filter("_own", lambda x: key(x) == k), lambda x: F.round(x["value"], 6)))
+    several = F.size(F.filter(keys, lambda k: F.size(values(k)) > 1))
     words, ranges = F.regexp_count(F.concat_ws(" ", q, a), F.lit(MESSY_WORDS)), F.regexp_count(a, F.lit(MESSY_RANGE))
+    rows = rows.withColumn("density", F.size(F.array_distinct("_all")))
     cap = lambda c, n: F.least(c, F.lit(n))
-    messy = F.col("weight") * 10 + cap(F.col("_keys"), 6) * 2 + cap(F.col("_several"), 4) * 3 + cap(ranges, 3) * 3 + cap(words, 6) * 2 + cap(F.col("density"), 10)
-    return rows.withColumn("messy", messy).drop("_keys", "_own", "_several")
+    messy = F.col("weight") * 10 + cap(F.size(keys), 6) * 2 + cap(several, 4) * 3 + cap(ranges, 3) * 3 + cap(words, 6) + cap(F.col("density"), 12)
+    return rows.withColumn("messy", messy).drop("_own", "_all")
 
 
 def calc_selected(scored: DataFrame, total: int = 50, high: int | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import tables
 from siltstone.functions import models
 from siltstone.operators import chunking
 from siltstone.operators import index as keyword
 from siltstone.operators.prep import changed
-from siltstone.sources.files import ingestion_manifest
+from siltstone.sources.files import ingestion_manifest, without_documents
 
 
 def chunks_of(files: DataFrame, size: int = 1000, overlap: int = 200, kind: str = "recursive", embed: models.Embedder = models.hashed_embedding) -> DataFrame:
@@ -22,31 +23,52 @@ def chunks_of(files: DataFrame, size: int = 1000, overlap: int = 200, kind: str
     return named.withColumn("embedding", models.embedded("content", embed))
 
 
+def write_version(chunks: DataFrame, path: str, options: dict) -> str:
+    """Writes chunks, and keyword index, manifest and statistics of these, as a new version below path."""
+    spark = chunks.sparkSession
+    folder = tables.upcoming(spark, path)
+    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    keyword.build(chunks, text_col="content").write(f"{folder}/keyword")
+    ingestion_manifest(chunks, {k: str(v) for k, v in options.items()}).write.mode("overwrite").parquet(f"{folder}/manifest")
+    chunking.chunk_stats(chunks).write.mode("overwrite").json(f"{folder}/stats")
+    tables.commit(spark, folder)
+    return folder
+
+
 def ingest(files: DataFrame, path: str, **options) -> DataFrame:
-    """Writes chunks, keyword index, manifest and statistics below path and returns the statistics."""
-    spark = files.sparkSession
-    chunks_of(files, **options).write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    keyword.build(chunks, text_col="content").write(f"{path}/keyword")
-    ingestion_manifest(chunks, {k: str(v) for k, v in options.items()}).write.mode("overwrite").parquet(f"{path}/manifest")
-    chunking.chunk_stats(chunks).write.mode("overwrite").json(f"{path}/stats")
-    return spark.read.json(f"{path}/stats")
+    """Ingests all files as a new version and returns its statistics."""
+    return files.sparkSession.read.json(f"{write_version(chunks_of(files, **options), path, options)}/stats")
 
 
 def update(spark: SparkSession, files: DataFrame, path: str, **options) -> DataFrame:
-    """Re-ingests only sources that are new or changed, drops removed ones, and returns the change set. Another
-    configuration than the manifest's rebuilds everything. A new version is written beside the old one, then indexed."""
-    manifest = spark.read.parquet(f"{path}/manifest")
+    """Re-ingests only sources that are new or changed, drops removed ones, and returns the change set.
+    Another configuration than the manifest's rebuilds everything. Readers see the old version until the new one is whole."""
+    old = tables.current(spark, path)
     config = ingestion_manifest(files.select("source", F.sha2("text", 256).alias("sha256")), {k: str(v) for k, v in options.items()})
+    manifest = spark.read.parquet(f"{old}/manifest")
     changes = changed(config, manifest, sha="config_sha256").unionByName(changed(config, manifest)).groupBy("source").agg(F.min("change").alias("change"))
-    # written before the manifest it was made from is replaced
-    changes.write.mode("overwrite").parquet(f"{path}/changes")
-    changes = spark.read.parquet(f"{path}/changes")
-    kept = spark.read.parquet(f"{path}/chunks").join(changes.select("source"), "source", "left_anti")
+    changes = tables.materialise(changes, "changes")
+    kept = spark.read.parquet(f"{old}/chunks").join(changes.select("source"), "source", "left_anti")
     fresh = chunks_of(files.join(changes.filter("change <> 'removed'").select("source"), "source", "left_semi"), **options)
-    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{path}/chunks-next")
-    chunks = spark.read.parquet(f"{path}/chunks-next")
-    keyword.build(chunks, text_col="content").write(f"{path}/keyword")
-    ingestion_manifest(chunks, {k: str(v) for k, v in options.items()}).write.mode("overwrite").parquet(f"{path}/manifest")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    write_version(kept.unionByName(fresh), path, options)
     return changes
+
+
+def upsert(chunks: DataFrame, path: str, **options) -> None:
+    """Chunks by id: those of known ids replace theirs, others are added."""
+    spark = chunks.sparkSession
+    held = spark.read.parquet(f"{tables.current(spark, path)}/chunks")
+    rest = held.join(chunks.select("doc_id"), "doc_id", "left_anti")
+    write_version(rest.unionByName(chunks.select(*held.columns)), path, options)
+
+
+def delete(spark: SparkSession, documents: DataFrame, path: str, **options) -> None:
+    """Removes the chunks of sources and indexes the others anew."""
+    held = spark.read.parquet(f"{tables.current(spark, path)}/chunks")
+    write_version(without_documents(held, documents, "source"), path, options)
+
+
+def reset(spark: SparkSession, path: str, **options) -> None:
+    """A new version without any chunk."""
+    write_version(spark.read.parquet(f"{tables.current(spark, path)}/chunks").filter("false"), path, options)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from siltstone.functions import models
 from siltstone.functions.text import decompose_query, focus_query, judge_verdict
 from siltstone.operators import index as keyword
 from siltstone.operators import retrieval as r
+from siltstone.tables import materialise
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex, k: int = 10, each: int = 20, weights: tuple[float, float] = (0.5, 0.5), use_vector: bool = True, use_keyword: bool = True, where: Column | None = None) -> DataFrame:
@@ -53,7 +53,8 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     hints of the first, fusion, rerank, quality and relevance filters, and packed context.
 
     chunks: doc_id, source, page, section, content. Returns query_id, chunks (structs by rank), context_text,
-    context_hash, context_chars, candidate_count, returned_count, source_diversity, iteration_count.
+    context_hash, context_chars, candidate_count, returned_count, source_diversity, iteration_count. A query without hits
+    has no chunks, an empty context and counts of 0.
     """
     def round_of(asked: DataFrame, iteration: int) -> DataFrame:
         own = asked.withColumn("pid", F.concat_ws("#", F.col("query_id").cast("string"), F.lit(iteration), F.col("plan_no").cast("string")))
@@ -67,7 +68,7 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
         focus = queries.select("query_id", focus_query(F.col("text")).alias("text"))
         batches = batches.unionByName(round_of(refined(focus, hits, plan), 1))
     # hits of few ids and numbers, which several of the following steps read
-    batches = batches.persist(StorageLevel.MEMORY_AND_DISK)
+    batches = materialise(batches, "snapshot-hits")
     fused = r.fuse_batches(batches.withColumnRenamed("doc_id", "key"), candidates).withColumnRenamed("key", "doc_id").withColumnRenamed("rank", "retrieval_rank")
     rows = fused.join(chunks, "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     if scorer is None:
@@ -81,7 +82,12 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source", "page", "section", "score", "retrieval_rank", "content"))).alias("chunks"), F.count("*").alias("returned_count"), F.countDistinct("source").alias("source_diversity"))
     counted = rows.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
     rounds = batches.groupBy("query_id").agg((F.max("iteration") + 1).alias("iteration_count"))
-    return listed.join(context, "query_id").join(counted, "query_id").join(rounds, "query_id")
+    out = queries.select("query_id")
+    for part in (listed, context, counted, rounds):
+        out = out.join(part, "query_id", "left")
+    nothing = F.sha2(F.lit(""), 256)
+    empty = {"context_text": F.lit(""), "context_hash": nothing, "context_chars": F.lit(0), "candidate_count": F.lit(0), "returned_count": F.lit(0), "source_diversity": F.lit(0), "iteration_count": F.lit(0), "n_packed": F.lit(0), "chunks": F.from_json(F.lit("[]"), listed.schema["chunks"].dataType)}
+    return out.select("query_id", *[F.coalesce(c, empty[c]).alias(c) for c in out.columns if c != "query_id"])
 
 
 def rerank(rows: DataFrame, scorer: models.PairScorer = models.overlap_score, query: str = "query", text: str = "content") -> DataFrame:

@@ -185,7 +185,7 @@ def retrieval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.plans.retrieval import snapshot
 
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return snapshot(asked, _chunks(spark, sf_dir), index.build(table(spark, sf_dir, "documents")).persisted()).drop("chunks")
+    return snapshot(asked, _chunks(spark, sf_dir), index.build(table(spark, sf_dir, "documents"))).drop("chunks")
 
 
 @query()

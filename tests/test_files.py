@@ -89,6 +89,14 @@ def test_engine(spark, tmp_path):
     assert {r["source"] for r in engine.chunks.collect()} == {"glucose.md", "new.md"}
     engine.delete(spark.createDataFrame([("new.md",)], "source string"))
     assert {r["source"] for r in engine.chunks.collect()} == {"glucose.md"} and engine.stats().first()["n_chunks"] == 1
+    one = engine.chunks
+    engine.upsert(one.withColumn("content", F.lit("anew")).unionByName(one.withColumn("doc_id", F.lit("z")).withColumn("source", F.lit("z.md"))))
+    assert {(r["source"], r["content"]) for r in engine.chunks.collect()} == {("glucose.md", "anew"), ("z.md", one.first()["content"])}
+    # a version that was not finished is not seen
+    (tmp_path / "kb" / "v99" / "chunks").mkdir(parents=True)
+    assert engine.stats().first()["n_chunks"] == 2 and all(engine.healthy().values())
+    engine.reset()
+    assert engine.chunks.count() == 0 and not engine.healthy()["chunks"]
 
 
 def test_streams(spark, tmp_path):

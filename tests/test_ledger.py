@@ -65,3 +65,20 @@ def test_latest_and_grid(spark, runs):
     models = spark.createDataFrame([("m1", True), ("m2", False)], "model_id string, enabled boolean")
     conditions = spark.createDataFrame([("ZS", True), ("ZS", False)], "strategy string, rag_enabled boolean")
     assert L.grid(spark.createDataFrame([(1,), (2,)], "sample_id int"), conditions, models, 3).count() == 12
+
+
+def test_bootstrap(spark):
+    """Graded differences are resampled as they are; the interval is that of drawing pairs."""
+    import numpy as np
+
+    from siltstone.functions.stats import bootstrap_ci
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random(200).round(2), rng.random(200).round(2)
+    pairs = spark.createDataFrame([("g", float(x), float(y)) for x, y in zip(a, b)] + [("h", 0.75, 0.5)] * 9 + [("h", None, 1.0)], "g string, a double, b double")
+    got = {r["g"]: (r["ci_low"], r["ci_high"]) for r in bootstrap_ci(pairs, ("g",), "a", "b", 4000).collect()}
+    means = np.sort([(a - b)[rng.integers(0, 200, 200)].mean() for _ in range(4000)])
+    assert got["g"] == pytest.approx((means[100], means[3899]), abs=0.01) and got["h"] == pytest.approx((0.25, 0.25))
+    small = spark.createDataFrame([("g", 0.8, 0.7), ("g", 0.7, 0.6), ("g", 0.9, 0.85), ("g", 0.6, 0.5)], "g string, a double, b double")
+    row = bootstrap_ci(small, ("g",), "a", "b", 200, 1).first()
+    assert 0.05 <= row["ci_low"] <= 0.0875 <= row["ci_high"] <= 0.1 + 1e-12

@@ -71,9 +71,11 @@ def test_gate(spark):
 def test_snapshot_and_experiment(spark, docs):
     chunks = docs.select("doc_id", F.lit("src.md").alias("source"), F.lit(None).cast("int").alias("page"), F.lit("Needs").alias("section"), F.col("text").alias("content"))
     asked = spark.createDataFrame([("q1", "what protein dose do preterm infants need")], "query_id string, text string")
-    own = index.build(docs).persisted()
+    own = index.build(docs)
     row = plans.snapshot(asked, chunks, own).first()
     assert row["returned_count"] >= 1 and "protein" in row["context_text"] and row["iteration_count"] == 2
+    none = plans.snapshot(asked.unionByName(spark.createDataFrame([("q0", "zzz qqq")], asked.schema)), chunks, own).filter("query_id = 'q0'").collect()
+    assert [(r["chunks"], r["context_text"], r["candidate_count"], r["returned_count"], r["iteration_count"]) for r in none] == [([], "", 0, 0, 0)]
     samples = spark.createDataFrame([("q1", "mcq", "which", ["x", "y"], "A", None), ("q2", "open_ended", "say it", None, None, "say it")], "sample_id string, track string, question string, options array<string>, answer_key string, reference_answer string")
     conditions = spark.createDataFrame([("ZS", True), ("COT", False)], "strategy string, rag_enabled boolean")
     model = spark.createDataFrame([("m", True)], "model_id string, enabled boolean")
@@ -119,6 +121,30 @@ def test_prep(spark):
     assert [r["sample_id"] for r in prep.calc_selected(prep.calc_scored(records), 2).collect()] == ["calc_006", "calc_005"]
 
 
+CALC = "`S.No` string, Provider string, Question string, Answer string, Complexity string, `Source Document` string, `Verification Confidence` string"
+
+
+def test_stratified_selection(spark):
+    """Two of the highest weight, then two by their messy scores."""
+    rows = [
+        ("10", "p", "Calculate dose: 2 g/kg/day for 2 kg.", "Dose is 4 g/day.", "advanced", "DocA", "0.95"), ("11", "p", "Calculate GIR for 1 kg at 3 mL/hr D10.", "GIR is 5 mg/kg/min.", "advanced", "DocB", "0.94"),
+        ("12", "p", "Calculate infusion rate for a PN bag over 24 hours.", "Initial 0.1 mL/hr, then advance to 0.2 mL/hr as tolerated.", "intermediate", "DocC", "0.90"), ("13", "p", "Calculate infusion rate for 12 mL over 24 hours.", "0.5 mL/hr.", "intermediate", "DocD", "0.70"),
+        ("14", "p", "Calculate recommended fluids.", "Recommended fluids: 100-120 mL/kg/day.", "basic", "DocE", "0.98"), ("15", "p", "Calculate GIR.", "5 mg/kg/min.", "basic", "DocF", "0.99"),
+    ]
+    scored = prep.calc_scored(prep.calc_records(spark.createDataFrame(rows, CALC)))
+    assert [r["sample_id"] for r in prep.calc_selected(scored, 4, 2).orderBy("sample_id").collect()] == ["calc_010", "calc_011", "calc_012", "calc_013"]
+    # weight * 10, keys * 2, keys of several values * 3, ranges * 3, words, density
+    assert {r["sample_id"]: (r["density"], r["messy"]) for r in scored.collect()} == {"calc_010": (2, 36), "calc_011": (2, 37), "calc_012": (2, 20 + 2 + 3 + 2 + 2), "calc_013": (2, 20 + 4 + 2), "calc_014": (1, 10 + 2 + 3 + 1), "calc_015": (1, 14)}
+
+
+def test_messy_bounds(spark):
+    """Words count once and up to 6, the density up to 12; spellings of a unit or per are one key."""
+    words = " ".join(["max", "limit", "target", "initial"] * 3)
+    answer = words + " " + ", ".join(f"{k} mg/kg/d" for k in range(1, 15)) + ", 3 mg/kg/day, 2 ug, 2 mcg, 1 mg/dL"
+    row = prep.calc_scored(prep.calc_records(spark.createDataFrame([("1", "p", "Calculate it", answer, "basic", "s", "1")], CALC))).first()
+    assert row["density"] == 16 and row["messy"] == 10 + 3 * 2 + 1 * 3 + 0 + 6 + 12
+
+
 def test_collection_stats_counts_all_rows(spark):
     """One source fills the first 6,000 rows; 40 others and a null one come after it."""
     rows = spark.range(6041).coalesce(1).select(F.when(F.col("id") < 6000, "hot").when(F.col("id") < 6040, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
