@@ -35,13 +35,13 @@ from siltstone.llm.common import attach, materialise
 #: Vectors that rotations, widths and the radius are fitted on, at most; bits of the longest code.
 SAMPLE, MAX_BITS = 8_192, 1_536
 #: 64-bit words of a code that the radius is measured on.
-WORDS = 8
+WORDS = 12
 #: Share of the sample's neighbours that the tables, and then the radius, must let through.
 PROBED, REACHED = 0.965, 0.975
 #: Queries whose true neighbours the fit looks up, by comparing them with all vectors.
 FITTED_QUERIES = 256
 #: What a shuffled row costs, in codes compared within the join.
-ROW_COST = 2
+ROW_COST = 3
 #: Queries of the exact search that a task holds at once, about.
 EXACT_BLOCK = 2_048
 
