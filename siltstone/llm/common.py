@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key counts as hot when it holds over 1/HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
-
+from siltstone.tables import discard, materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Only where none is set (tests), a local one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return sc.getCheckpointDir()
+__all__ = ["attach", "cache_cleared_by", "claim", "discard", "each_text", "materialise", "shared_dir", "text_of"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key counts as hot when it holds over 1/HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
 
 
 _CACHES: dict[str, Callable[[], None]] = {}

@@ -1,169 +1,137 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; texts drawn from all documents, whatever they are, are the unlabelled ones.
-A linear model over the presence of hashed words is trained in numpy on the non-negative risk estimator
+Confirmed toxic texts are the positives; all texts that may be learnt from, whatever they are, are the unlabelled ones. A
+linear model over hashed words and beginnings of words is trained in numpy on the non-negative risk estimator
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
-whose class prior corrects for the toxic texts among the unlabelled. Both samples are bounded by parameters, so that
-the fit takes the same memory on the driver at any size; every whole text is scored, in Arrow batches.
+whose class prior corrects for the toxic texts among the unlabelled. With the logistic loss the part over the unlabelled
+is a sum over their rows, so the fit takes all of them: each pass is a job whose tasks add up risk and gradient. Only the
+positives, whose number a parameter bounds, are gathered on the driver, as places of features. Every whole text is
+scored, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
+from siltstone.llm import linear
+from siltstone.llm.common import claim, each_text, text_of
+from siltstone.llm.linear import held_out, word_buckets
 
-#: Sample bounds of the fit, in documents.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-#: Words are hashed to so many bits; so many of them are features of the model.
-BITS, FEATURES = 20, 100
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Confirmed toxic texts of the fit, at most; the unlabelled have no bound.
+MAX_POSITIVE = 4_000
+#: Buckets that are features of the model; weight of the squared weights; passes over the unlabelled.
+FEATURES, DECAY, PASSES = 4_096, 1e-3, 40
+#: Logits are counted in bins of this width, between -30 and 30.
+BIN = 0.01
 
 
-class Buckets(dict):
-    """Hash buckets of words; so many are kept."""
+@dataclass(frozen=True)
+class Model:
+    buckets: np.ndarray  # the features, sorted
+    weights: np.ndarray  # the bias last
 
-    LIMIT = 150_000
+    def score(self, found: np.ndarray) -> float:
+        z = self.weights[linear.places(found, self.buckets)].sum() + self.weights[-1]
+        return float(linear.sigmoid(z))
 
-    def __missing__(self, word: bytes) -> int:
-        b = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
-        if len(self) < self.LIMIT:
-            self[word] = b
-        return b
 
+NOTHING = Model(np.empty(0, np.int32), np.array([-30.0]))
 
-_BUCKETS = Buckets()
-cache_cleared_by("buckets", _BUCKETS.clear)
 
+def fit(positive: list[np.ndarray], unlabelled: DataFrame, total: int, buckets: np.ndarray, scale: np.ndarray, prior: float, passes: int = PASSES, decay: float = DECAY) -> Model:
+    """Minimises the risk from the positives' places among the features and the table of all others' (at).
 
-def word_buckets(text: str) -> np.ndarray:
-    """The sorted distinct hash buckets of a text's words, A-Z in lower case."""
-    words = set(_WORD.findall(text.encode("utf-8", "surrogatepass").lower()))
-    return np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int32, len(words)))
+    A step that would take the estimate of the negative part below zero is shortened: beyond that the model only learns
+    the rows by heart. At the end the scores are cut where the prior-corrected risk of wrong decisions is least.
+    """
+    size, scale = len(buckets), np.r_[scale, 1.0]
+    index, row = np.concatenate(positive).astype(np.int64), np.repeat(np.arange(len(positive)), [len(x) for x in positive])
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def vector(batch: pa.RecordBatch) -> np.ndarray:
+            at, of = linear.flat(batch.column(0), np.uint16)
+            z = linear.logits(at, of, batch.num_rows, w)
+            return np.r_[linear.gradient(at, of, linear.sigmoid(z), size), linear.softplus(z).sum()]
+
+        return linear.summed(unlabelled.select("at"), size + 2, vector) / total
+
+    def risk(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = linear.logits(index, row, len(positive), w * scale)
+        u = sums(w * scale)
+        # logistic loss: l(z, +) = log(1 + e^-z), l(z, -) = log(1 + e^z); their difference is -z
+        negative = u[-1] - prior * linear.softplus(z).mean()
+        gradient = u[:-1] - prior * linear.gradient(index, row, np.full(len(positive), 1 / len(positive)), size)
+        value = negative + prior * linear.softplus(-z).mean() + decay / 2 * (w[:-1] @ w[:-1])
+        return (value if negative >= 0 else np.inf), gradient * scale + decay * np.r_[w[:-1], 0]
+
+    w = np.zeros(size + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    w = linear.minimise(risk, w, passes) * scale
 
+    def histogram(batch: pa.RecordBatch) -> np.ndarray:
+        at, of = linear.flat(batch.column(0), np.uint16)
+        return np.bincount(binned(linear.logits(at, of, batch.num_rows, w)), minlength=BINS)
 
-@dataclass(frozen=True)
-class Model:
-    buckets: np.ndarray  # the features, sorted
-    weights: np.ndarray
-    bias: float
+    counts = linear.summed(unlabelled.select("at"), BINS, histogram)
+    w[-1] -= threshold(np.bincount(binned(linear.logits(index, row, len(positive), w)), minlength=BINS), counts, prior)
+    return Model(buckets, w)
+
+
+BINS = round(60 / BIN) + 1
 
-    def score(self, found: np.ndarray) -> float:
-        at = np.searchsorted(self.buckets, found)
-        at[at == len(self.buckets)] = 0
-        hit = at[self.buckets[at] == found] if len(self.buckets) else at[:0]
-        z = self.bias + self.weights[hit].sum()
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def chosen(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int = FEATURES) -> np.ndarray:
-    """The buckets whose share of texts differs most between the samples, in standard errors."""
-    p, u = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int32), minlength=1 << BITS) for x in (positive, unlabelled))
-    a, b = max(len(positive), 1), max(len(unlabelled), 1)
-    pooled = (p + u + 1) / (a + b + 2)
-    z = (p / a - u / b) / np.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
-    z[p + u < 3] = 0
-    return np.sort(np.argsort(-np.abs(z), kind="stable")[:features])
-
-
-def presence(texts: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(texts), len(buckets)), np.float32)
-    for row, found in zip(x, texts):
-        row[np.isin(buckets, found, assume_unique=True)] = 1
-    return x
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-3, seed: int = 8) -> Model:
-    """The non-negative risk is minimised by Adam over mini-batches, with the logistic loss; where a batch's negative
-    part falls below zero, the step goes up its gradient instead. Without positives the model scores all texts 0."""
-    if not positive or not unlabelled:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float64), -30.0)
-    buckets = chosen(positive, unlabelled)
-    xp, xu = presence(positive, buckets), presence(unlabelled, buckets)
-    rng = np.random.default_rng(seed)
-    w = np.zeros(len(buckets) + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    batches = max(8, min(40, len(unlabelled) // 256))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for _ in range(epochs):
-        order_p, order_u = rng.permutation(len(xp)), rng.permutation(len(xu))
-        for k in range(batches):
-            p, u = xp[order_p[k % len(xp) :: batches]], xu[order_u[k % len(xu) :: batches]]
-            zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-            # logistic loss: l(z, +) = log(1 + e^-z), l(z, -) = log(1 + e^z)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-            if negative >= 0:
-                at_p, at_u = prior * (gp - 1 / len(zp)) - prior * gp, gu
-            else:
-                at_p, at_u = prior * gp, -gu
-            g = np.r_[p.T @ at_p + u.T @ at_u, at_p.sum() + at_u.sum()]
-            g[:-1] += decay * w[:-1]
-            step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(buckets, w[:-1], float(w[-1]) - threshold(xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1], prior))
+
+def binned(z: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(z, -30, 30) + 30) / BIN).astype(np.int64)
 
 
 def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The cut between logits of the least non-negative risk of wrong decisions, and of such cuts the widest.
+    """The cut between bins of logits of the least non-negative risk of wrong decisions, and of such cuts the middle of
+    the widest run.
 
     The logistic fit separates the classes but is unsure of texts with few telling words; the cut says where, by the
     class prior, the unlabelled texts above are no more than the positives account for.
     """
-    every = np.unique(np.r_[positive, unlabelled])
-    cuts, width = np.r_[every[:1] - 1, (every[1:] + every[:-1]) / 2, every[-1:] + 1], np.r_[0.0, np.diff(every), 0.0]
-    above = lambda z: 1 - np.searchsorted(np.sort(z), cuts) / len(z)
+    above = lambda n: 1 - np.r_[0, np.cumsum(n)] / max(n.sum(), 1)  # noqa: E731  of each cut, below bin 0 to above the last
     found = above(positive)
     risk = prior * (1 - found) + np.maximum(0, above(unlabelled) - prior * found)
-    best = np.flatnonzero(risk <= risk.min() + 0.002)
-    return float(cuts[best[np.argmax(width[best])]])
-
+    good = np.flatnonzero(risk <= risk.min() + 0.002)
+    runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
+    run = max(runs, key=len)
+    return float((run[0] + run[-1]) / 2 - 0.5) * BIN - 30
 
-def held_out() -> Column:
-    """Rows whose label is never learnt from."""
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, bag: DataFrame | None = None) -> Model:
+    """Fits on the positives that come first by a hash of their ids and on all texts, none of them held out.
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fits on the positives and the unlabelled texts that come first by a hash of their ids, none of them held out.
-
-    The class prior is the share of toxic rows among the labels that may be learnt from.
+    The class prior is the share of toxic rows among the labels that may be learnt from. Repeated rows of a positive id
+    count once among the positives. bag: as of linear.bags(), where it is there already.
     """
     own = labels.filter("toxic is not null and doc_id is not null").filter(~held_out())
     share = own.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not share:
-        return fit([], [], 0.1)
+        return NOTHING
     prior = min(max(share, 0.001), 0.9)
-    text = docs.filter("doc_id is not null").filter(~held_out()).select("doc_id", text_of().alias("text"))
-    order = F.xxhash64("doc_id")
-    first = own.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive)
-    positive = sample(text.join(F.broadcast(first), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive))
-    ids = text.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
-    unlabelled = sample(text.join(F.broadcast(ids), "doc_id", "left_semi"))
-    return fit(positive, unlabelled[:max_unlabelled], prior)
-
-
-def sample(texts: DataFrame) -> list[np.ndarray]:
-    """The word buckets of a bounded sample, made on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_buckets(t).tobytes() for t in each_text(batch.column(0))], pa.binary())], names=["buckets"])
-
-    return [np.frombuffer(r[0], np.int32) for r in texts.select("text").mapInArrow(run, "buckets binary").collect()]
+    bag = (linear.bags(docs) if bag is None else bag).filter("doc_id is not null").filter(~held_out())
+    # ids alone are put in order; the bound holds for what is broadcast too
+    first = own.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
+    known = bag.join(F.broadcast(first), "doc_id", "left_semi")
+    p, total, known_n = linear.frequencies(known), bag.count(), known.count()
+    if not known_n or not p.any():
+        return NOTHING
+    buckets, scale = linear.telling(np.where(p >= 2, p, 0), known_n, linear.frequencies(bag, p >= 2), total, FEATURES)
+    if not len(buckets):
+        return NOTHING
+    rows = linear.reduced(bag, buckets, "toxicity-places")
+    positive = rows.join(F.broadcast(first), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("at").alias("at")).collect()
+    return fit([np.frombuffer(r["at"], np.uint16) for r in sorted(positive)], rows, total, buckets, scale, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -183,10 +151,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 where score >= 0.5).
 
-    Rows without an id are scored and not held out. Labels of unknown ids, null labels and repeated labels are no
-    error; where no row is labelled toxic all scores are near 0. Repeated rows get equal scores. An empty table gives
-    no rows. Columns other than doc_id and text are not read.
+    Rows without an id are scored, not held out and not learnt from. Labels of unknown ids, null labels and repeated
+    labels are no error; where no row is labelled toxic all scores are near 0. Repeated rows get equal scores; a score of
+    just 0.5 is predicted 1. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    model = train(docs, labels, **bounds)
-    scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    bag = linear.bags(docs)
+    model = train(docs, labels, bag=bag, **bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(np.frombuffer(x, np.int32)) for x in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+
+    scored = bag.mapInArrow(run, f"doc_id {bag.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

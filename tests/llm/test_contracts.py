@@ -278,6 +278,62 @@ def test_quality(labelled):
     assert len(wrong) <= 4 and len(got) == len(rows)
 
 
+def held_out_figures(spark, run, column):
+    """Accuracy, and the share of each class found, on labelled rows that no fit has seen."""
+    folder = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in run(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    rows = [(got[i]["predicted"], y) for i, y in duckdb.sql(f"select doc_id, {column} from '{folder}/labels.parquet' where {column} is not null").fetchall() if held(i)]
+    share = lambda k: np.mean([p == y for p, y in rows if y == k])
+    return np.mean([p == y for p, y in rows]), share(0), share(1)
+
+
+def test_toxicity_held_out(spark):
+    accuracy, clean, toxic = held_out_figures(spark, toxicity.toxicity, "toxic")
+    assert accuracy > 0.95 and clean > 0.98 and toxic > 0.75
+
+
+def test_quality_held_out(spark):
+    accuracy, bad, good = held_out_figures(spark, quality.quality, "quality")
+    assert accuracy > 0.9 and bad > 0.45 and good > 0.97
+
+
+def test_classifiers_on_odd_rows(spark, labelled):
+    """Clashing columns, repeated rows with one id, a very long text, and labels given twice."""
+    docs, labels, rows = labelled
+    odd = [(7, "vile " * 3, "en", "a"), (7, "vile " * 3, "en", "a"), (7, "other", None, None), (8000, "river stone " * 200_000, "en", "b"), (8001, None, None, None)]
+    odd = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for c in ("score", "predicted", "toxicity", "y", "words", "at", "meta", "held_out", "_bag_text"):
+        odd = odd.withColumn(c, F.lit("x"))
+    twice = labels.unionByName(labels.filter("doc_id < 50"))
+    for run, name in ((toxicity.toxicity, "toxic"), (quality.quality, "quality")):
+        got = run(odd, twice).collect()
+        assert len(got) == len(rows) + 5 and all(0 <= r["score"] <= 1 for r in got)
+        same = [r["score"] for r in got if r["doc_id"] == 7]
+        assert len(set(same)) <= 3 and len(same) == 4
+    scored = toxicity.score(odd, toxicity.train(odd, twice))
+    assert scored.columns == [c for c in odd.columns if c != "toxicity"] + ["toxicity"] and {r["y"] for r in scored.select("y").collect()} == {"x"}
+
+
+def test_all_unlabelled_rows_count():
+    """The unlabelled part of the risk is a sum over all rows: document frequencies and gradients are those of one table."""
+    from siltstone.llm import linear
+
+    rng = np.random.default_rng(1)
+    w, rows = rng.normal(size=9), [rng.choice(8, rng.integers(0, 8), replace=False).astype(np.uint16) for _ in range(50)]
+    import pyarrow as pa
+
+    at, row = linear.flat(pa.array([r.tobytes() for r in rows], pa.binary()), np.uint16)
+    x = np.zeros((50, 9))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    x[:, 8] = 1
+    assert linear.logits(at, row, 50, w) == pytest.approx(x @ w)
+    slope = rng.normal(size=50)
+    assert linear.gradient(at, row, slope, 8) == pytest.approx(x.T @ slope)
+    quadratic = lambda v: (float(((v - 3) ** 2 * np.arange(1, 10)).sum()), 2 * (v - 3) * np.arange(1, 10))
+    assert linear.minimise(quadratic, np.zeros(9), 60) == pytest.approx(np.full(9, 3.0), abs=1e-3)
+
+
 def test_classifiers_without_labels(spark, labelled):
     docs, labels, _ = labelled
     none = labels.filter("false")
