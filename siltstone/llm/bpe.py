@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
-from siltstone.llm.token_pieces import PieceEncoder, sliced
+from siltstone.llm.common import cache_cleared_by, claim, text_of
+from siltstone.llm.token_pieces import PieceEncoder
 
 #: Pieces of more characters than this are matched by the regex module, whose matching does not recurse on long white space.
 LONG_PIECE = 2_000
@@ -58,7 +58,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") ->
         claim("bpe")
         own = encoder(rank_file, pattern)
         for batch in batches:
-            ids = [x for part in sliced(each_text(batch.column(len(others)))) for x in own.encode(part)]
+            ids = list(own.encode_column(batch.column(len(others))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*others, "ids", "n_tokens"])
 
     return rows.mapInArrow(run, rows.drop("_bpe_text").schema.add("ids", "binary").add("n_tokens", "long"))
@@ -70,7 +70,12 @@ def decode_bytes(ids: bytes, rank_file: str, pattern: str) -> bytes:
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded to bytes."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded to bytes.
+
+    A null text counts as empty: no ids, and the digests of nothing. Null ids and repeated rows each keep a row. Very long
+    texts are encoded piece by piece like others. An empty table gives no rows; columns other than doc_id and text, whatever
+    their names, are not read.
+    """
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +83,10 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         own, enc = encoder(rank_file, pattern), encoding(rank_file, pattern)
         for batch in batches:
             n, digests, decoded = [], [], []
-            for part in sliced(each_text(batch.column(1))):
-                for ids in own.encode(part):
-                    n.append(len(ids) // 4)
-                    digests.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(enc.decode_bytes(memoryview(ids).cast("I").tolist())).hexdigest())
+            for ids in own.encode_column(batch.column(1)):
+                n.append(len(ids) // 4)
+                digests.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(enc.decode_bytes(memoryview(ids).cast("I").tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["doc_id"].dataType

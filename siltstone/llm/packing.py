@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import cache_cleared_by, claim, each_text, text_of
-from siltstone.llm.token_pieces import PieceEncoder, sliced
+from siltstone.llm.common import cache_cleared_by, claim, text_of
+from siltstone.llm.token_pieces import PieceEncoder
 
 
 class TournamentTree:
@@ -60,7 +61,8 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_file)
-    own.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    # a special token's string in a text is ordinary text, as the description of these vocabularies has it
+    own.encode_special_tokens = True
 
     word, model = own.model.tokenize, byte_letters()
 
@@ -110,20 +112,22 @@ def pieces(docs: DataFrame, tokenizer_file: str, groups: int, length: int = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing")
-        own, count = encoder(tokenizer_file), 0
+        own, met = encoder(tokenizer_file), Counter()
         for batch in batches:
             names, out = batch.column(0), [[] for _ in range(6)]
             k = 0
-            for part in sliced(each_text(batch.column(1))):
-                for ids in own.encode(part):
-                    ids += end
-                    n, count = len(ids) // 4, count + 1
-                    group = zlib.crc32(f"{names[k].as_py()}:{zlib.crc32(ids)}:{count}".encode()) % groups
-                    for at in range(0, n, length):
-                        piece = ids[4 * at : 4 * (at + length)]
-                        for column, x in zip(out, (k, at, len(piece) // 4, zlib.crc32(piece), n, group)):
-                            column.append(x)
-                    k += 1
+            for ids in own.encode_column(batch.column(1)):
+                ids += end
+                n = len(ids) // 4
+                # equal rows are counted, so that many of them are dealt to many groups, in whatever order they come
+                same = f"{names[k].as_py()}:{zlib.crc32(ids)}".encode()
+                met[same] += 1
+                group = zlib.crc32(b"%b:%d" % (same, met[same])) % groups
+                for at in range(0, n, length):
+                    piece = ids[4 * at : 4 * (at + length)]
+                    for column, x in zip(out, (k, at, len(piece) // 4, zlib.crc32(piece), n, group)):
+                        column.append(x)
+                k += 1
             yield pa.RecordBatch.from_arrays([names.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"])
 
     return rows.mapInArrow(run, PIECES.format(rows.schema["doc_id"].dataType.simpleString()) + ", pack_group long")
@@ -133,7 +137,8 @@ def pack(docs: DataFrame, tokenizer_file: str, length: int = 1024, end_id: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty and gives the end id alone. Null ids and repeated rows are documents of their own, dealt to
-    groups by a hash of id, content and position in the partition, so that no value makes a group large; within a
+    groups by a hash of id, content and how many such rows the task has met, so that no value makes a group large and a
+    task that is run again deals its rows as before; within a
     group, equal lengths are taken by id, start and checksum. sequence_id: the group's number times 2**32, plus the
     sequence's number in it. An empty table gives no rows. Other columns are not read.
     """

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import array
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BOUNDARY = re.compile(r"(?<=\S) ")
 #: A line break between other characters is a match of its own; so is a run of punctuation after a letter or digit.
@@ -77,44 +81,63 @@ class PieceEncoder:
         self.memo.clear()
         self.units.clear()
 
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces that are not kept yet, each of which follows a space; those that may come again are
+        kept from now on."""
+        if len(self.memo) > self.limit:
+            self.memo.clear()
+        ids = self._encoded([self._units(p) for p in pieces])
+        self.memo.update((p, b) for p, b in zip(pieces, ids) if p and len(p) <= self.mixed and "\n" not in p and not p[-1].isspace())
+        return ids
+
+    def _cut(self, text: str) -> bytes:
+        """A text's ids, where a space may follow white space."""
+        head, *pieces = BOUNDARY.split(text)
+        found = {p: self.memo.get(p) for p in pieces}
+        todo = [p for p, b in found.items() if b is None]
+        found |= zip(todo, self._new(todo))
+        return b"".join([*self._encoded([[head]]), *map(found.__getitem__, pieces)])
+
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        """The texts are split at all spaces, the distinct pieces are encoded, and their ids are gathered in the pieces'
+        order: only what is distinct is ever a Python object. Texts where a space follows white space go another way."""
+        parts = pc.split_pattern(texts, " ")
+        start, pieces = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        at, words = pieces.indices.to_numpy().copy(), pieces.dictionary.to_pylist()
+        first = start[:-1]
+        heads = [words[k] for k in at[first].tolist()]
+        # what is kept does not end with white space
+        ids = list(map(self.memo.get, words))
+        todo, loose = [], np.zeros(len(words), bool)
+        for k, b in enumerate(ids):
+            if b is None:
+                w = words[k]
+                if not w or w[-1].isspace():
+                    loose[k], ids[k] = True, b""
+                else:
+                    todo.append(k)
+        for k, b in zip(todo, self._new([words[k] for k in todo])):
+            ids[k] = b
+        unsafe = loose[at]
+        unsafe[first] = [h[-1:].isspace() for h in heads]
+        whole = self._encoded([[h] for h in heads])
+        for k in np.flatnonzero(np.logical_or.reduceat(unsafe, first)).tolist():
+            whole[k] = self._cut(texts[k].as_py())
+            at[start[k] : start[k + 1]] = len(words) + len(whole)
+        at[first] = len(words) + np.arange(len(whole))
+        joined = pa.array(ids + whole + [b""], pa.large_binary()).take(pa.array(at))
+        end, data = np.frombuffer(joined.buffers()[1], np.int64), memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[end[a] : end[b]]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+    def encode_column(self, column: pa.Array, size: int = 12 << 20) -> Iterator[bytes]:
+        """For each text of a column without nulls its ids, packed; texts of about ``size`` bytes are held as pieces at once."""
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(column):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")) - at)
+            yield from self._joined(column.slice(at, n))
+            at += n
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        split, heads, missing = [], [], set()
-        for text in texts:
-            pieces = text.split(" ")
-            head = pieces.pop(0)
-            new = set(pieces).difference(memo)
-            if head[-1:].isspace() or any(not p or p[-1].isspace() for p in new):
-                pieces = BOUNDARY.split(text)
-                head = pieces.pop(0)
-                new = set(pieces).difference(memo)
-            heads.append(head)
-            split.append(pieces)
-            missing |= new
-        todo = list(missing)
-        found = dict(zip(todo, self._encoded([self._units(p) for p in todo])))
-        heads = self._encoded([[head] for head in heads])
-        memo.update((p, b) for p, b in found.items() if p and len(p) <= self.mixed and "\n" not in p and not p[-1].isspace())
-        out = []
-        for head, pieces in zip(heads, split):
-            try:
-                out.append(head + b"".join(map(memo.__getitem__, pieces)))
-            except KeyError:
-                out.append(head + b"".join([memo[p] if p in memo else found[p] for p in pieces]))
-        return out
-
-
-def sliced(texts: Iterable[str], chars: int = 400_000) -> Iterable[list[str]]:
-    """Runs of texts of about so many characters, so that the split pieces of few texts are held at once."""
-    run, n = [], 0
-    for text in texts:
-        run.append(text)
-        n += len(text)
-        if n >= chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+        return list(self.encode_column(pa.array(texts, pa.string())))

@@ -157,6 +157,34 @@ def test_packing(docs, table):
         assert at <= 1024
 
 
+def test_packing_deals_rows_the_same_way_again(spark):
+    """Groups hang on content, not on the order of rows; equal rows are dealt to several groups."""
+    rows = [(k % 7, f"text {k % 5} " * (k % 11)) for k in range(300)] + [(None, "same")] * 200
+    path = vocabulary("byte_bpe_50k.json")[0]
+    dealt = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        dealt.append(sorted((str(r["doc_id"]), r["start"], r["ids_crc32"], r["pack_group"]) for r in packing.pieces(df, path, 16).collect()))
+    assert dealt[0] == dealt[1] and len({g for d, _, _, g in dealt[0] if d == "None"}) > 8
+
+
+def test_pieces_by_columns():
+    """A column's texts are encoded as one by one, whatever the size of a run, and however spaces stand."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")[0]
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "word", "é", " ", "  ", "\n", " \n", "\u3000", "1", "...", "<|endoftext|>", "'s", "\U0001f642"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "x " * 5000]
+    for size in (1, 2000, 1 << 20):
+        got = list(packing.encoder(path).encode_column(pa.array(texts), size))
+        assert [memoryview(b).cast("I").tolist() for b in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_first_fit():
     import random
 
