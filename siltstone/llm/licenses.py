@@ -2,9 +2,11 @@
 
 Every rolling k-gram of a text's words is hashed, and the hashes are joined to the places of the templates' k-grams.
 The templates are fixed phrases of this module, so that side of the join is small at any size of the input and is
-broadcast. A hit votes for its diagonal, the offset of the text's place from the template's; neighbouring diagonals are
-merged, which lets a few words be missing or added; and a span counts when the words of its hits are those of the
-template and the votes cover enough of it. Short templates have too few k-grams for that, as one word breaks up to K of
+broadcast; their hashes are known beforehand, and what equals none of them is left out where it is made. A hit votes for
+its diagonal, the offset of the text's place from the template's; neighbouring diagonals are merged, which lets a few
+words be missing or added. A merged span has a first and a last word, and counts the template's places that voted, each
+once. It is verified: the text's words, which each hit has carried along from its surroundings, are read again against
+the template's on the span's diagonals. Short templates have too few k-grams for that, as one word breaks up to K of
 them: they are also looked for word by word, with one word added, missing or replaced.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_of
+from siltstone.llm.common import materialise, text_of
 from siltstone.llm.spans import let
 
 # Phrases whose words, standing together, give a label.
@@ -36,6 +38,8 @@ TEMPLATES = (
 )
 #: Words of a k-gram; k-grams that a template needs at least, as a share; how far apart merged diagonals are.
 K, COVER, DRIFT = 3, 0.7, 2
+#: Words that a hit carries along from before and after it: a span that holds it lies within these.
+AROUND = max(len(phrase.split()) for _, phrase in TEMPLATES) + 4 * DRIFT
 # Of the templates that one missing word takes below COVER, the words that name the license and always stand.
 NAMING = {
     "licensed under the apache license version 2 0": ("apache", "2"), "licensed under cc by nc": ("nc",), "licensed under cc by sa": ("sa",),
@@ -52,12 +56,36 @@ def words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """template, label, grams (their number), t (place), gram: as many rows as the fixed templates have k-grams."""
+    """template, label, phrase (its words), grams (their number), t (place), gram (its words): as many rows as the fixed
+    templates have k-grams."""
     rows = []
     for n, (label, phrase) in enumerate(TEMPLATES):
         w = phrase.split()
-        rows += [(n, label, len(w) - K + 1, t, " ".join(w[t : t + K])) for t in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template int, label string, grams int, t int, gram string").withColumn("g_hash", F.xxhash64(*[F.split("gram", " ")[i] for i in range(K)]))
+        rows += [(n, label, w, len(w) - K + 1, t, w[t : t + K]) for t in range(len(w) - K + 1)]
+    known = spark.createDataFrame(rows, "template int, label string, phrase array<string>, grams int, t int, gram array<string>")
+    return known.withColumn("g_hash", F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(K)]))
+
+
+def gram_hits(w: Column) -> Column:
+    """(p, g, start, around) of the k-grams that may be a template's: place, hash, and the words around from start on."""
+    grams = {tuple(x[t : t + K]) for x in (phrase.split() for _, phrase in TEMPLATES) for t in range(len(x) - K + 1)}
+    known = [F.xxhash64(*map(F.lit, gram)) for gram in sorted(grams)]
+
+    def hit(x: Column, i: Column) -> Column:
+        g, start = F.xxhash64(x, *[F.get(w, i + k) for k in range(1, K)]), F.greatest(i - AROUND, F.lit(0))
+        return F.when(g.isin(*known), F.struct(i.alias("p"), g.alias("g"), start.alias("start"), F.slice(w, start + 1, F.lit(2 * AROUND)).alias("around")))
+
+    return F.array_compact(F.transform(w, hit))
+
+
+def borne_out(phrase: Column, around: Column, low: Column, high: Column) -> Column:
+    """How many of a phrase's words stand in the text on one of the diagonals from low to high, counted from around's start."""
+
+    def stands(word: Column, j: Column) -> Column:
+        first = F.greatest(low + j, F.lit(0))
+        return F.array_contains(F.slice(around, first + 1, F.greatest(high + j - first + 1, F.lit(0))), word)
+
+    return F.size(F.filter(phrase, stands))
 
 
 def phrase_places(w: Column) -> Column:
@@ -110,38 +138,49 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def spans(hits: DataFrame) -> DataFrame:
+    """uid, label, first, last (words), share: the merged and verified spans of hits(uid, p, g, start, around).
+
+    share: the lesser of the share of the template's k-grams that voted, and of its words that are read again on the span's
+    diagonals. A span much longer than its template has share 0.
+    """
+    known = F.broadcast(template_grams(hits.sparkSession))
+    same = F.slice("around", F.col("p") - F.col("start") + 1, F.lit(K)) == F.col("gram")
+    votes = hits.join(known, (F.col("g") == F.col("g_hash")) & same).withColumn("diagonal", F.col("p") - F.col("t"))
+    order = W.partitionBy("uid", "template").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True)).cast("int")
+    merged = votes.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    merged = merged.groupBy("uid", "template", "label", "grams", "span").agg(
+        F.countDistinct("t").alias("voted"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last"), F.min_by(F.struct("start", "around"), "p").alias("text"), F.first("phrase").alias("phrase"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"),
+    )
+    length, start = F.col("last") - F.col("first") + 1, F.col("text.start")
+    read = borne_out(F.col("phrase"), F.col("text.around"), F.col("low") - start, F.col("high") - start)
+    share = F.least(F.col("voted") / F.col("grams"), read / F.size("phrase"))
+    return merged.select("uid", "label", "first", "last", F.when(length <= F.size("phrase") + 2 * DRIFT, share).otherwise(0.0).alias("share"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Null texts count as empty: no words, no labels, score 0. Repeated rows and null ids each keep a row. A text may
     hold a phrase many times; each place counts. score: 1 where a phrase stands in full, else the largest share of a
-    template's k-grams on merged diagonals, also where that is too low for a label or a short template stands with one
-    word changed. An empty table gives no rows;
-    columns other than doc_id and text are not read.
+    template's k-grams on merged diagonals that the span's words bear out, also where that is too low for a label or a
+    short template stands with one word changed. spans: label:first:last of the spans that give a label, by their words.
+    An empty table gives no rows; columns other than doc_id and text, whatever their names, are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), words(text_of()).alias("w"))
-    rows = rows.select("doc_id", "uid", "w", let(F.col("w"), phrase_places).alias("places"), let(F.col("w"), edited_labels).alias("edited"))
-    grams = let(F.col("w"), lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, K)])), 1, F.greatest(F.size(w) - K + 1, F.lit(0))))
-    p = F.transform("places", lambda x: x["p"])
-    base = F.struct(
-        "doc_id", F.size("w").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(p).cast("long").alias("first_word"), F.array_max(p).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))).alias("own"), "edited",
-    )
-    each = rows.select("uid", base.alias("base"), "w", F.posexplode_outer(grams).alias("p", "h"))
-    known = F.broadcast(template_grams(spark))
-    hits = each.join(known, F.col("h") == F.col("g_hash"), "left")
-    is_hit = F.col("t").isNotNull() & (F.concat_ws(" ", F.slice("w", F.col("p") + 1, F.lit(K))) == F.col("gram"))
-    hits = hits.filter("t is not null or p = 0 or p is null")
-    hits = hits.select("uid", F.when(F.coalesce(F.col("p"), F.lit(0)) == 0, F.col("base")).alias("base"), *[F.when(is_hit, F.col(c)).alias(c) for c in ("template", "label", "grams")], F.when(is_hit, F.col("p") - F.col("t")).alias("diagonal"))
-    votes = hits.groupBy("uid", "template", "label", "grams", "diagonal").agg(F.count("diagonal").alias("votes"), F.first("base", ignorenulls=True).alias("base"))
-    order = W.partitionBy("uid", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True)).cast("int")
-    votes = votes.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = votes.groupBy("uid", "template", "label", "grams", "span").agg(F.sum("votes").alias("votes"), F.first("base", ignorenulls=True).alias("base"))
-    share = F.least(F.lit(1.0), F.coalesce(F.col("votes") / F.col("grams"), F.lit(0.0)))
-    out = merged.groupBy("uid").agg(F.first("base", ignorenulls=True).alias("base"), F.array_sort(F.collect_set(F.when(share >= COVER, F.col("label")))).alias("others"), F.coalesce(F.max(share), F.lit(0.0)).alias("share"))
+    rows = rows.select("doc_id", "uid", F.size("w").cast("long").alias("n_words"), let(F.col("w"), phrase_places).alias("places"), let(F.col("w"), edited_labels).alias("edited"), let(F.col("w"), gram_hits).alias("hits"))
+    # written once, so that a number stays with its row whenever it is read
+    rows = materialise(rows, "license-rows")
+    found = spans(rows.select("uid", F.explode("hits").alias("x")).select("uid", "x.*"))
+    good = F.col("share") >= COVER
+    listed = F.array_sort(F.collect_list(F.when(good, F.struct("first", "last", "label"))))
+    found = found.groupBy("uid").agg(F.collect_set(F.when(good, F.col("label"))).alias("others"), F.max("share").alias("share"), F.transform(listed, lambda x: F.concat_ws(":", x["label"], x["first"], x["last"])).alias("spans"))
+    out = rows.drop("hits").join(found, "uid", "left")
+    p, own, none = F.transform("places", lambda x: x["p"]), F.array_distinct(F.transform("places", lambda x: x["label"])), F.array().cast("array<string>")
+    every = F.array_sort(F.array_union(F.array_union(own, "edited"), F.coalesce("others", none)))
+    n = F.size("places").cast("long")
     return out.select(
-        "base.doc_id", "base.n_words", "base.n_base", "base.first_word", "base.last_word", F.array_join("base.own", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(F.array_union("base.own", "base.edited"), "others")), ",").alias("labels"), F.when(F.col("base.n_base") > 0, 1.0).otherwise(F.col("share")).alias("score"),
+        "doc_id", "n_words", n.alias("n_base"), F.array_min(p).cast("long").alias("first_word"), F.array_max(p).cast("long").alias("last_word"), F.array_join(F.array_sort(own), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.when(n > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), F.array_join(F.coalesce("spans", none), ",").alias("spans"),
     )

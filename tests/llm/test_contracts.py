@@ -245,6 +245,56 @@ def test_license_diagonals(spark):
     assert 0 < got[2]["score"] < 0.7 and got[7]["score"] == 0.0
 
 
+def license_brute(text):
+    """The merged spans of every template, place by place: (label, first, last, share)."""
+    w, found = licenses_words(text), []
+    for label, phrase in licenses.TEMPLATES:
+        x = phrase.split()
+        hits = sorted((p - t, p, t) for p in range(len(w) - 2) for t in range(len(x) - 2) if w[p : p + 3] == x[t : t + 3])
+        chains = []
+        for d, p, t in hits:
+            if chains and d - chains[-1][-1][0] <= 2:
+                chains[-1].append((d, p, t))
+            else:
+                chains.append([(d, p, t)])
+        for chain in chains:
+            first, last = min(p for _, p, _ in chain), max(p for _, p, _ in chain) + 2
+            low, high = chain[0][0], chain[-1][0]
+            n = sum(word in w[max(low + j, 0) : max(high + j + 1, 0)] for j, word in enumerate(x))
+            share = min(len({t for *_, t in chain}) / (len(x) - 2), n / len(x)) if last - first + 1 <= len(x) + 4 else 0.0
+            found.append((label, first, last, share))
+    return found
+
+
+def licenses_words(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text))
+
+
+def test_license_spans_against_brute_force(spark, docs):
+    import random
+
+    rng = random.Random(6)
+    texts = [t for _, t in docs]
+    for _ in range(400):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 5)):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 1)] = rng.choice([[], ["x"], [w[i]], w[:2]])
+            out += w + rng.choice([[], ["between"], ["the"] * 3])
+        texts.append(" ".join(out))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.lit("a")).withColumn("w", F.lit("b")).withColumn("hits", F.lit("c"))).collect()}
+    for i, text in enumerate(texts):
+        found = license_brute(text)
+        good = sorted((first, last, label) for label, first, last, share in found if share >= licenses.COVER)
+        assert got[i]["spans"] == ",".join(f"{label}:{first}:{last}" for first, last, label in good), text
+        assert {label for *_, label in good} <= set(got[i]["labels"].split(","))
+        assert got[i]["score"] == pytest.approx(1.0 if got[i]["n_base"] else max((s for *_, s in found), default=0.0))
+
+
 def test_license_with_one_word_changed(spark):
     """Every template keeps its label with a word added in any gap, or any word but the last missing or replaced that does not name it."""
     cases = []
