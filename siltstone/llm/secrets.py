@@ -39,38 +39,38 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def strong(docs: DataFrame) -> DataFrame:
-    """Adds ``base``: the strong findings of each text, as (s, k, e)."""
-    text = text_of()
-    assign = F.filter(match_spans(text, ASSIGN, 2), lambda x: x["v"] >= 6)
-    access = F.filter(match_spans(text, ACCESS), lambda x: x["v"] >= 20)
-    return docs.select("doc_id", "text", _kind(assign, "assign").alias("assign"), _kind(access, "access").alias("access"), _kind(match_spans(text, HEX), "hex").alias("hex"))
-
-
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, h, weak: the weak candidates of each text that complementary parts stand by. found: as of strong().
-
-    Repeated rows have the same text and id, and so the same findings; they are one here.
-    """
-    bare = text_of()
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text) and, by kind, the arrays of (s, k, e) of strong findings and weak candidates, of every
+    row: a written table, so that each pattern goes over a text once. Weak candidates lie outside of strong findings."""
+    text = text_of()
+    assign = F.filter(match_spans(text, ASSIGN, 2), lambda x: x["v"] >= 6)
+    access = F.filter(match_spans(text, ACCESS), lambda x: x["v"] >= 20)
+    rows = docs.select("doc_id", text.alias("text"), _kind(assign, "assign").alias("assign"), _kind(access, "access").alias("access"), _kind(match_spans(text, HEX), "hex").alias("hex"))
     any_base = F.size("assign") + F.size("access") + F.size("hex") > 0
-    cover = F.when(any_base, masked(masked(masked(bare, ASSIGN), ACCESS), HEX)).otherwise(bare)
-    rows = found.select("doc_id", _key(bare).alias("h"), "assign", "access", "hex", cover.alias("cover"))
+    cover = F.when(any_base, masked(masked(masked(F.col("text"), ASSIGN), ACCESS), HEX)).otherwise(F.col("text"))
+    rows = rows.select("doc_id", _key(F.col("text")).alias("h"), "assign", "access", "hex", cover.alias("cover"))
     cover = F.col("cover")
-    mixed = lambda x: x["v"] > 0
     rows = rows.select(
         "doc_id", "h", "assign", "access", "hex",
-        _kind(match_spans(cover, ACCOUNT), "account").alias("account"), _kind(F.filter(match_spans(cover, BARE_KEY), mixed), "bare_key").alias("bare_key"), _kind(match_spans(cover, ENDPOINT), "endpoint").alias("endpoint"), "cover",
+        _kind(match_spans(cover, ACCOUNT), "account").alias("account"), _kind(F.filter(match_spans(cover, BARE_KEY), lambda x: x["v"] > 0), "bare_key").alias("bare_key"), _kind(match_spans(cover, ENDPOINT), "endpoint").alias("endpoint"), "cover",
     )
     # a bare key has letters of both cases and digits
     of = lambda x: F.substring(cover, x["s"] + 1, x["e"] - x["s"])
     rows = rows.withColumn("bare_key", F.filter("bare_key", lambda x: of(x).rlike("[a-z]") & of(x).rlike("[A-Z]") & of(x).rlike("[0-9]")))
+    return materialise(rows.drop("cover"), "secret-candidates")
+
+
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """doc_id, h, weak: the weak candidates of each text that complementary parts stand by. found: as of candidates().
+
+    Repeated rows have the same text and id, and so the same findings; they are one here.
+    """
     sides = F.concat("access", "account"), F.concat("assign", "hex", "bare_key")
-    rows = rows.filter((F.size("account") + F.size("bare_key") + F.size("endpoint") > 0) & (F.size(sides[0]) > 0) & (F.size(sides[1]) > 0))
+    rows = found.filter((F.size("account") + F.size("bare_key") + F.size("endpoint") > 0) & (F.size(sides[0]) > 0) & (F.size(sides[1]) > 0))
     parts = rows.select("doc_id", "h", F.explode(F.concat("assign", "access", "hex", "account", "bare_key", "endpoint")).alias("part")).select("doc_id", "h", "part.*").distinct()
     parts = materialise(parts.withColumn("block", F.floor(F.col("s") / scope)), "secret-parts")
     name, secret = F.col("k").isin(1, 3), F.col("k").isin(0, 2, 4)
@@ -91,10 +91,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     nor do empty ones. Null ids and repeated rows each keep a row. An empty table gives no rows; columns other than
     doc_id and text are not read.
     """
-    found = strong(docs.select("doc_id", "text"))
+    found = candidates(docs)
     weak = materialise(linked(found), "secret-links").select(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"), "weak")
-    rows = found.select("doc_id", _key(text_of()).alias("h"), "assign", "access", "hex")
-    out = rows.join(weak, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left")
+    out = found.join(weak, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")), "left")
     return out.select("doc_id", "h", "assign", "access", "hex", F.coalesce("weak", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")).alias("weak"))
 
 
@@ -112,7 +111,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, with every finding in ``text`` replaced by a mark (of an assignment, its value), and ``n_chars``, if there is
     such a column, counted anew. Texts without findings are unchanged and null texts stay null; all rows stay."""
     text = text_of()
-    weak = materialise(linked(strong(docs.select("doc_id", "text"))), "secret-links").select(F.col("doc_id").alias("_w_id"), F.col("h").alias("_w_h"), F.col("weak").alias("_w"))
+    weak = materialise(linked(candidates(docs)), "secret-links").select(F.col("doc_id").alias("_w_id"), F.col("h").alias("_w_h"), F.col("weak").alias("_w"))
     place = lambda spans, s: F.transform(spans, lambda x: F.struct(s(x).alias("s"), x["e"].alias("e")))
     own = F.concat(
         place(F.filter(match_spans(text, ASSIGN, 2), lambda x: x["v"] >= 6), lambda x: x["e"] - x["v"]),

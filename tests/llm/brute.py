@@ -77,3 +77,26 @@ def licenses(text):
     found = [(i, label) for phrase, label in PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     places = [i for i, _ in found]
     return len(w), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
+
+
+ACCOUNT = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+ENDPOINT = re.compile(r"""\b(?:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|jdbc:[a-z0-9]+)://[^\x00-\x20"'<>]{4,}""", re.I | re.A)
+
+
+def weak_secrets(text, scope=400):
+    """Every span that a scan lists: the base ones, and weak parts whose complement starts within the scope."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    cover = text
+    if found:
+        for pattern in (ASSIGN, re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")):
+            cover = pattern.sub(lambda m: "\0" * len(m[0]), cover)
+    weak = [(m.start(), 3, m.end()) for m in ACCOUNT.finditer(cover)]
+    weak += [(m.start(), 4, m.end()) for m in BARE_KEY.finditer(cover) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    weak += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(cover)]
+    near = lambda s, kinds: any(k in kinds and abs(x - s) <= scope for x, k, _ in found + weak)
+    out = found + [(s, k, e) for s, k, e in weak if (k == 4 or near(s, (0, 2, 4))) and (k == 3 or near(s, (1, 3)))]
+    return ",".join(f"{('assign', 'access', 'hex', 'account', 'bare_key', 'endpoint')[k]}:{s}:{e}" for s, k, e in sorted(out))
