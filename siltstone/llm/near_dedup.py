@@ -7,12 +7,14 @@ as one index key for each symbol left out, and every such pair meets under a key
 signatures, and linked on the full shingle sets.
 
 Identical sets are one class from the start. An index bucket passes on edges that span its similar members, never all
-their pairs; the tentative components of these edges hold every link. The members' sets then meet in tasks of bounded
-size (large components in pairs of blocks), which search for true links with an inverted list and pass on edges that
-span the linked members. The components of those are the result.
-
-With SYMBOLS = 36 in 9 chunks, a pair of similarity 0.85 meets under some key but for a chance of 3e-9, and passes the
-signature filter but for one of 1e-8.
+their pairs; the tentative components of these edges hold every link. The members' sets then meet: those of a small
+component in one task, which searches for true links with an inverted list and passes on edges that span the linked
+members. Of a large component, such as very many near copies of a text, a few pivots meet all members first, in as many
+tasks as it takes, and all that are linked through them are one cluster; only what is outside of the largest cluster
+meets the others, in pairs of blocks. The components of all these edges are the result.
+
+With SYMBOLS = 36 in 9 chunks, a pair of similarity 0.85 differs in more than 17 symbols, and so may fail to meet, with a
+chance of 1e-6 at most.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import attach, cache_cleared_by, claim, each_text, materialise, text_of
@@ -32,14 +35,16 @@ from siltstone.llm.components import components
 SHINGLE = 5
 SYMBOLS, CHUNK = 36, 4
 CHUNKS = SYMBOLS // CHUNK
-#: Signatures that differ in more symbols than this are not similar; the index finds all that differ in 2 * CHUNKS - 1.
-MAX_DISTANCE = 20
+#: Signatures that differ in more symbols than this are not similar: the index finds all that differ in so many.
+MAX_DISTANCE = 2 * CHUNKS - 1
 #: Larger buckets count as connected without a look at their signatures; their members' sets decide.
 BUCKET = 20_000
 #: In a batch of classes, a key of more rows than this sends one of them, and edges from it to the others.
-LOCAL_BUCKET = 2_000
-#: Bytes of shingle sets that one task holds of one block.
-BLOCK_BYTES = 4 << 20
+LOCAL_BUCKET = 500
+#: Bytes of shingle sets, and members, that one task holds of one component, or of a block of a large one.
+BLOCK_BYTES, BLOCK_MEMBERS = 4 << 20, 128
+#: Members of a large component that all the others meet first.
+PIVOTS = 8
 #: Members up to this number are broadcast to find their texts.
 BROADCAST_MEMBERS = 100_000
 
@@ -99,28 +104,46 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("words")
     for batch in batches:
         n, digests, signatures = [], [], []
-        for text in each_text(batch.column(1)):
+        for text in each_text(batch.column(2)):
             x = shingles(text)
             n.append(len(x))
             digests.append(set_digest(x) if len(x) else None)
             signatures.append(signature(x).tobytes() if len(x) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "h", "n_shingles", "digest", "signature"])
 
 
 def matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CHUNKS * CHUNK keys for each class: its chunk, the symbol left out, and the chunk's other symbols.
+#: What goes with a key: the class's digest, its signature in half bytes, its size and whether its bucket is too large; or
+#: both ends of an edge.
+DIGEST, HALF = 16, SYMBOLS // 2
+ENTRY = DIGEST + HALF + 5
 
-    A row with a negative key is an edge between id and other; that of an index key has the signature's low bytes.
-    """
+
+def halved(sig: np.ndarray) -> np.ndarray:
+    """The low half byte of each symbol, two to a byte: unequal ones are from unequal symbols."""
+    low = (sig & 15).astype(np.uint8)
+    return low[:, ::2] << 4 | low[:, 1::2]
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many half bytes rows differ."""
+    x = a ^ b
+    return ((x >> 4 != 0).sum(axis=-1) + (x & 15 != 0).sum(axis=-1)).astype(np.int64)
+
+
+def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CHUNKS * CHUNK keys for each class: its chunk, the symbol left out, and the chunk's other symbols. A row with a
+    negative key is an edge."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, size, sig = batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2), np.uint16, SYMBOLS)
-        low = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
+        ids, size, sig = matrix(batch.column(0), np.uint8, DIGEST), batch.column(1).to_numpy(), matrix(batch.column(2), np.uint16, SYMBOLS)
+        entry = np.zeros((len(ids), ENTRY), np.uint8)
+        entry[:, :DIGEST], entry[:, DIGEST : DIGEST + HALF] = ids, halved(sig)
+        entry[:, DIGEST + HALF : -1] = size.astype("<u4").view(np.uint8).reshape(-1, 4)
         for c in range(CHUNKS):
             part = sig[:, c * CHUNK : (c + 1) * CHUNK].astype(np.int64)
             for out in range(CHUNK):
@@ -128,21 +151,21 @@ def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.int64((c * CHUNK + out) << 48) | a << 32 | b << 16 | d
                 _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 hot = count > LOCAL_BUCKET
-                large = hot[inverse]
-                stays = ~large
+                stays = ~hot[inverse]
                 stays[first[hot]] = True
-                kept = np.flatnonzero(stays)
-                none = pa.nulls(len(kept), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), ids.take(pa.array(kept)), low.take(pa.array(kept)), pa.array(size[kept].astype(np.int32)), pa.array(hot[inverse[kept]]), none], names=KEYED)
-                if large.any():
-                    gone = np.flatnonzero(~stays)
-                    to = ids.take(pa.array(first[inverse[gone]]))
-                    spread = -1 - (gone.astype(np.int64) * 7919 + c)
-                    yield pa.RecordBatch.from_arrays([pa.array(spread), ids.take(pa.array(gone)), pa.nulls(len(gone), pa.binary()), pa.array(np.zeros(len(gone), np.int32)), pa.array(np.zeros(len(gone), bool)), to], names=KEYED)
+                entry[:, -1] = hot[inverse]
+                yield keyed(key[stays], entry[stays])
+                gone = np.flatnonzero(~stays)
+                if len(gone):
+                    yield keyed(-1 - (gone.astype(np.int64) * 7919 + c), np.concatenate([ids[gone], ids[first[inverse[gone]]]], axis=1))
+
 
+def keyed(key: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
+    return pa.RecordBatch.from_arrays([pa.array(key), data.cast(pa.binary())], names=["key", "entry"])
 
-KEYED = ["key", "id", "low", "size", "large", "other"]
-KEYED_SCHEMA = "key long, id binary, low binary, size int, large boolean, other binary"
+
+KEYED_SCHEMA = "key long, entry binary"
 
 
 def spanning(low: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -153,7 +176,7 @@ def spanning(low: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int,
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = ((low[rest] != low[at]).sum(axis=1) <= MAX_DISTANCE) & (np.minimum(size[rest], size[at]) * 100 >= np.maximum(size[rest], size[at]) * percent)
+            near = (apart(low[rest], low[at]) <= MAX_DISTANCE) & (np.minimum(size[rest], size[at]) * 100 >= np.maximum(size[rest], size[at]) * percent)
             if near.any():
                 found = rest[near]
                 edges += [(at, b) for b in found]
@@ -165,101 +188,95 @@ def spanning(low: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int,
 def bucket_edges(percent: int):
     """From rows sorted by key: edges that span each bucket's similar members."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        star: tuple[int, bytes] | None = None  # key and first member of a bucket that is too large
-
-        def out(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-        def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = rows["key"].to_numpy()
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            length = np.diff(np.r_[start, len(key)])
-            many = np.flatnonzero(length > 1)
-            if not len(many):
-                return
-            take = np.concatenate([np.arange(start[m], start[m] + length[m]) for m in many])
-            rows = rows.take(pa.array(take)).combine_chunks()
-            low, size, large = matrix(rows["low"], np.uint8, SYMBOLS), rows["size"].to_numpy().astype(np.int64), rows["large"].to_numpy()
-            at, a, b = 0, [], []
-            for m in many:
-                n = length[m]
-                part = slice(at, at + n)
-                if large[part].any() or n > BUCKET:
-                    pairs = [(0, k) for k in range(1, n)]
-                elif n == 2:
-                    near = (low[at] != low[at + 1]).sum() <= MAX_DISTANCE and min(size[part]) * 100 >= max(size[part]) * percent
-                    pairs = [(0, 1)] if near else []
-                else:
-                    pairs = spanning(low[part], size[part], percent)
-                a += [at + x for x, _ in pairs]
-                b += [at + y for _, y in pairs]
-                at += n
-            if a:
-                ids = rows["id"].combine_chunks()
-                yield out(ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())))
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ends = (pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (a, b))
+        return pa.RecordBatch.from_arrays(list(ends), names=["a", "b"])
+
+    def closed(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets."""
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[start, len(key)])
+        ids, low, large = rows[:, :DIGEST], rows[:, DIGEST : DIGEST + HALF], rows[:, -1] != 0
+        size = np.ascontiguousarray(rows[:, DIGEST + HALF : -1]).view("<u4")[:, 0].astype(np.int64)
+        two = start[length == 2]
+        two = two[~large[two] & ~large[two + 1]]
+        near = (apart(low[two], low[two + 1]) <= MAX_DISTANCE) & (np.minimum(size[two], size[two + 1]) * 100 >= np.maximum(size[two], size[two + 1]) * percent)
+        a, b = two[near].tolist(), (two[near] + 1).tolist()
+        for at, n in zip(start[length > 1].tolist(), length[length > 1].tolist()):
+            part = slice(at, at + n)
+            if large[part].any() or n > BUCKET:
+                pairs = [(0, k) for k in range(1, n)]
+            elif n == 2:
+                continue
+            else:
+                pairs = spanning(low[part], size[part], percent)
+            a += [at + x for x, _ in pairs]
+            b += [at + y for _, y in pairs]
+        if a:
+            yield out(ids[a], ids[b])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        star: tuple[int, np.ndarray] | None = None  # key and first member of a bucket that is too large
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            key = table["key"].to_numpy()
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
             edge = key < 0
             if edge.any():
-                rows = table.filter(pa.array(edge)).combine_chunks()
-                yield from (out(x.column(0), x.column(1)) for x in rows.select(["id", "other"]).to_batches())
-                table = table.filter(pa.array(~edge))
-                key = key[~edge]
-            if not len(key):
-                continue
-            if star is not None:
+                ends = matrix(batch.column(1).filter(pa.array(edge)), np.uint8, 2 * DIGEST)
+                yield out(ends[:, :DIGEST], ends[:, DIGEST:])
+            key, rows = key[~edge], matrix(batch.column(1).filter(pa.array(~edge)), np.uint8, ENTRY)
+            if star is not None and len(key):
                 same = key == star[0]
                 if same.any():
-                    ids = table.filter(pa.array(same))["id"].combine_chunks()
-                    yield out(ids, pa.array([star[1]] * len(ids), pa.binary()))
-                    table, key = table.filter(pa.array(~same)), key[~same]
-                if not len(key):
-                    continue
-                star = None
-            held = table if held is None else pa.concat_tables([held, table])
-            last = held["key"][-1].as_py()
-            whole = held["key"].to_numpy() != last
-            if whole.any():
-                yield from closed(held.filter(pa.array(whole)))
-                held = held.filter(pa.array(~whole))
-            if held.num_rows > BUCKET:
-                ids = held["id"].combine_chunks()
-                star = (last, ids[0].as_py())
-                yield out(ids, pa.array([star[1]] * len(ids), pa.binary()))
+                    yield out(rows[same][:, :DIGEST], np.repeat(star[1][None], same.sum(), axis=0))
+                key, rows = key[~same], rows[~same]
+                star = None if len(key) else star
+            if not len(key):
+                continue
+            if held is not None:
+                key, rows = np.r_[held[0], key], np.concatenate([held[1], rows])
+            last = key == key[-1]
+            if not last.all():
+                yield from closed(key[~last], rows[~last])
+            held = key[last], rows[last]
+            if len(held[0]) > BUCKET:
+                star = int(held[0][0]), held[1][0, :DIGEST]
+                yield out(held[1][:, :DIGEST], np.repeat(star[1][None], len(held[0]), axis=0))
                 held = None
-        if held is not None and held.num_rows:
-            yield from closed(held)
+        if held is not None:
+            yield from closed(*held)
 
     return run
 
 
-def member_sets(width: int):
-    """The shingle sets of texts that are members; of rows that share an id, those with the member's digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("words")
-        for batch in batches:
-            keep, sets = [], []
-            for k, (text, digest) in enumerate(zip(each_text(batch.column(width)), batch.column(0).to_pylist())):
+def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """digest and shingles of texts that are members: of a class, one in each task."""
+    claim("words")
+    seen: set[bytes] = set()
+    for batch in batches:
+        digests, sets = [], []
+        for text, digest in zip(each_text(batch.column(1)), batch.column(0).to_pylist()):
+            if digest not in seen:
                 x = shingles(text)
                 if set_digest(x) == digest:
-                    keep.append(k)
+                    seen.add(digest)
+                    digests.append(digest)
                     sets.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(keep, pa.int64())) for k in range(width)), pa.array(sets, pa.binary())], names=[*batch.schema.names[:width], "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return run
+
+def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def linked(sets: list[np.ndarray], block: list[int], percent: int) -> list[tuple[int, int]]:
     """Edges that span the members linked on their full sets; with two blocks, only links between these are sought."""
     n = len(sets)
     if n == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else []
+        return [(0, 1)] if is_linked(*sets, percent) else []
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(n), size)
     _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -323,6 +340,29 @@ def unit_links(percent: int):
     return run
 
 
+def pivot_links(percent: int):
+    """From rows sorted by root, part and pivots first: the edges between pivots and the members they are linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivots = None, []
+        for batch in batches:
+            a, b = [], []
+            for root, part, is_member, digest, held in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, part) != now:
+                    now, pivots = (root, part), []
+                x = np.frombuffer(held, np.uint64)
+                for other, y in pivots:
+                    if other != digest and is_linked(x, y, percent):
+                        a.append(other)
+                        b.append(digest)
+                if not is_member:
+                    pivots.append((digest, x))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -330,38 +370,82 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     Null and empty texts and texts of white space have an empty set, link with nothing and are components of
     their own. Texts under five words have their whole word sequence as one shingle. Repeated rows have equal sets and
     one component. component_id is the smallest id reachable, null ids aside; where all ids of a component are null it
-    is null. kept: doc_id equals component_id, or both are null. Other columns are not read. An empty table gives no
-    rows.
+    is null. kept: doc_id equals component_id, or both are null. Columns other than doc_id and text, whatever their
+    names, are not read. An empty table gives no rows.
     """
+    out = grouped(docs, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """As near_dedup(), with h, a hash of the text that tells rows of one id apart, and group: what rows of one component
+    share, null where a row's set is empty or it is alone."""
     if not 80 <= percent <= 100:
         raise ValueError("percent is from 80 to 100")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sketches = materialise(rows.mapInArrow(sketched, "doc_id long, n_shingles long, digest binary, signature binary"), "near-sketches")
-    classes = sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low_id"), F.min("n_shingles").cast("int").alias("size"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
-    classes = materialise(classes, "near-classes")
-    keyed = classes.select("digest", "size", "signature").mapInArrow(index_keys, KEYED_SCHEMA)
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(percent), "a binary, b binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    sketches = materialise(rows.mapInArrow(sketched, "doc_id long, h long, n_shingles long, digest binary, signature binary"), "near-sketches")
+    # a class is found again by the id and the text of one of its rows
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    classes = sketches.filter("digest is not null").groupBy("digest").agg(one.alias("one"), F.min("n_shingles").cast("int").alias("size"), F.min("signature").alias("signature"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("digest", F.col("one.doc_id").alias("low_id"), F.col("one.h").alias("low_h"), "size", "signature", "copies"), "near-classes")
+    index = classes.select("digest", "size", "signature").mapInArrow(index_keys, KEYED_SCHEMA)
+    edges = index.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(percent), "a binary, b binary")
     roots = components(edges, "near-tentative")
     links = confirmed(rows, classes, materialise(roots, "near-members"), percent)
     linked_to = components(links, "near-linked")
     nodes = classes.join(linked_to, F.col("digest") == F.col("node"), "left")
     lowest = nodes.filter("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("low_id").alias("lowest"), F.sum("copies").alias("n"))
     whole = nodes.filter("root is not null or copies > 1").join(lowest, F.col("root") == F.col("_root"), "left")
-    groups = materialise(whole.select(F.hex("digest").alias("hex"), F.coalesce("lowest", "low_id").alias("component"), "copies", F.lit(True).alias("grouped")), "near-groups")
-    out = attach(sketches.select("doc_id", "n_shingles", F.coalesce(F.hex("digest"), F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))).alias("hex")), groups, "hex", "copies", F.xxhash64("doc_id"))
-    component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    groups = materialise(whole.select(F.hex("digest").alias("hex"), F.coalesce("lowest", "low_id").alias("component"), "copies", F.hex(F.coalesce("root", "digest")).alias("group")), "near-groups")
+    own = F.coalesce(F.hex("digest"), F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    out = attach(sketches.select("doc_id", "h", "n_shingles", own.alias("hex")), groups, "hex", "copies", F.xxhash64("doc_id", "h"))
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("group").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that span the true links within the tentative components."""
-    members = classes.join(roots, F.col("digest") == F.col("node")).select("digest", "root", "low_id", "size")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") * 8) / BLOCK_BYTES).cast("int").alias("blocks"))
-    members = materialise(members.join(blocks, "root").select("digest", "root", "blocks", "low_id"), "near-blocks")
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id"))).select("digest", "root", "blocks", "text")
-    sets = found.mapInArrow(member_sets(3), "digest binary, root binary, blocks int, shingles binary")
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    each = sets.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "digest", "shingles")
-    return each.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(unit_links(percent), "a binary, b binary")
+    members = classes.join(roots, F.col("digest") == F.col("node")).select("digest", "root", "low_id", "low_h", "size")
+    total = members.groupBy("root").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes"))
+    is_large = (F.col("n") > 2 * BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES)
+    total = materialise(total.select("root", is_large.alias("large"), F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-roots")
+    members = materialise(members.drop("size"), "near-places")
+    wanted = members.select(F.col("digest").alias("_digest"), "low_id", "low_h")
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_MEMBERS else wanted
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("h") == F.col("low_h"))).select("_digest", "text")
+    sets = found.mapInArrow(member_sets, "digest binary, shingles binary")
+    # a root has many members: it is not what rows are dealt by
+    hot = total.filter("large").select(F.col("root").alias("_root"), "blocks")
+    of = members.select("digest", "root").join(F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot, F.col("root") == F.col("_root"), "left").drop("_root")
+    sets = materialise(sets.join(of, "digest"), "near-sets")
+    edge = "a binary, b binary"
+    small = sets.filter("blocks is null").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "digest", "shingles")
+    links = small.repartition("root").sortWithinPartitions("root", "i", "j").mapInArrow(unit_links(percent), edge)
+    if not hot.limit(1).collect():
+        return links
+    large = sets.filter("blocks is not null")
+    pivots = large.select("root", "digest").withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("digest"))).filter(F.col("k") <= PIVOTS).select(F.col("digest").alias("_pivot"))
+    chosen = large.join(pivots, F.col("digest") == F.col("_pivot"), "left")
+    part = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    led = chosen.filter("_pivot is not null").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(False).alias("member"), "digest", "shingles")
+    rest = chosen.filter("_pivot is null").select("root", part.alias("part"), F.lit(True).alias("member"), "digest", "shingles")
+    through = led.unionByName(rest).repartition("root", "part").sortWithinPartitions("root", "part", "member").mapInArrow(pivot_links(percent), edge)
+    through = materialise(through.distinct(), "near-pivots")
+    clusters = components(through, "near-clusters").select(F.col("node").alias("_node"), F.col("root").alias("cluster"))
+    own = materialise(large.select("digest", "root", "blocks").join(clusters, F.col("digest") == F.col("_node"), "left").select("digest", "root", "blocks", F.coalesce("cluster", "digest").alias("cluster")), "near-own")
+    sizes = own.groupBy("root", "cluster").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("root").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("every"))
+    # outside of the largest cluster: blocks of its own, which meet one another and those of the cluster
+    left = most.filter("every > n").select(F.col("root").alias("_root"), "main", F.ceil((F.col("every") - F.col("n")) / BLOCK_MEMBERS).cast("int").alias("others"))
+    left = materialise(left, "near-left")
+    if not left.limit(1).collect():
+        return links.unionByName(through)
+    placed = own.join(F.broadcast(left) if left.count() <= BROADCAST_MEMBERS else left, F.col("root") == F.col("_root"))
+    h = F.xxhash64("digest")
+    outside = F.col("cluster") != F.col("main")
+    # blocks of the cluster have negative numbers
+    placed = placed.select("digest", F.when(outside, F.pmod(h, F.col("others"))).otherwise(-1 - F.pmod(h, F.col("blocks"))).cast("int").alias("own_block"), F.when(outside, F.col("blocks")).otherwise(F.lit(0)).alias("down"), "others")
+    placed = placed.withColumn("with", F.explode(F.sequence(-F.col("down"), F.col("others") - 1)))
+    units = large.select("digest", "root", "shingles").join(placed, "digest")
+    units = units.select("root", F.least("own_block", "with").alias("i"), F.greatest("own_block", "with").alias("j"), F.col("own_block").alias("block"), "digest", "shingles")
+    between = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(unit_links(percent), edge)
+    return links.unionByName(through).unionByName(between)

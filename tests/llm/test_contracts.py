@@ -232,17 +232,57 @@ def test_near_in_blocks(docs, table, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: w[:2] for i, w in want.items()}
 
 
+@pytest.mark.parametrize("members, pivots", [(4, 1), (2, 3), (16, 8)])
+def test_near_with_pivots(docs, table, monkeypatch, members, pivots):
+    """A component of more members than a block meets through pivots; what these miss meets in blocks. The chain's ends
+    are linked only step by step."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    chain = [(20_000 + k, " ".join(f"c{i}" for i in range(k * 12, k * 12 + 200))) for k in range(25)]
+    spark = table.sparkSession
+    every = docs + chain
+    got = collect(near_dedup.near_dedup(spark.createDataFrame([(i, t, 1, "x") for i, t in every], "doc_id long, text string, h int, digest string").repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == brute.near(every)
+
+
+def test_near_repeated_and_null_ids(spark):
+    """Rows that share an id or have none are told apart by their texts; each text's group is its own."""
+    text = [" ".join(f"{c}{i}" for i in range(300)) for c in "abc"]
+    near = lambda t: t.replace(t.split()[40] + " ", "other ")
+    rows = [(1, text[0]), (None, near(text[0])), (7, near(text[0]) + " end"), (None, text[1]), (7, text[1] + " end"), (7, text[2]), (None, text[2] + " x"), (None, text[2] + " x"), (None, None), (None, "")] + [(None, f"alone {k} of its kind and no other") for k in range(30)]
+    got = sorted(((r["doc_id"], r["component_id"], r["n_shingles"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    want = [(1, 1, 296), (None, 1, 296), (7, 1, 297), (None, 7, 296), (7, 7, 297), (7, 7, 296), (None, 7, 297), (None, 7, 297), (None, None, 0), (None, None, 0)] + [(None, None, 4)] * 30
+    assert got == sorted(want, key=str)
+
+
 def test_near_buckets():
     """A bucket over its bound is a star, held or streamed; a similar pair spans, an unlike one does not."""
     import pyarrow as pa
 
-    low = [bytes([k] * 36) for k in (1, 1, 9)]
-    rows = {"key": [5, 5, 5], "id": [b"a", b"b", b"c"], "low": low, "size": [10, 10, 10], "large": [False] * 3, "other": [None] * 3}
-    schema = pa.schema([("key", pa.int64()), ("id", pa.binary()), ("low", pa.binary()), ("size", pa.int32()), ("large", pa.bool_()), ("other", pa.binary())])
-    run = lambda **x: [(r["a"], r["b"]) for b in near_dedup.bucket_edges(85)(iter([pa.RecordBatch.from_pydict(rows | x, schema=schema)])) for r in b.to_pylist()]
-    assert run() == [(b"a", b"b")]
-    assert run(large=[True, False, False]) == [(b"a", b"b"), (b"a", b"c")]
-    assert run(key=[-3, -3, 5], other=[b"x", b"y", None]) == [(b"a", b"x"), (b"b", b"y")]
+    N = near_dedup
+
+    def entry(name, symbols, size=10, large=False):
+        low = N.halved(np.full((1, N.SYMBOLS), symbols, np.uint16))
+        return name.encode().ljust(N.DIGEST) + low.tobytes() + size.to_bytes(4, "little") + bytes([large])
+
+    def run(*rows):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "entry": [e for _, e in part]}, schema=pa.schema([("key", pa.int64()), ("entry", pa.binary())])) for part in rows]
+        return [(r["a"].strip().decode(), r["b"].strip().decode()) for b in N.bucket_edges(85)(iter(batches)) for r in b.to_pylist()]
+
+    three = [(5, entry("a", 1)), (5, entry("b", 1)), (5, entry("c", 9))]
+    assert run(three) == run(three[:1], three[1:]) == run(three[:2]) == [("a", "b")] and run(three[1:]) == []
+    assert run([(5, entry("a", 1, 10)), (5, entry("b", 1, 12))]) == []
+    assert run([(5, entry("a", 1, large=True)), *three[1:]]) == run([(5, entry("a", 1, large=True)), (5, entry("b", 1))], three[2:]) == [("a", "b"), ("a", "c")]
+    ends = b"a".ljust(N.DIGEST) + b"x".ljust(N.DIGEST)
+    assert run([(-3, ends), *three]) == [("a", "x"), ("a", "b")]
+    old, N.BUCKET = N.BUCKET, 2
+    try:
+        got = run([(5, entry(x, k)) for k, x in enumerate("abc")], [(5, entry("d", 9)), (6, entry("e", 1)), (6, entry("f", 1))])
+    finally:
+        N.BUCKET = old
+    assert got == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "f")]
+    a, b = np.random.default_rng(1).integers(0, 65536, (2, 50, N.SYMBOLS)).astype(np.uint16)
+    assert (N.apart(N.halved(a), N.halved(b)) == ((a & 15) != (b & 15)).sum(axis=1)).all()
 
 
 def test_licenses(docs, table):
