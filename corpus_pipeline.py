@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from siltstone.llm.common import materialise, shared_dir
+from siltstone.llm.common import attach, materialise, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL expresses neither the classifier nor the tokenizer; tests/llm holds run() against a brute-force version.
@@ -18,17 +19,23 @@ BROADCAST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects (score 0.5 or more) go. Scores ride on the rows; nothing is joined."""
+    """Documents that the toxicity model rejects (score 0.5 or more) go. Scores ride on the rows; nothing is joined.
+
+    Null and empty texts score as texts without words, rows without an id are scored like others, repeated rows score
+    the same. Without toxic labels all stay.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).filter("toxicity < 0.5").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays; of repeated rows of an id, one row for each text that stays."""
+    """Of equal texts one document stays; of repeated rows of an id, one row for each text that stays. Null texts are
+    equal to empty ones and to white space."""
     verdict = materialise(exact_dedup.exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "verdict")
     ids = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     twice = materialise(ids.filter("n > 1").select("doc_id"), "repeated")
-    once = _without(docs, ids.filter("n = 1 and not kept").select("doc_id").union(twice))
+    gone = ids.filter("n = 1 and not kept").select("doc_id").union(twice)
+    once = _without(docs, gone.select(F.col("doc_id").alias("gone_id")), lambda g: F.col("doc_id").eqNullSafe(F.col("gone_id")))
     if not twice.limit(1).collect():
         return once
     sha = F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)
@@ -40,25 +47,34 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, that with the smallest id stays. Rows of an id of which one is kept stay."""
-    verdict = near_dedup.near_dedup(docs, 85)
-    return _without(docs, verdict.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id"))
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those of the ids, which are written first and broadcast only if they are few."""
-    gone = materialise(ids.select(F.col("doc_id").alias("gone_id")), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+    """Of each group of near copies the row with the smallest id stays, null ids last, then that with the smallest hash of
+    its text. Rows are told apart by id and text, so that null or repeated ids save no copy; rows equal in both stay
+    together. Null and empty texts have no near copies and stay."""
+    found = materialise(near_dedup.grouped(docs, 85).filter("group is not null").select("doc_id", "h", "group"), "near-verdict")
+    first = found.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
+    first = materialise(first.filter("n > 1").select("group", "n", "first"), "near-first")
+    # a group may hold a third of all rows
+    rows = attach(found, first, "group", "n", F.xxhash64("doc_id", "h"))
+    gone = rows.filter("first is not null").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))))
+    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    return _without(hashed, gone, lambda g: F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_h") == F.col("gone_h")))
+
+
+def _without(docs: DataFrame, gone: DataFrame, same: Callable[[DataFrame], Column]) -> DataFrame:
+    """docs without the rows of ``gone``, which are written first and broadcast only if they are few."""
+    gone = materialise(gone, "dropped")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same(gone), "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; every document stays."""
+    """Secrets in the texts are replaced by a mark, and n_chars counted anew; every document stays, null texts stay null."""
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences of 1024 tokens: one row per piece."""
+    """Documents are packed into sequences of 1024 tokens: one row per piece. A null or empty text is its end id alone;
+    rows without an id and repeated rows are documents of their own."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -68,6 +84,11 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all documents; one row per packed piece.
+
+    Stages hand on the columns of documents and no others. What each does with null ids and texts, repeated rows and ties
+    is in its own description; very long texts go through whole; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
