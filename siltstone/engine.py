@@ -12,7 +12,7 @@ from siltstone.functions import models
 from siltstone.functions.text import grounding_estimate
 from siltstone.operators.index import KeywordIndex
 from siltstone.operators.retrieval import collection_stats
-from siltstone.plans import ingest, retrieval
+from siltstone.plans import answering, ingest, retrieval
 from siltstone.sources import files
 
 
@@ -39,23 +39,35 @@ class Engine:
     def index(self) -> KeywordIndex:
         return KeywordIndex.read(self.spark, f"{tables.current(self.spark, self.path)}/keyword")
 
-    def search(self, questions: DataFrame, k: int = 5, **options) -> DataFrame:
-        """questions: query_id, text. The k best chunks of each by fused rank."""
+    def search(self, questions: DataFrame, k: int = 5, way: str = "plain", **options) -> DataFrame:
+        """questions: query_id, text. The k best chunks of each by fused rank (C06). way: plain, hyde or multi_query, the
+        wordings of a query searched each and put together (ML4, ML5). Where the keyword index is missing, by vectors."""
+        if way != "plain":
+            return {"hyde": answering.hyde, "multi_query": answering.multi_query}[way](questions, lambda q, n: self.search(q, n, **options), k)
         asked = questions.withColumn("embedding", models.embedded("text", self.embed))
-        return retrieval.hybrid(asked, self.chunks, self.index, k, **options).join(self.chunks.drop("embedding"), "doc_id")
+        index = self.index
+        hits = retrieval.hybrid(asked, self.chunks, index, k, use_keyword=index is not None, **options)
+        return hits.join(self.chunks.drop("embedding"), "doc_id").withColumn("page", F.lit(None).cast("int"))
+
+    def answer(self, questions: DataFrame, k: int = 5, agentic: bool = False, structured: models.Generator | None = None) -> DataFrame:
+        """query_id, answer, thinking, confidence and more of choice questions (query_id, question, options), by the answer
+        chain (C04) or, agentic, by the loop that judges and asks anew, with this engine's generator in each part (C05)."""
+        if agentic:
+            return answering.agentic(questions, self.search, self.generate, self.generate, self.generate, k)
+        return answering.choice_chain(questions, self.search(questions.select("query_id", F.col("question").alias("text")), k), self.generate, structured)
 
     def ask(self, questions: DataFrame, k: int = 5, budget: int = 6000) -> DataFrame:
         """query_id, answer, grounding, n_chunks: generated from the packed context; refused where it is not grounded
         (C06, C07). A question without hits is refused without a call."""
         from siltstone.operators.retrieval import packed_context
 
-        hits = self.search(questions, k).withColumn("page", F.lit(None).cast("int"))
-        context = packed_context(hits, budget)
+        context = packed_context(self.search(questions, k), budget)
         rows = questions.join(context, "query_id", "left").withColumnRenamed("text", "question").withColumn("options", F.lit(None).cast("array<string>"))
-        asked = models.generated(retrieval.prompts(rows, F.lit("Answer from the context.")), model=self.generate)
+        rows = tables.materialise(answering.rendered(rows.withColumn("strategy", F.lit("ZS")).withColumn("track", F.lit("open_ended"))), "asked")
+        known = F.coalesce("n_packed", F.lit(0)) > 0
+        asked = models.generated(rows.filter(known), model=self.generate).unionByName(rows.filter(~known).withColumn("response_text", F.lit("")))
         grounding = grounding_estimate(F.col("response_text"), F.col("context_text"))
-        has = F.coalesce("n_packed", F.lit(0)) > 0
-        return asked.select("query_id", retrieval.grounded_answer(F.col("response_text"), grounding, has).alias("answer"), grounding.alias("grounding"), F.coalesce("n_packed", F.lit(0)).alias("n_chunks"))
+        return asked.select("query_id", retrieval.grounded_answer(F.col("response_text"), grounding, known).alias("answer"), grounding.alias("grounding"), F.coalesce("n_packed", F.lit(0)).alias("n_chunks"))
 
     def stats(self) -> DataFrame:
         return collection_stats(self.chunks, F.col("source"))

@@ -37,10 +37,12 @@ def share(condition: Column) -> Column:
     return F.count_if(condition) / F.count(F.lit(1))
 
 
-def summary(ledger: DataFrame, metrics: tuple[str, ...] = (), nullable_metrics: tuple[str, ...] = ()) -> DataFrame:
+def summary(ledger: DataFrame, metrics: tuple[str, ...] = (), nullable_metrics: tuple[str, ...] = (), single_target: tuple[str, ...] = ()) -> DataFrame:
     """Per model, strategy, rag mode and track: runs without error, mean latency, error rate, use of context, and for
     choice questions accuracy and partial matches, for open ones the means of metrics (null counts as 0) and of
-    nullable_metrics (nulls skipped). Groups without a run that is free of errors are left out (A01-A03)."""
+    nullable_metrics (nulls skipped). single_target: metrics that are also averaged over references of a single target,
+    and over runs with retrieval that did not use its context. Groups without a run that is free of errors are left out
+    (A01-A03)."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
     used, rag, choice = F.coalesce(F.col("rag_context_used"), F.lit(0)) > 0, F.col("rag_enabled"), F.col("track") == "mcq"
     hit = F.coalesce(F.col("correct"), F.lit(False))
@@ -54,6 +56,8 @@ def summary(ledger: DataFrame, metrics: tuple[str, ...] = (), nullable_metrics:
         *[mean_if(ok & ~choice, F.coalesce(F.col(m), F.lit(0))).alias(f"{m}_mean") for m in metrics],
         *[mean_if(ok & ~choice & rag & used, F.coalesce(F.col(m), F.lit(0))).alias(f"{m}_mean_ctx_used") for m in metrics],
         *[mean_if(ok & ~choice, F.col(m)).alias(f"{m}_rate") for m in nullable_metrics],
+        *[mean_if(ok & ~choice & (F.coalesce(F.col("ref_is_single_target"), F.lit(0.0)) >= 0.5), F.coalesce(F.col(m), F.lit(0))).alias(f"{m}_mean_single_target") for m in single_target],
+        *[mean_if(ok & ~choice & rag & ~used, F.coalesce(F.col(m), F.lit(0))).alias(f"{m}_mean_ctx_not_used") for m in single_target],
     )
     return out.filter("n > 0")
 
@@ -232,3 +236,43 @@ def rollup_summary(ledger: DataFrame) -> DataFrame:
     rows = valid(ledger).filter("track = 'mcq'")
     out = rows.rollup("model_id", "strategy").agg(F.count("*").alias("n"), share(F.coalesce(F.col("correct"), F.lit(False))).alias("accuracy"))
     return out.select(F.coalesce("model_id", F.lit("all")).alias("model_id"), F.coalesce("strategy", F.lit("all")).alias("strategy"), "n", "accuracy")
+
+
+def open_records(runs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Runs of open questions without error beside their samples' own columns, for a judge."""
+    return valid(runs).filter("track = 'open_ended'").join(samples.select("sample_id", *[c for c in samples.columns if c not in runs.columns]), "sample_id")
+
+
+def in_order(rows: DataFrame, **orders: list[str]) -> DataFrame:
+    """Rows sorted by columns whose values have an order of their own, in the order in which these are named; other values
+    come last, by name (T12)."""
+    keys = []
+    for column, values in orders.items():
+        place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+        keys += [F.when(F.coalesce(place, F.lit(0)) == 0, len(values) + 1).otherwise(place), F.col(column)]
+    return rows.orderBy(*keys)
+
+
+def report_order(rows: DataFrame) -> DataFrame:
+    """By model, then retrieval, then strategy."""
+    return rows.orderBy("model_id", "rag_mode" if "rag_mode" in rows.columns else "rag_enabled", "strategy")
+
+
+def report_units(rows: DataFrame, core: tuple[str, ...] = ("ZS", "FEW_SHOT", "COT")) -> DataFrame:
+    """Core strategies with latency in seconds, shares in percent and a label."""
+    return rows.filter(F.col("strategy").isin(*core)).select("*", (F.col("latency_ms_mean") / 1000).alias("latency_s"), (F.col("accuracy") * 100).alias("accuracy_percent"), F.concat_ws(" / ", "model_id", "strategy").alias("label"))
+
+
+def group_means(rows: DataFrame, by: str, value: str = "accuracy", latency: str | None = None) -> DataFrame:
+    """Mean and best of a value, and where asked mean latency, of strategies or tiers."""
+    return rows.groupBy(by).agg(F.avg(value).alias(f"{value}_mean"), F.max(value).alias(f"{value}_max"), *([F.avg(latency).alias(f"{latency}_mean")] if latency else []))
+
+
+def model_means(rows: DataFrame, value: str = "accuracy") -> DataFrame:
+    """A model's mean over its strategies and how many these are."""
+    return rows.groupBy("model_id").agg(F.avg(value).alias(f"{value}_mean"), F.countDistinct("strategy").alias("n_strategies"))
+
+
+def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Quartiles and mean of a value, interpolated."""
+    return rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles"), F.avg(value).alias("mean"))

@@ -81,6 +81,27 @@ def quality_filtered(chunks: DataFrame, by: str = "query_id", text: str = "conte
     return rows.filter(~F.col("_bad") | (F.col("_good") < F.least(F.lit(least), F.col("_all")))).drop("_bad", "_good", "_all")
 
 
+def min_score(rows: DataFrame, threshold: float, score: str = "score") -> DataFrame:
+    """Rows of at least that score; a threshold of 0 or less keeps all."""
+    return rows.filter(F.col(score) >= threshold) if threshold > 0 else rows
+
+
+def metadata(held: Column, *names: str, default: str | None = None) -> Column:
+    """The first of several keys of a metadata map that has a value, else a default: page or page_num, and so on."""
+    return F.coalesce(*[F.try_element_at(held, F.lit(n)) for n in names], F.lit(default))
+
+
+def simple_results(rows: DataFrame, fields: tuple[str, ...] = ("source", "page", "section")) -> DataFrame:
+    """query_id, rank, content, metadata (map), score: what a service hands out."""
+    held = F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]), lambda _, v: v.isNotNull())
+    return rows.select("query_id", "rank", "content", held.alias("metadata"), "score")
+
+
+def source_sets(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """The distinct sources of each query's hits, sorted, and their number."""
+    return hits.groupBy(by).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.countDistinct("source").alias("source_diversity"))
+
+
 def relevance_filtered(chunks: DataFrame, by: str = "query_id", score: str = "score", rank: str = "rank", floor: float = 0.45, ratio: float = 0.75, small: float = 0.15) -> DataFrame:
     """Keeps chunks of a score near the top one: all where the top is small, two at least."""
     order = W.partitionBy(by).orderBy(rank)

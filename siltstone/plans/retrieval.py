@@ -48,9 +48,11 @@ def refined(queries: DataFrame, hits: DataFrame, asked: DataFrame, hints: int =
     return rows.select("query_id", F.posexplode(fresh).alias("plan_no", "plan_text")).withColumn("is_original", F.lit(False))
 
 
-def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex, top_k: int = 5, candidates: int = 40, budget: int = 6000, most: int = 3, iterations: int = 2, scorer: models.PairScorer | None = models.overlap_score) -> DataFrame:
-    """The retrieval snapshot of every query (C02, C09): plan, keyword retrieval of each planned query, a second round on
-    hints of the first, fusion, rerank, quality and relevance filters, and packed context.
+def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex, top_k: int = 5, candidates: int = 40, budget: int = 6000, most: int = 3, iterations: int = 2, scorer: models.PairScorer | None = models.overlap_score, embed: models.Embedder | None = None, weights: tuple[float, float] = (0.6, 0.4), min_score: float = 0.0) -> DataFrame:
+    """The retrieval snapshot of every query (C02, C09): plan, retrieval of each planned query, a second round on hints of
+    the first, fusion, rerank, quality and relevance filters, and packed context. Retrieval is by keywords, and with an
+    embedder, for chunks with an embedding, by vectors too, fused with these weights. min_score drops reranked chunks
+    below it (F05).
 
     chunks: doc_id, source, page, section, content. Returns query_id, chunks (structs by rank), context_text,
     context_hash, context_chars, candidate_count, returned_count, source_diversity, iteration_count. A query without hits
@@ -58,7 +60,12 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     """
     def round_of(asked: DataFrame, iteration: int) -> DataFrame:
         own = asked.withColumn("pid", F.concat_ws("#", F.col("query_id").cast("string"), F.lit(iteration), F.col("plan_no").cast("string")))
-        hits = keyword.top_k(own.select("pid", "plan_text"), index, candidates, "pid", "plan_text").withColumnRenamed("query_id", "pid")
+        if embed is None:
+            hits = keyword.top_k(own.select("pid", "plan_text"), index, candidates, "pid", "plan_text")
+        else:
+            vectors = materialise(own.select(F.col("pid").alias("query_id"), F.col("plan_text").alias("text"), models.embedded("plan_text", embed).alias("embedding")), "snapshot-plan")
+            hits = hybrid(vectors, chunks, index, candidates, candidates, weights)
+        hits = hits.withColumnRenamed("query_id", "pid")
         return hits.join(own, "pid").select("query_id", "doc_id", F.col("rank").alias("batch_rank"), "is_original", F.lit(iteration).alias("iteration"), F.lit(0.0).alias("rerank_score"))
 
     plan = planned(queries, most)
@@ -75,6 +82,7 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
         rows = rows.withColumn("score", F.col("score_millionths") / 1_000_000).withColumn("rank", F.col("retrieval_rank"))
     else:
         rows = rerank(rows, scorer)
+    rows = r.min_score(rows, min_score)
     kept = r.relevance_filtered(r.quality_filtered(rows))
     kept = kept.withColumn("rank", F.row_number().over(r.W.partitionBy("query_id").orderBy("rank")))
     top = kept.filter(F.col("rank") <= top_k)
@@ -110,34 +118,13 @@ def judged(top: DataFrame, judge: models.Generator, again: DataFrame | None = No
     return keyword.ranked(distinct.withColumn("_old", F.col("rank")).drop("rank"), k, score=-F.col("_old"), ties=("content",)).drop("_old")
 
 
-def prompts(samples: DataFrame, template: Column, shots: Column | None = None) -> DataFrame:
-    """Adds prompt: shots, context, the question and its lettered options under a template's instruction.
-    samples: question, options, context_text (null without)."""
-    options = F.array_join(F.transform(F.coalesce("options", F.array().cast("array<string>")), lambda x, i: F.concat(F.char(i + 65), F.lit(". "), F.regexp_replace(x, r"^[A-Fa-f][.)]\s*", ""))), "\n")
-    context = F.when(F.coalesce("context_text", F.lit("")) != "", F.concat(F.lit("Context:\n"), F.col("context_text"), F.lit("\n\n"))).otherwise(F.lit(""))
-    asked = F.concat(F.lit("Question: "), F.col("question"), F.when(options != "", F.concat(F.lit("\nOptions:\n"), options)).otherwise(F.lit("")))
-    parts = [template, F.lit("\n\n")] + ([shots, F.lit("\n\n")] if shots is not None else []) + [context, asked]
-    return samples.withColumn("prompt", F.concat(*parts))
-
-
-# The instructions of the prompt strategies.
-TEMPLATES = {
-    "ZS": "Answer the question. End with 'Answer: X'.",
-    "FEW_SHOT": "Answer as in the examples. End with 'Answer: X'.",
-    "COT": "Think step by step, then end with 'Answer: X'.",
-    "COT_SC": "Think step by step, then end with 'Answer: X'.",
-    "RAP": "Plan, reason over the plan, then end with 'Answer: X'.",
-}
+# Token budgets of strategies.
 TOKENS = {"ZS": 256, "FEW_SHOT": 256, "COT": 1024, "COT_SC": 1024}
 
 
-def template(strategy: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), strategy)
-
-
 def token_budget(strategy: Column, other: int = 512) -> Column:
     """The budget of a strategy."""
-    return F.coalesce(F.get(F.array(F.element_at(F.create_map(*[F.lit(x) for kv in TOKENS.items() for x in kv]), strategy)), F.lit(0)), F.lit(other))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOKENS.items() for x in kv]), strategy), F.lit(other))
 
 
 def few_shot(queries: DataFrame, pool: DataFrame, k: int = 2) -> DataFrame:
@@ -145,29 +132,71 @@ def few_shot(queries: DataFrame, pool: DataFrame, k: int = 2) -> DataFrame:
     return r.vector_top_k(queries, pool, k, id_col="doc_id")
 
 
-def experiment(samples: DataFrame, conditions: DataFrame, model_rows: DataFrame, snapshots: DataFrame, repeats: int = 1, model: models.Generator = models.echo, **gate) -> DataFrame:
+#: Metrics of open answers in a ledger; the last has no value without a gold source.
+OPEN_METRICS = ("f1", "citation_match", "quantity_f1", "quantity_recall", "quantity_precision", "key_f1", "key_recall", "key_precision", "final_quantity_f1", "final_key_f1", "ref_is_single_target", "doc_citation_present", "doc_cited_in_retrieved_context")
+GOLD_METRICS = ("doc_cites_gold_source",)
+
+
+def open_metrics(rows: DataFrame) -> DataFrame:
+    """Adds the metrics of open answers (A03, X15, M04-M06). rows: response_text, reference_answer, source_doc, page,
+    retrieved_sources. Calculations are scored on the whole response, and with final_ on its final answer alone."""
+    from siltstone.functions import parsing, text
+    from siltstone.operators.grounding import doc_citation_scores
+
+    said, want = F.col("response_text"), F.coalesce("reference_answer", F.lit(""))
+    rows = rows.withColumn("_said", F.coalesce(said, F.lit(""))).withColumn("_want", want).withColumn("_final", text.final_answer(said))
+    rows = rows.withColumn("_whole", parsing.scored_calculation("_want", "_said")).withColumn("_last", parsing.scored_calculation("_want", "_final")).withColumn("_target", parsing.targets("_want"))
+    rows = rows.withColumn("_cited", text.doc_citations(F.col("_said")))
+    present, _, gold, context = doc_citation_scores(F.col("_cited"), F.col("source_doc"), F.col("retrieved_sources"))
+    out = rows.select(
+        *[c for c in rows.columns if not c.startswith("_")], text.token_f1(F.col("_said"), F.col("_want")).alias("f1"), text.exact_match(F.col("_said"), F.col("_want")).alias("exact_match"), text.key_phrase_overlap(F.col("_said"), F.col("_want")).alias("key_phrase_overlap"),
+        text.citation_match(F.col("_said"), F.col("source_doc"), F.col("page")).cast("double").alias("citation_match"), "_whole.*", *[F.col(f"_last.{c}").alias(f"final_{c}") for c in parsing.CALC_FIELDS if not c.startswith(("expected", "matched"))],
+        F.col("_target.is_single_target").cast("double").alias("ref_is_single_target"), present.cast("double").alias("doc_citation_present"), gold.cast("double").alias("doc_cites_gold_source"), context.cast("double").alias("doc_cited_in_retrieved_context"),
+    )
+    return out
+
+
+def experiment(samples: DataFrame, conditions: DataFrame, model_rows: DataFrame, snapshots: DataFrame, repeats: int = 1, model: models.Generator = models.echo, structured: models.Generator | None = None, pool: DataFrame | None = None, embed: models.Embedder = models.hashed_embedding, **gate) -> DataFrame:
     """The run ledger of a grid (C11): conditions and models by samples, context where the gate passes, prompts, answers,
-    and their scores. samples: sample_id, track, question, options, answer_key, reference_answer. snapshots: query_id,
-    context_text, context_chars, returned_count, chunks; a sample's snapshot is that of its id (J02)."""
-    from siltstone.functions.parsing import parsed_choice
-    from siltstone.functions.text import answers_match, token_f1
+    and their scores. samples: sample_id, track, question, options, answer_key, reference_answer, and where they are
+    known source_doc and page. snapshots: query_id, context_text, context_chars, returned_count, chunks; a sample's
+    snapshot is that of its id, or where snapshots have a strategy of its id and strategy (J02). pool: worked examples
+    (question, answer), of which a FEW_SHOT prompt gets the two nearest to its question."""
+    from siltstone.functions.text import answers_match
     from siltstone.operators.ledger import grid
+    from siltstone.plans.answering import answered, rendered
 
+    for c, kind in (("source_doc", "string"), ("page", "int")):
+        samples = samples if c in samples.columns else samples.withColumn(c, F.lit(None).cast(kind))
     cells = grid(samples, conditions, model_rows, repeats)
-    found = snapshots.select(F.col("query_id").alias("sample_id"), F.col("context_text").alias("_context"), "context_chars", "returned_count", F.get("chunks", F.lit(0))["score"].alias("top_score"), F.lit(1).alias("_has"))
-    rows = cells.join(found, "sample_id", "left")
+    by = ["sample_id", "strategy"] if "strategy" in snapshots.columns else ["sample_id"]
+    first = F.get("chunks", F.lit(0))
+    fields = snapshots.schema["chunks"].dataType.elementType.names
+    sources = F.transform("chunks", lambda x: x["source"]) if "source" in fields else F.array().cast("array<string>")
+    found = snapshots.withColumnRenamed("query_id", "sample_id").select(*by, F.col("context_text").alias("_context"), "context_chars", "returned_count", first["score"].alias("top_score"), sources.alias("retrieved_sources"), F.lit(1).alias("_has"))
+    rows = cells.join(found, by, "left")
     reason = r.rag_gate(F.col("_has"), F.col("context_chars"), F.col("returned_count"), F.col("top_score"), F.col("rag_enabled"), **gate)
     rows = rows.withColumn("rag_gate_reason", reason).withColumn("rag_context_used", F.col("rag_gate_reason").isin("pass", "gating_disabled").cast("int"))
     rows = rows.withColumn("context_text", F.when(F.col("rag_context_used") == 1, F.col("_context"))).drop("_context", "_has")
-    rows = models.generated(prompts(rows, template(F.col("strategy"))), model=model)
-    rows = rows.withColumn("_parsed", parsed_choice("response_text"))
-    exact, partial = answers_match(F.col("_parsed.answer"), F.coalesce("answer_key", F.lit("")))
+    if pool is not None:
+        rows = rows.join(shots_for(samples, pool, embed), "sample_id", "left")
+    rows = answered(rendered(rows), model, structured)
+    exact, partial = answers_match(F.col("answer"), F.coalesce("answer_key", F.lit("")))
     choice = F.col("track") == "mcq"
-    return rows.select("*", F.when(choice, F.col("_parsed.answer")).alias("parsed_answer"), F.when(choice, exact).alias("correct"), F.when(choice, partial.cast("int")).alias("partial_match"), F.when(~choice, token_f1(F.col("response_text"), F.coalesce("reference_answer", F.lit("")))).alias("f1")).drop("_parsed")
+    scored = open_metrics(rows.withColumn("parsed_answer", F.when(choice, F.col("answer"))).withColumn("correct", F.when(choice, exact)).withColumn("partial_match", F.when(choice, partial.cast("int"))))
+    own = [c for c in scored.columns if c not in rows.columns and c not in ("parsed_answer", "correct", "partial_match")]
+    return scored.select(*[c for c in scored.columns if c not in own], *[F.when(~choice, F.col(c)).alias(c) for c in own]).drop("answer")
+
+
+def shots_for(samples: DataFrame, pool: DataFrame, embed: models.Embedder = models.hashed_embedding, k: int = 2) -> DataFrame:
+    """sample_id, examples: the k worked examples of a pool (question, answer) nearest to each sample's question (T10, ML9)."""
+    asked = samples.select(F.col("sample_id").alias("query_id"), models.embedded("question", embed).alias("embedding"))
+    held = materialise(pool.select("question", "answer", models.embedded("question", embed).alias("embedding")).withColumn("doc_id", F.sha2(F.concat_ws("\n", "question", "answer"), 256)).dropDuplicates(["doc_id"]), "shots")
+    near = few_shot(asked, held, k).join(held.drop("embedding"), "doc_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "question", "answer"))), lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
+    return near.groupBy(F.col("query_id").alias("sample_id")).agg(listed.alias("examples"))
 
 
 def grounded_answer(answer: Column, grounding: Column, has_context: Column, least: float = 0.5) -> Column:
     """The answer if it is grounded, else a fixed refusal."""
     return F.when((grounding >= least) & has_context, answer).otherwise("INSUFFICIENT_CONTEXT")
-
-

@@ -43,17 +43,22 @@ def holdout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).filter("split = 'holdout'").select("doc_id", "source")
 
 
-_FILES = "SELECT 'f' || doc_id AS source, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents WHERE doc_id % 13 <> 0"
-_MANIFEST = "SELECT 'f' || doc_id AS source, sha256(text) AS sha256 FROM documents WHERE doc_id % 17 <> 0"
+#: Two versions of the files: of some the text has changed, and some go by another name in one of them.
+_FILES = "SELECT CASE WHEN doc_id % 13 = 0 THEN 'new' ELSE 'f' END || doc_id AS source, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents"
+_MANIFEST = "SELECT CASE WHEN doc_id % 17 = 0 THEN 'old' ELSE 'f' END || doc_id AS source, sha256(text) AS sha256 FROM documents"
+
+
+def _named(k: int, other: str):
+    return F.concat(F.when(F.col("doc_id") % k == 0, other).otherwise("f"), F.col("doc_id").cast("string")).alias("source")
 
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source"), F.sha2(text, 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select(_named(13, "new"), F.sha2(text, 256).alias("sha256"))
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("doc_id % 17 <> 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source"), F.sha2("text", 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select(_named(17, "old"), F.sha2("text", 256).alias("sha256"))
 
 
 @query(f"SELECT source, CASE WHEN m.sha256 IS NULL THEN 'added' WHEN c.sha256 IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_FILES}) c FULL JOIN ({_MANIFEST}) m USING (source) WHERE m.sha256 IS NULL OR c.sha256 IS NULL OR m.sha256 <> c.sha256")
@@ -97,9 +102,10 @@ def calc_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.calc_scored(_calc(spark, sf_dir)).select("sample_id", "weight", "confidence")
 
 
-@query()
+@query(_ELIGIBLE + " SELECT sample_id, weight, weight * 10 + 10 AS messy FROM e ORDER BY weight DESC, confidence DESC, sample_id DESC LIMIT 50")
 def calc_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.calc_selected(prep.calc_scored(_calc(spark, sf_dir)), 50, 25)
+    # all have two quantities of different units, a range and one messy word, so that the weight decides
+    return prep.calc_selected(prep.calc_scored(_calc(spark, sf_dir)), 50, 25).select("sample_id", "weight", "messy")
 
 
 @query("SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
@@ -109,10 +115,12 @@ def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_name", "n_name", "r_name")
 
 
-@query("SELECT doc_id, d.source AS base_source, l.quality AS rag_quality FROM (SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id)")
+@query("SELECT doc_id, d.source AS base_source, l.quality AS rag_quality FROM (SELECT doc_id, source FROM documents) d FULL JOIN (SELECT -doc_id * (doc_id % 2) + doc_id * (1 - doc_id % 2) AS doc_id, quality FROM labels) l USING (doc_id)")
 def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", "source")
-    return files.merged_judgements(base, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    # labels of odd ids go by the negative one, so that both sides have rows without a partner
+    odd = F.col("doc_id") % 2
+    other = table(spark, sf_dir, "labels").select((-F.col("doc_id") * odd + F.col("doc_id") * (1 - odd)).alias("doc_id"), "quality")
+    return files.merged_judgements(table(spark, sf_dir, "documents").select("doc_id", "source"), other, "doc_id")
 
 
 @query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.lang = 'en'")
@@ -143,11 +151,14 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.first_of_each(rows, ("text_md5",), ("doc_id",))
 
 
-@query("WITH s AS (SELECT source, string_agg(sha, ',' ORDER BY doc_id) AS p, count(*) AS n FROM (SELECT doc_id, source, sha256(text) AS sha FROM documents) GROUP BY source) SELECT source, n, sha256(p) AS manifest_sha256 FROM s")
+@query("""WITH f AS (SELECT source AS name, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS sha FROM documents GROUP BY source)
+SELECT string_agg(name, ',' ORDER BY name) AS included, count(*) AS n, sha256('[' || string_agg('{"name":"' || name || '","sha256":"' || sha || '"}', ',' ORDER BY name) || ']') AS manifest_sha256 FROM f""")
 def kb_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "sha"))), lambda x: x["sha"]), ",")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("manifest_sha256"))
+    # a source stands for a file: its hash is that of its texts' sorted hashes
+    texts = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("sha"))
+    rows = texts.groupBy(F.col("source").alias("name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), ""), 256).alias("sha256"))
+    found = prep.kb_manifest(rows)
+    return found.select(F.array_join("included_files", ",").alias("included"), F.size("file_sha256").cast("long").alias("n"), "manifest_sha256")
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS hour_us, count(*) AS n FROM events GROUP BY ALL")

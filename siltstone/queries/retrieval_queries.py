@@ -162,7 +162,7 @@ def rag_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", reason.alias("reason"))
 
 
-@query("SELECT count(*) AS n_chunks, least(count(DISTINCT source), 5000) AS n_documents_seen FROM documents")
+@query("SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_documents_seen FROM documents")
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.collection_stats(table(spark, sf_dir, "documents"), F.col("source"))
 

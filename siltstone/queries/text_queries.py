@@ -86,12 +86,12 @@ def keyword_tokens_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-@query("SELECT item_id, " + keyword_tokens("'Give ' || (item_id % 7) || ' - ' || (item_id % 9 + 1) || ' g/kg/day or ' || item_id || ' mL / hr, not 0.5-1.0 mEq/dL: ' || substr(text, 1, 200)") + " AS tokens FROM benchmark")
+@query("SELECT item_id, " + keyword_tokens("'Give ' || (item_id % 7) || ' - ' || (item_id % 9 + 1) || ' g/kg/day or ' || item_id || ' mL / hr, not 0.5-1.0 mEq/dL: ' || text") + " AS tokens FROM benchmark")
 def keyword_tokens_doses(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = lambda c: c.cast("string")
     n = F.col("item_id")
-    # a dose is put before each passage's opening, so that both meet the tokenizer
-    text = F.concat(F.lit("Give "), i(n % 7), F.lit(" - "), i(n % 9 + 1), F.lit(" g/kg/day or "), i(n), F.lit(" mL / hr, not 0.5-1.0 mEq/dL: "), F.substring("text", 1, 200))
+    # a dose is put before each passage, so that both meet the tokenizer
+    text = F.concat(F.lit("Give "), i(n % 7), F.lit(" - "), i(n % 9 + 1), F.lit(" g/kg/day or "), i(n), F.lit(" mL / hr, not 0.5-1.0 mEq/dL: "), "text")
     return table(spark, sf_dir, "benchmark").select("item_id", T.keyword_tokens(text).alias("tokens"))
 
 
@@ -128,8 +128,8 @@ def _cover(a: str, c: str, other: str) -> str:
     return f"CASE WHEN len({a}) = 0 THEN {other} ELSE {shared(a, c)} / len({a}) END"
 
 
-#: A document answers with its text; the context is the passage of the benchmark item under its number.
-CONTEXT = "WITH c AS (SELECT d.doc_id, d.text AS a, b.text AS c FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id), w AS (SELECT *, {aw} AS aw, {cw} AS cw FROM c), s AS (SELECT *, {at} AS a_t, {ct} AS c_t, {ag} AS ag, {cg} AS cg, {an} AS an, {cn} AS cn FROM w)\n".format(
+#: A document answers with its text; the context is the passage of the benchmark item whose place is its id modulo the items.
+CONTEXT = "WITH n AS (SELECT greatest(count(*), 1) AS n FROM benchmark), p AS (SELECT text, row_number() OVER (ORDER BY item_id, text) - 1 AS place FROM benchmark), c AS (SELECT d.doc_id, d.text AS a, p.text AS c FROM documents d CROSS JOIN n LEFT JOIN p ON p.place = coalesce(d.doc_id, 0) % n.n), w AS (SELECT *, {aw} AS aw, {cw} AS cw FROM c), s AS (SELECT *, {at} AS a_t, {ct} AS c_t, {ag} AS ag, {cg} AS cg, {an} AS an, {cn} AS cn FROM w)\n".format(
     aw=words(sq("lower(a)")), cw=words(sq("lower(c)")), at=terms("a", T.CITATION_TERMS), ct=terms("c", T.CITATION_TERMS), ag=f"CASE WHEN len(aw) < 3 THEN [] ELSE {grams3('aw')} END", cg=f"CASE WHEN len(cw) < 3 THEN [] ELSE {grams3('cw')} END", an=found("a", "\\d+\\.?\\d*"), cn=found("c", "\\d+\\.?\\d*"),
 )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import coerce_options
+from siltstone.tables import exists, materialise
 
 
 RUN_SCHEMA = """run_id string, sample_id string, track string, model_id string, model_name string, provider string, model_tier string, strategy string, rag_enabled boolean,
@@ -41,7 +44,7 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     from siltstone.functions.text import section_heading
     from siltstone.operators.prep import contextual, noise_chunks
 
-    rows = spark.read.schema(CHUNK_FILE_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*_response.json").json(path).select("*", F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.schema(CHUNK_FILE_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*_response.json").option("recursiveFileLookup", True).json(path).select("*", F.col("_metadata.file_name").alias("file"))
     source = F.coalesce("metadata.filename", "file")
     each = rows.select(source.alias("source"), F.size("chunks").alias("total_chunks"), F.col("metadata.page_count").alias("page_count"), F.posexplode("chunks").alias("chunk_index", "c"))
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("c.markdown"), r"<a id='[^']+'>\s*</a>\s*", ""), r"(?s)<::.*?::>", ""), r"\n\n\n+", "\n\n"))
@@ -150,8 +153,8 @@ def xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ledger(rows: DataFrame, path: str) -> None:
-    """All records, and a folder for each model (K01): one pass, partitioned by model."""
-    rows.write.mode("overwrite").partitionBy("model_id").json(path)
+    """Appends records to a ledger that has a folder for each model; the whole folder is the ledger of all."""
+    rows.write.mode("append").partitionBy("model_id").json(path)
 
 
 def write_ragged_csv(tables: list[DataFrame], path: str) -> None:
@@ -187,3 +190,105 @@ def merged_judgements(base: DataFrame, other: DataFrame, key: str = "name") -> D
     return a.join(b, key, "full")
 
 
+# --- records, fingerprints and manifests -------------------------------------------------------------------------
+
+
+def to_records(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """Each row as a JSON text, nulls included."""
+    record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record")
+    return rows.select(key, record) if key else rows.select(record)
+
+
+def from_records(records: DataFrame, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """The rows of JSON texts; fields that are missing or null get their default."""
+    held = records.select(F.from_json("record", schema).alias("r")).select("r.*")
+    return held.select(*[F.coalesce(F.col(c), F.lit((defaults or {})[c])).alias(c) if c in (defaults or {}) else F.col(c) for c in held.columns])
+
+
+def canonical(values: dict) -> str:
+    """JSON with sorted keys and no spaces."""
+    return json.dumps(values, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def fingerprint(values: dict | list) -> str:
+    """sha256 of a configuration, or of a set of templates by name."""
+    return hashlib.sha256(canonical(values).encode()).hexdigest()
+
+
+def file_sha256(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256, bytes of the files at a path or below it."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def folder_sha256(spark: SparkSession, path: str) -> str:
+    """One sha256 of a file or of all files of a written folder, whatever their names; empty where there is none."""
+    if not exists(spark, path):
+        return ""
+    return file_sha256(spark, path).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ","), 256)).first()[0]
+
+
+def write_snapshots(snapshots: DataFrame, path: str, meta: dict[str, object]) -> None:
+    """A line per sample: sample_id, snapshot, and the same description of the run on each."""
+    rows = snapshots.select(F.col("query_id").cast("string").alias("sample_id"), F.to_json(F.struct(*snapshots.columns)).alias("snapshot"), F.lit(canonical({**meta, "config_sha256": fingerprint(meta)})).alias("meta"))
+    rows.write.mode("overwrite").json(path)
+
+
+def run_manifest(spark: SparkSession, experiment: dict, datasets: dict[str, str], kb: str | None = None, snapshots: str | None = None, templates: dict[str, str] | None = None, commit: str = "") -> DataFrame:
+    """What a run was made of, as one row (K10): its configuration, the files of its datasets, knowledge base, snapshots
+    and templates by fingerprint, and its policy of retrieval."""
+    policy = "disabled" if not experiment.get("include_rag", True) else "gated" if experiment.get("rag_gating_enabled", True) else "always"
+    named = {
+        "git_commit": commit, "experiment": canonical(experiment), "datasets": canonical({k: {"path": v, "sha256": folder_sha256(spark, v)} for k, v in datasets.items()}),
+        "kb": canonical({"path": kb or "", "manifest_sha256": folder_sha256(spark, f"{kb}/manifest") if kb else ""}), "retrieval_snapshots": canonical({"path": snapshots, "sha256": folder_sha256(spark, snapshots)} if snapshots else {}),
+        "prompt_templates_sha256": fingerprint(templates or {}), "rag_policy": policy,
+        "notes": canonical({"baseline_included": bool(experiment.get("include_no_rag", True)), "rag_included": bool(experiment.get("include_rag", True))}),
+    }
+    return spark.createDataFrame([tuple(named.values())], ", ".join(f"{k} string" for k in named)).withColumn("created_at", F.current_timestamp())
+
+
+def convert(rows: DataFrame, fields: tuple[str, ...], prefix: str, number: str, path: str, source: str = "") -> DataFrame:
+    """Writes strict records (prefix_id, first) of the rows that have every required field as JSON lines, those without
+    as skipped rows with their reason, and a manifest of counts and fingerprints, which is returned (K13)."""
+    from siltstone.operators.prep import required
+
+    spark = rows.sparkSession
+    marked = materialise(required(rows, fields), "convert")
+    kept = marked.filter("skip_reason is null").drop("skip_reason").withColumn("sample_id", F.concat(F.lit(f"{prefix}_"), F.col(number).cast("string")))
+    kept.select("sample_id", *[c for c in kept.columns if c != "sample_id"]).write.mode("overwrite").json(f"{path}/{prefix}")
+    marked.filter("skip_reason is not null").select(F.col(number).cast("string").alias("row"), "skip_reason").write.mode("overwrite").json(f"{path}/{prefix}_skipped")
+    out = marked.agg(F.count("*").alias("input_rows"), F.count_if(F.col("skip_reason").isNull()).alias("kept_rows"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped_rows"))
+    out = out.select(F.lit(prefix).alias("dataset"), F.lit(f"{prefix}_<{number}>").alias("sample_id_scheme"), "*", F.lit(folder_sha256(spark, source) if source else "").alias("input_sha256"), F.lit(folder_sha256(spark, f"{path}/{prefix}")).alias("output_sha256"))
+    out.write.mode("overwrite").json(f"{path}/{prefix}_manifest")
+    return spark.read.json(f"{path}/{prefix}_manifest")
+
+
+def write_audit(audit: DataFrame, path: str) -> DataFrame:
+    """The matches of a leakage audit and a row of totals (K12): questions asked, suspected, and the best match of any."""
+    audit.write.mode("overwrite").json(f"{path}/matches")
+    rows = audit.sparkSession.read.json(f"{path}/matches")
+    totals = rows.agg(F.countDistinct("query_id").alias("questions"), F.countDistinct(F.when(F.col("suspected"), F.col("query_id"))).alias("suspected"), F.max("jaccard").alias("best_jaccard"), F.count_if("exact").alias("exact_matches"))
+    totals.write.mode("overwrite").json(f"{path}/totals")
+    return audit.sparkSession.read.json(f"{path}/totals")
+
+
+def write_judgements(merged: DataFrame, scores: tuple[str, ...], path: str) -> DataFrame:
+    """Judge rows side by side as JSON and CSV, and the mean of each score on either side."""
+    merged.write.mode("overwrite").json(f"{path}/records")
+    merged.write.mode("overwrite").option("header", True).csv(f"{path}/table")
+    means = merged.agg(F.count("*").alias("n"), *[F.avg(f"{side}_{m}").alias(f"{side}_{m}_mean") for side in ("base", "rag") for m in scores])
+    means.write.mode("overwrite").json(f"{path}/summary")
+    return merged.sparkSession.read.json(f"{path}/summary")
+
+
+def any_documents(spark: SparkSession, path: str) -> DataFrame:
+    """source, text, kind of the markdown files below a folder and of its pre-chunked *_response.json, whose chunks are
+    joined by blank lines; PDFs are an error, as nothing here reads them (S03)."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if listed.filter(F.lower("path").endswith(".pdf")).limit(1).collect():
+        raise NotImplementedError("PDF files are not read; convert them to markdown first")
+    text = listed.filter(F.lower("path").endswith(".md")).select(F.element_at(F.split("path", "/"), -1).alias("source"), F.decode("content", "UTF-8").alias("text"), F.lit("markdown").alias("kind"))
+    if not listed.filter(F.col("path").endswith("_response.json")).limit(1).collect():
+        return text
+    chunks = chunk_files(spark, path).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
+    return text.unionByName(chunks.select("source", "text", F.lit("chunked").alias("kind")))
