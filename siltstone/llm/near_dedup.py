@@ -341,28 +341,52 @@ def unit_links(percent: int):
 
 
 def pivot_links(percent: int):
-    """From rows sorted by root, part and pivots first: the edges between pivots and the members they are linked with."""
+    """From rows sorted by root, part and pivots first: root, digest and the pivots that it is linked with, itself if it is
+    one. Of each root the first part's pivots alone have a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivots = None, []
         for batch in batches:
-            a, b = [], []
+            out = [], [], []
             for root, part, is_member, digest, held in zip(*(c.to_pylist() for c in batch.columns)):
                 if (root, part) != now:
                     now, pivots = (root, part), []
                 x = np.frombuffer(held, np.uint64)
-                for other, y in pivots:
-                    if other != digest and is_linked(x, y, percent):
-                        a.append(other)
-                        b.append(digest)
+                found = [other for other, y in pivots if other != digest and is_linked(x, y, percent)]
                 if not is_member:
                     pivots.append((digest, x))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    found.append(digest)
+                if is_member or not part:
+                    for column, value in zip(out, (root, digest, found)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.binary()))], names=["root", "digest", "linked"])
 
     return run
 
 
+def pivot_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From roots and the distinct sets of pivots that members of each are linked with: pivot, cluster. Sets that share a
+    pivot are of one cluster."""
+    for batch in batches:
+        pivot, cluster = [], []
+        for sets in batch.column(1).to_pylist():
+            parent: dict[bytes, bytes] = {}
+
+            def top(x: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for some in sets:
+                for p in some:
+                    a, b = top(some[0]), top(p)
+                    parent[max(a, b)] = min(a, b)
+            for p in parent:
+                pivot.append(p)
+                cluster.append(top(p))
+        yield pa.RecordBatch.from_arrays([pa.array(pivot, pa.binary()), pa.array(cluster, pa.binary())], names=["_pivot", "cluster"])
+
+
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -428,10 +452,15 @@ def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     part = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     led = chosen.filter("_pivot is not null").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(False).alias("member"), "digest", "shingles")
     rest = chosen.filter("_pivot is null").select("root", part.alias("part"), F.lit(True).alias("member"), "digest", "shingles")
-    through = led.unionByName(rest).repartition("root", "part").sortWithinPartitions("root", "part", "member").mapInArrow(pivot_links(percent), edge)
-    through = materialise(through.distinct(), "near-pivots")
-    clusters = components(through, "near-clusters").select(F.col("node").alias("_node"), F.col("root").alias("cluster"))
-    own = materialise(large.select("digest", "root", "blocks").join(clusters, F.col("digest") == F.col("_node"), "left").select("digest", "root", "blocks", F.coalesce("cluster", "digest").alias("cluster")), "near-own")
+    met = led.unionByName(rest).repartition("root", "part").sortWithinPartitions("root", "part", "member").mapInArrow(pivot_links(percent), "root binary, digest binary, linked array<binary>")
+    met = materialise(met, "near-pivots")
+    through = met.select(F.explode("linked").alias("a"), F.col("digest").alias("b")).filter("a <> b")
+    # a root has PIVOTS pivots, and so 2 ** PIVOTS sets of them at most
+    sets_of = met.filter(F.size("linked") > 0).groupBy("root").agg(F.collect_set("linked").alias("sets"))
+    clusters = materialise(sets_of.mapInArrow(pivot_clusters, "_pivot binary, cluster binary"), "near-clusters")
+    clusters = F.broadcast(clusters) if clusters.count() <= BROADCAST_MEMBERS else clusters
+    own = met.withColumn("first", F.get("linked", F.lit(0))).join(clusters, F.col("first") == F.col("_pivot"), "left").select("digest", "root", F.coalesce("cluster", "digest").alias("cluster"))
+    own = materialise(own.join(F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot, F.col("root") == F.col("_root")).select("digest", "root", "blocks", "cluster"), "near-own")
     sizes = own.groupBy("root", "cluster").agg(F.count("*").alias("n"))
     most = sizes.groupBy("root").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("every"))
     # outside of the largest cluster: blocks of its own, which meet one another and those of the cluster

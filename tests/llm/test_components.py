@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from siltstone.llm.components import components
 
 
@@ -21,11 +23,13 @@ def roots(edges):
     return {i: find(i) for i in root}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [200_000, 100])
+def test_components(spark, local):
+    """In one task, and beyond its bound in rounds."""
     rng = random.Random(7)
     edges = [(500_000, k) for k in range(1000, 4000)] + [(k, k + 1) for k in range(5000, 5060)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(250)] + [(1, 2), (2, 1), (1, 2)]
     edges = [(a, b) for a, b in edges if a != b]
-    got = components(spark.createDataFrame([*edges, (9, 9)], "a long, b long"), "test").collect()
+    got = components(spark.createDataFrame([*edges, (9, 9)], "a long, b long"), "test", local=local).collect()
     assert {r["node"]: r["root"] for r in got} == roots(edges) and len(got) == len(roots(edges))
 
 
