@@ -116,7 +116,7 @@ def rag_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.functions.stats import bootstrap_ci as ci
 
-    return ci(L.lift_pairs(ledger(spark, sf_dir)), ("model_id", "strategy"), "rag", "no_rag", ())
+    return ci(L.lift_pairs(ledger(spark, sf_dir)), ("model_id", "strategy"), "rag", "no_rag")
 
 
 @query()

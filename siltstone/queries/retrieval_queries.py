@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BM25 = f"""WITH tok AS (SELECT doc_id, {keyword_tokens('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM tok),
- post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
- raw AS (SELECT term, count(*) AS df, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, n GROUP BY term),
+BM25 = f"""WITH tok AS MATERIALIZED (SELECT doc_id, {keyword_tokens('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM tok),
+ post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+ raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, n GROUP BY term),
  idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
  q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({keyword_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
  bm AS (SELECT query_id, doc_id, CAST(floor(sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) * 1000000 + 0.5) AS BIGINT) AS score_millionths FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) > 0),
@@ -188,12 +188,18 @@ def retrieval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(asked, _chunks(spark, sf_dir), index.build(table(spark, sf_dir, "documents"))).drop("chunks")
 
 
-@query()
+# the words of the scorer, and those that it leaves out
+_SCORED = "list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ('the', 'a', 'an', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'and', 'or', 'but', 'if', 'then', 'than', 'that', 'this', 'to', 'of', 'in', 'on', 'at', 'for', 'with', 'by', 'from')))"
+
+
+@query(BM25 + f""", w AS MATERIALIZED (SELECT query_id, doc_id, rank AS retrieval_rank, {_SCORED.format('b.text')} AS q, {_SCORED.format('d.text')} AS t FROM top JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20),
+ x AS (SELECT *, CASE WHEN len(q) = 0 THEN -4.0::DOUBLE ELSE 8.0::DOUBLE * len(list_intersect(q, t)) / len(q) - 4.0::DOUBLE END AS raw FROM w)
+SELECT query_id, doc_id, CAST(floor(1e6 / (1 + exp(-raw)) + 0.5) AS BIGINT) AS score_millionths, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, retrieval_rank) AS rank FROM x""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.plans.retrieval import rerank as order
 
     top = _bm25(spark, sf_dir, 20).join(_chunks(spark, sf_dir), "doc_id").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    return order(top.withColumnRenamed("rank", "retrieval_rank")).select("query_id", "doc_id", "score", "rank")
+    return order(top.withColumnRenamed("rank", "retrieval_rank")).select("query_id", "doc_id", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_millionths"), "rank")
 
 
 @query()

@@ -288,7 +288,14 @@ def low_value_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.low_value(F.col("t"))).alias("n_low"))
 
 
-@query()
+_CLAUSES = "(?i)\\s*(?:;|,|\\band\\b|\\bthen\\b|\\bwhile\\b|\\bversus\\b|\\bvs\\.?\\b)\\s*"
+
+
+@query(f"""WITH f AS (SELECT item_id, trim(substr('An infant.. what dose, and which risk? ' || {sq('text')}, 1, 600)) AS t FROM benchmark),
+ e AS (SELECT item_id, [t] || list_filter(list_transform(regexp_split_to_array(t, '{_CLAUSES}'), lambda c: {sq('c')}), lambda c: len({words('c')}) >= 4) || [t || ' recommended dosing range lower upper limits']
+   || CASE WHEN regexp_matches(lower(t), 'monitor|lab|follow-up|surveillance') THEN [t || ' monitoring frequency thresholds safety parameters'] ELSE [] END || [t || ' complications prevention contraindications management'] AS every FROM f),
+ d AS (SELECT item_id, list_filter(every, lambda x, i: list_position(list_transform(every, lambda y: lower(y)), lower(x)) = i)[1:3] AS kept FROM e)
+SELECT item_id AS query_id, kept[k] AS plan_text, k = 1 AS is_original, k - 1 AS plan_no FROM d, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(kept)""")
 def query_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.plans.retrieval import planned
 
