@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,14 @@ def encoder(rank_file: str, pattern: str) -> PieceEncoder:
     own, matches = encoding(rank_file, pattern), regex.compile(pattern)
 
     def encode_one(piece: str) -> list[int]:
-        if len(piece) <= LONG_PIECE:
+        # words that each follow one space are safe at any length
+        if len(piece) <= LONG_PIECE or "  " not in piece and piece.replace(" ", "").isalpha():
             return own.encode_ordinary(piece)
         return [i for m in matches.finditer(piece) for i in own._encode_single_piece(m[0])]
 
-    return PieceEncoder(lambda pieces: [encode_one(p) for p in pieces])
+    starts = np.zeros(own.n_vocab, bool)
+    starts[[rank for token, rank in own._mergeable_ranks.items() if token.startswith(b" ")]] = True
+    return PieceEncoder(lambda pieces: [encode_one(p) for p in pieces], starts)
 
 
 cache_cleared_by("bpe", encoder.cache_clear)

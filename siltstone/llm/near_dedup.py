@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import attach, cache_cleared_by, claim, each_text, materialise, text_of
+from siltstone.llm.common import attach, cache_cleared_by, claim, discard, each_text, materialise, text_of
 from siltstone.llm.components import components
 
 SHINGLE = 5
@@ -415,8 +415,9 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     index = classes.select("digest", "size", "signature").mapInArrow(index_keys, KEYED_SCHEMA)
     edges = index.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_edges(percent), "a binary, b binary")
     roots = components(edges, "near-tentative")
-    links = confirmed(rows, classes, materialise(roots, "near-members"), percent)
-    linked_to = components(links, "near-linked")
+    scratch = [materialise(roots, "near-members")]
+    linked_to = components(confirmed(rows, classes, scratch[0], percent, scratch), "near-linked")
+    discard(*scratch)
     nodes = classes.join(linked_to, F.col("digest") == F.col("node"), "left")
     lowest = nodes.filter("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("low_id").alias("lowest"), F.sum("copies").alias("n"))
     whole = nodes.filter("root is not null or copies > 1").join(lowest, F.col("root") == F.col("_root"), "left")
@@ -426,8 +427,9 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "h", "n_shingles", F.when(F.col("group").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
-def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that span the true links within the tentative components."""
+def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """Edges (a, b) that span the true links within the tentative components. scratch is given the written tables that are
+    read for the edges, and for nothing else."""
     members = classes.join(roots, F.col("digest") == F.col("node")).select("digest", "root", "low_id", "low_h", "size")
     total = members.groupBy("root").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes"))
     is_large = (F.col("n") > 2 * BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES)
@@ -441,6 +443,7 @@ def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     hot = total.filter("large").select(F.col("root").alias("_root"), "blocks")
     of = members.select("digest", "root").join(F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot, F.col("root") == F.col("_root"), "left").drop("_root")
     sets = materialise(sets.join(of, "digest"), "near-sets")
+    scratch += [total, members, sets]
     edge = "a binary, b binary"
     small = sets.filter("blocks is null").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "digest", "shingles")
     links = small.repartition("root").sortWithinPartitions("root", "i", "j").mapInArrow(unit_links(percent), edge)
@@ -454,6 +457,7 @@ def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     rest = chosen.filter("_pivot is null").select("root", part.alias("part"), F.lit(True).alias("member"), "digest", "shingles")
     met = led.unionByName(rest).repartition("root", "part").sortWithinPartitions("root", "part", "member").mapInArrow(pivot_links(percent), "root binary, digest binary, linked array<binary>")
     met = materialise(met, "near-pivots")
+    scratch.append(met)
     through = met.select(F.explode("linked").alias("a"), F.col("digest").alias("b")).filter("a <> b")
     # a root has PIVOTS pivots, and so 2 ** PIVOTS sets of them at most
     sets_of = met.filter(F.size("linked") > 0).groupBy("root").agg(F.collect_set("linked").alias("sets"))

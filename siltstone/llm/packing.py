@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -64,29 +65,9 @@ def encoder(tokenizer_file: str) -> PieceEncoder:
     # a special token's string in a text is ordinary text, as the description of these vocabularies has it
     own.encode_special_tokens = True
 
-    word, model = own.model.tokenize, byte_letters()
-
-    def many(pieces: list[str]) -> list[list[int]]:
-        """A plain word, with or without the space before it, is one match of the pattern, and goes to the model at once."""
-        out: list[list[int] | None] = []
-        for p in pieces:
-            spaced = p[:1] == " "
-            core = p[1:] if spaced else p
-            if not core.isalpha():
-                out.append(None)
-            elif core.isascii():
-                out.append([t.id for t in word(SPACE + core if spaced else core)])
-            elif max(core) < "\u0250":
-                out.append([t.id for t in word(p.encode().decode("latin-1").translate(model))])
-            else:
-                out.append(None)
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        if rest:
-            for k, e in zip(rest, own.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
-                out[k] = e.ids
-        return out
-
-    return PieceEncoder(many)
+    starts = np.zeros(own.get_vocab_size(), bool)
+    starts[[i for token, i in own.get_vocab(with_added_tokens=False).items() if token.startswith(SPACE)]] = True
+    return PieceEncoder(lambda pieces: [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)], starts)
 
 
 cache_cleared_by("packing", encoder.cache_clear)
@@ -96,12 +77,6 @@ cache_cleared_by("packing", encoder.cache_clear)
 SPACE = "\u0120"
 
 
-def byte_letters() -> dict[int, int]:
-    """How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others, in order, from 256 on."""
-    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return dict(zip([b for b in range(256) if b not in itself], range(256, 512)))
-
-
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import linear
-from siltstone.llm.common import claim, each_text, materialise, text_of
+from siltstone.llm.common import claim, discard, each_text, materialise, text_of
 from siltstone.llm.linear import held_out, word_buckets
 
 #: Labelled rows of the fit, at most; rounds; the share of the pool that a view passes on in each round more.
@@ -225,7 +225,9 @@ def train(views: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     found.sort(key=lambda r: r["doc_id"])
     meta = unpacked(pa.array([bytes(r["x"]["meta"]) for r in found], pa.binary()))
     pool = places.join(first, "doc_id", "left_anti")
-    return co_train([np.frombuffer(r["x"]["at"], np.uint16) for r in found], meta, np.array([r["y"] for r in found], np.int64), pool, buckets, np.sqrt(scale))
+    model = co_train([np.frombuffer(r["x"]["at"], np.uint16) for r in found], meta, np.array([r["y"] for r in found], np.int64), pool, buckets, np.sqrt(scale))
+    discard(places)
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:

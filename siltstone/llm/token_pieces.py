@@ -38,11 +38,16 @@ class PieceEncoder:
     than longest letters, and other pieces of more than mixed characters, rarely come again and are not kept.
 
     Pieces that are new are cut further where that is safe as well, at single line breaks between other characters and
-    before punctuation that ends a word, so that what has to be encoded is mostly plain words.
+    before punctuation that ends a word, so that what has to be encoded is mostly plain words. New plain words are encoded
+    many at a time, as one text of words that each follow a space: starts tells which ids begin with a space, and so where
+    each word's ids begin.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 600_000, longest: int = 20, mixed: int = 12):
-        self.encode_many, self.limit, self.longest, self.mixed = encode_many, limit, longest, mixed
+    #: Words that are encoded as one text.
+    RUN = 4096
+
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], starts: np.ndarray, limit: int = 600_000, longest: int = 20, mixed: int = 12):
+        self.encode_many, self.starts, self.limit, self.longest, self.mixed = encode_many, starts, limit, longest, mixed
         self.memo: dict[str, bytes] = {}  # of pieces that follow a space
         self.units: dict[str, bytes] = {}  # of encoded strings that follow no space
 
@@ -81,14 +86,33 @@ class PieceEncoder:
         self.memo.clear()
         self.units.clear()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, each of which follows a space."""
+        out: list[bytes] = []
+        runs = [words[at : at + self.RUN] for at in range(0, len(words), self.RUN)]
+        for run, ids in zip(runs, self.encode_many([" " + " ".join(run) for run in runs])):
+            ids = np.array(ids, np.uint32)
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(run):  # something in the run is not one word to the pattern
+                out += map(packed, self.encode_many([" " + w for w in run]))
+                continue
+            data, ends = ids.astype("<u4").tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            out += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
     def _new(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces that are not kept yet, each of which follows a space; those that may come again are
         kept from now on."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        ids = self._encoded([self._units(p) for p in pieces])
-        self.memo.update((p, b) for p, b in zip(pieces, ids) if p and len(p) <= self.mixed and "\n" not in p and not p[-1].isspace())
-        return ids
+        memo = self.memo
+        if len(memo) > self.limit:
+            memo.clear()
+        plain = [len(p) <= self.RUN and p.isalpha() for p in pieces]
+        words, others = [p for p, x in zip(pieces, plain) if x], [p for p, x in zip(pieces, plain) if not x]
+        found, rest = self._words(words), self._encoded([self._units(p) for p in others])
+        memo.update((p, b) for p, b in zip(words, found) if len(p) <= self.longest)
+        memo.update((p, b) for p, b in zip(others, rest) if p and len(p) <= self.mixed and "\n" not in p and not p[-1].isspace())
+        found, rest = iter(found), iter(rest)
+        return [next(found) if x else next(rest) for x in plain]
 
     def _cut(self, text: str) -> bytes:
         """A text's ids, where a space may follow white space."""

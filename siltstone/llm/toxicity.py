@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import linear
-from siltstone.llm.common import claim, each_text, text_of
+from siltstone.llm.common import claim, discard, each_text, text_of
 from siltstone.llm.linear import held_out, word_buckets
 
 #: Confirmed toxic texts of the fit, at most; the unlabelled have no bound.
@@ -131,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         return NOTHING
     rows = linear.reduced(bag, buckets, "toxicity-places")
     positive = rows.join(F.broadcast(first), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("at").alias("at")).collect()
-    return fit([np.frombuffer(r["at"], np.uint16) for r in sorted(positive)], rows, total, buckets, scale, prior)
+    model = fit([np.frombuffer(r["at"], np.uint16) for r in sorted(positive)], rows, total, buckets, scale, prior)
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
