@@ -450,7 +450,14 @@ def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     if not hot.limit(1).collect():
         return links
     large = sets.filter("blocks is not null")
-    pivots = large.select("root", "digest").withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("digest"))).filter(F.col("k") <= PIVOTS).select(F.col("digest").alias("_pivot"))
+    # pivots are the members whose signatures are most like those of all: of copies that were each edited, the original
+    signatures = large.select("root", "digest").distinct().join(classes.select("digest", "signature"), "digest")
+    symbols = signatures.select("root", "digest", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), lambda k: F.substring("signature", 2 * k + 1, F.lit(2)))).alias("at", "symbol"))
+    common = materialise(symbols.groupBy("root", "at", "symbol").agg(F.count("*").alias("n")).filter("n > 1"), "near-symbols")
+    scratch.append(common)
+    like = symbols.join(F.broadcast(common) if common.count() <= BROADCAST_MEMBERS else common, ["root", "at", "symbol"]).groupBy("root", "digest").agg(F.sum("n").alias("n"))
+    best = W.partitionBy("root").orderBy(F.desc("n"), "digest")
+    pivots = like.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= PIVOTS).select(F.col("digest").alias("_pivot"))
     chosen = large.join(pivots, F.col("digest") == F.col("_pivot"), "left")
     part = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     led = chosen.filter("_pivot is not null").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(False).alias("member"), "digest", "shingles")
