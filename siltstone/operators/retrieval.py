@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import cosine, low_value
 from siltstone.operators.index import ranked
+from siltstone.tables import materialise
 
 # The reciprocal-rank constant, and the batch fusion's weights.
 RRF_K = 60
 OTHER_QUERY, LATER, RANK_BASE, RANK_SHARE, SCORE_SHARE = 0.85, 0.25, 10.0, 0.7, 0.3
-#: Query vectors up to this number are broadcast to the collection; more of them meet it in blocks.
+#: Query vectors of a block, which is broadcast to the collection.
 BROADCAST_QUERIES = 2_000
 
 
@@ -20,15 +21,23 @@ def vector_top_k(queries: DataFrame, collection: DataFrame, k: int, query_id: st
     """Exact cosine top-k of every query over the collection, ties to the smaller id (J11, T02). where: a filter of the
     collection, which holds before ranking (F03).
 
-    A stated set of queries meets all rows. The queries are broadcast when they are at most BROADCAST_QUERIES; and as the
-    ranking is a filtered row_number, each task drops what is beyond its own k best before the shuffle (WindowGroupLimit).
+    A stated set of queries meets all rows, in blocks of BROADCAST_QUERIES queries, about, each of which is broadcast and
+    goes over the collection once; and as the ranking is a filtered row_number, each task drops what is beyond its own k
+    best before the shuffle (WindowGroupLimit).
     """
     rows = collection if where is None else collection.filter(where)
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q_vector"))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_QUERIES else asked
-    met = rows.select(F.col(id_col), F.col(vector).alias("d_vector")).join(asked, F.col(id_col) != F.col("query_id") if exclude_self else F.lit(True))
-    scored = met.select("query_id", id_col, cosine(F.col("q_vector"), F.col("d_vector")).alias("score")).filter("score is not null")
-    return ranked(scored, k, ties=(id_col,))
+    blocks = -(-asked.count() // BROADCAST_QUERIES)
+    if blocks > 1:
+        asked = materialise(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "asked-vectors")
+    best = None
+    for block in range(max(blocks, 1)):
+        some = asked if blocks <= 1 else asked.filter(F.col("block") == block).drop("block")
+        met = rows.select(F.col(id_col), F.col(vector).alias("d_vector")).join(F.broadcast(some), F.col(id_col) != F.col("query_id") if exclude_self else F.lit(True))
+        scored = met.select("query_id", id_col, cosine(F.col("q_vector"), F.col("d_vector")).alias("score")).filter("score is not null")
+        top = ranked(scored, k, ties=(id_col,))
+        best = top if best is None else best.unionByName(top)
+    return best
 
 
 def rrf(lists: DataFrame, k: int, by: str = "query_id", key: str = "doc_id", source: str = "source", rank: str = "rank", weight: Column | None = None, constant: int = RRF_K) -> DataFrame:

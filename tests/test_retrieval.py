@@ -149,3 +149,15 @@ def test_collection_stats_counts_all_rows(spark):
     """One source fills the first 6,000 rows; 40 others and a null one come after it."""
     rows = spark.range(6041).coalesce(1).select(F.when(F.col("id") < 6000, "hot").when(F.col("id") < 6040, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
     assert retrieval.collection_stats(rows, F.col("source")).first().asDict() == {"n_chunks": 6041, "n_documents_seen": 41}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    """More queries than a block holds find what they find at once."""
+    import random
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(60)] + [(60, [0.0] * 6)], "vec_id int, embedding array<double>")
+    asked = rows.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    once = sorted(tuple(r) for r in retrieval.vector_top_k(asked, rows, 4, exclude_self=True).collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 6)
+    assert sorted(tuple(r) for r in retrieval.vector_top_k(asked, rows, 4, exclude_self=True).collect()) == once and len(once) == 80
