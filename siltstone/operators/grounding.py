@@ -21,6 +21,7 @@ CITATIONS = (
 )
 #: What a text must have for a form to be sought in it: the forms themselves are slow on long texts without any.
 SIGNS = (r"(?:p\.?|page)\s*\d+\]", r"(?:p\.?|page)\s*\d+\)", r"According to ", r"(?:states?|indicates?|recommends?)\s*\((?:p\.?|page)\s*\d+\)", r"\[")
+# Fixed value: numbers with their units.
 UNIT_NUMBER = r"\d+\.?\d*(?:\s*(?:mg|g|kg|ml|mcg|%|days?|hours?|weeks?))?"
 
 
@@ -79,6 +80,7 @@ def _mean(s: Column) -> Column:
     return F.when(F.size(s) == 3, 0.4 * at(0) + 0.4 * at(1) + 0.2 * at(2)).when(F.size(s) == 2, 0.5 * at(0) + 0.5 * at(1)).otherwise(at(0))
 
 
+# Fixed value: what ends a sentence, but after a digit, a page mark or an abbreviation.
 BOUNDARY = re.compile(r"(?<!\d)(?<!p)(?<!e\.g)(?<!i\.e)(?<!vs)(?<!Dr)(?<!Mr)(?<!Mrs)[.!?]+\s+")
 
 
