@@ -46,7 +46,7 @@ class PieceEncoder:
     #: Words that are encoded as one text.
     RUN = 4096
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], starts: np.ndarray, limit: int = 600_000, longest: int = 20, mixed: int = 12):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], starts: np.ndarray, limit: int = 450_000, longest: int = 20, mixed: int = 12):
         self.encode_many, self.starts, self.limit, self.longest, self.mixed = encode_many, starts, limit, longest, mixed
         self.memo: dict[str, bytes] = {}  # of pieces that follow a space
         self.units: dict[str, bytes] = {}  # of encoded strings that follow no space
@@ -153,7 +153,7 @@ class PieceEncoder:
         end, data = np.frombuffer(joined.buffers()[1], np.int64), memoryview(joined.buffers()[2] or b"")
         return [bytes(data[end[a] : end[b]]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
-    def encode_column(self, column: pa.Array, size: int = 12 << 20) -> Iterator[bytes]:
+    def encode_column(self, column: pa.Array, size: int = 8 << 20) -> Iterator[bytes]:
         """For each text of a column without nulls its ids, packed; texts of about ``size`` bytes are held as pieces at once."""
         ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
