@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import keyword_tokens
-from siltstone.tables import materialise
+from siltstone.tables import materialise, spread
 
 # The Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,7 +50,7 @@ def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     """Tokenises, counts and weighs; ids are distinct. Terms in more than half of the documents have a negative idf, which
     becomes EPSILON times the mean idf of the vocabulary (A30)."""
     own = keyword_tokens(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens
-    rows = chunks.select(F.col(id_col).alias("doc_id"), own.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    rows = spread(chunks).select(F.col(id_col).alias("doc_id"), own.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
     # a document without tokens has a row without a term; everything else is read from this table
     counted = materialise(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "index-postings")
     documents = counted.groupBy("doc_id").agg(F.max("dl").alias("dl"))

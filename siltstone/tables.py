@@ -73,3 +73,14 @@ def commit(spark: SparkSession, folder: str, keep: int = 2) -> None:
     root = folder.rsplit("/", 1)[0]
     for old in versions(spark, root)[:-keep]:
         system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
+
+
+#: Bytes for each core under which a table is dealt anew before costly work: its scan would have fewer tasks than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores; a large one, whose scan has tasks enough, as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
