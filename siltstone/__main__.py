@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.engine import Engine
-from siltstone.operators import index as keyword
-from siltstone.operators import ledger
+from siltstone.operators import leakage, ledger
 from siltstone.plans import answering, retrieval
 from siltstone.sources import files
 
@@ -84,9 +83,9 @@ def main(argv: list[str] | None = None) -> None:
         files.write_report({"accuracy": ledger.accuracy(runs), "intra_rater_fleiss": ledger.intra_rater(runs), "inter_rater": ledger.inter_rater(runs), "rag_lift": ledger.rag_lift(runs)}, a.output or a.input)
     elif a.command == "check-leakage":
         rows = files.dataset(spark, a.path, a.track, holdout_only=False)
-        keyword.split_leakage(rows.withColumn("q", F.coalesce("question", F.lit(""))), "sample_id", "q", "split").show(truncate=60)
+        leakage.split_report(rows.withColumn("q", F.coalesce("question", F.lit(""))), "sample_id", "q", "split").show(truncate=60)
     elif a.command == "audit-kb":
-        rows = keyword.leakage_audit(samples_of(spark, a).select("sample_id", F.col("question").alias("text")), engine.chunks.select("doc_id", F.col("content").alias("text")), question_id="sample_id")
+        rows = leakage.kb_audit(samples_of(spark, a).select("sample_id", F.col("question").alias("text")), engine.chunks.select("doc_id", F.col("content").alias("text")), engine.index, question_id="sample_id")
         files.write_audit(rows, a.output).show()
     elif a.command == "convert":
         cells = files.xlsx(spark, a.input)

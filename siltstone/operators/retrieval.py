@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import cosine, low_value
+from siltstone.functions.text import low_value
 from siltstone.operators.index import ranked
 from siltstone.tables import materialise
 
@@ -19,25 +24,90 @@ BROADCAST_QUERIES = 2_000
 
 def vector_top_k(queries: DataFrame, collection: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None, exclude_self: bool = False) -> DataFrame:
     """Exact cosine top-k of every query over the collection, ties to the smaller id (J11, T02). where: a filter of the
-    collection, which holds before ranking (F03).
+    collection, which holds before ranking (F03). Vectors that are null or zero, hold null or non-finite components, or
+    differ in length from a query, are not among its hits, and such queries have none.
 
-    A stated set of queries meets all rows, in blocks of BROADCAST_QUERIES queries, about, each of which is broadcast and
-    goes over the collection once; and as the ranking is a filtered row_number, each task drops what is beyond its own k
-    best before the shuffle (WindowGroupLimit).
+    A stated set of queries meets all rows, in blocks of BROADCAST_QUERIES queries, about, each of which goes over the
+    collection once: a batch of vectors is multiplied with the block, only what may be among a query's k best so far is
+    measured again in order, and a task hands on k rows of a query at most. What a block finds is written where there are
+    several.
     """
-    rows = collection if where is None else collection.filter(where)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("q_vector"))
-    blocks = -(-asked.count() // BROADCAST_QUERIES)
-    if blocks > 1:
-        asked = materialise(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "asked-vectors")
-    best = None
-    for block in range(max(blocks, 1)):
-        some = asked if blocks <= 1 else asked.filter(F.col("block") == block).drop("block")
-        met = rows.select(F.col(id_col), F.col(vector).alias("d_vector")).join(F.broadcast(some), F.col(id_col) != F.col("query_id") if exclude_self else F.lit(True))
-        scored = met.select("query_id", id_col, cosine(F.col("q_vector"), F.col("d_vector")).alias("score")).filter("score is not null")
-        top = ranked(scored, k, ties=(id_col,))
-        best = top if best is None else best.unionByName(top)
-    return best
+    spark = collection.sparkSession
+    rows = (collection if where is None else collection.filter(where)).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    asked = asked if blocks == 1 else materialise(asked, "asked-vectors")
+    found = []
+    for block in range(blocks):
+        some = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()
+        names = spark.createDataFrame([(q, r["query_id"]) for q, r in enumerate(some)], f"q int, query_id {asked.schema['query_id'].dataType.simpleString()}")
+        hits = rows.mapInArrow(nearest(some, k, exclude_self), f"q int, id {rows.schema['id'].dataType.simpleString()}, score double")
+        top = ranked(hits.join(F.broadcast(names), "q").select("query_id", F.col("id").alias(id_col), "score"), k, ties=(id_col,))
+        found.append(top if blocks == 1 else materialise(top, "nearest"))
+    return found[0] if blocks == 1 else spark.read.schema(found[0].schema).parquet(*[t.written_at for t in found])
+
+
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, summed in order, so that equal vectors give equal sums wherever they stand."""
+    return np.cumsum(x * y, axis=1)[:, -1]
+
+
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows of the column's vectors that have a direction, for each length."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        x = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+        fit = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        yield at[fit], x[fit]
+
+
+def nearest(asked: list, k: int, exclude_self: bool):
+    """From batches of (id, vector): q, id, score of the k nearest to each of ``asked`` (query_id, v) in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.array([r["v"] for r in asked], pa.list_(pa.float64()))
+        queries = {y.shape[1]: (q, y, np.sqrt(dots(y, y))) for q, y in matrices(own)}
+        names = [r["query_id"] for r in asked]
+        held = {n: (np.empty(0, np.int64), None, np.empty(0), np.full(len(q), -np.inf)) for n, (q, _, _) in queries.items()}
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for at, x in matrices(batch.column(1)):
+                if not len(at) or x.shape[1] not in queries:
+                    continue
+                q, y, norms = queries[x.shape[1]]
+                for a in range(0, len(at), 4096):
+                    part, ids = x[a : a + 4096], batch.column(0).take(pa.array(at[a : a + 4096])).to_pylist()
+                    mine: dict = {}
+                    for p, i in enumerate(ids if exclude_self else ()):
+                        mine.setdefault(i, []).append(p)
+                    size = np.sqrt(dots(part, part))
+                    near = (y / norms[:, None]) @ (part / size[:, None]).T
+                    for row in range(len(q)) if exclude_self else ():
+                        near[row, mine.get(names[q[row]], [])] = -np.inf
+                    who, has, score, least = held[x.shape[1]]
+                    if near.shape[1] > k:
+                        least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+                    # a product's rounding is far below this
+                    r, c = np.nonzero((near >= least[:, None] - 1e-9) & (near > -np.inf))
+                    if not len(r):
+                        continue
+                    exact = dots(y[r], part[c]) / (norms[r] * size[c])
+                    who, score = np.concatenate([who, r]), np.concatenate([score, exact])
+                    has = [*(has or []), *[ids[p] for p in c]]
+                    first = np.lexsort((np.array(has), -score, who))
+                    starts = np.searchsorted(who[first], np.arange(len(q)))
+                    first = first[np.arange(len(first)) - starts[who[first]] < k]
+                    who, score, has = who[first], score[first], [has[p] for p in first]
+                    ends = np.searchsorted(who, np.arange(len(q)), side="right")
+                    full = np.bincount(who, minlength=len(q)) == k
+                    held[x.shape[1]] = who, has, score, np.where(full, score[ends - 1], -np.inf)
+        for n, (who, has, score, _) in held.items():
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][who], pa.int32()), pa.array(has, kind), pa.array(score)], names=["q", "id", "score"])
+
+    return run
 
 
 def rrf(lists: DataFrame, k: int, by: str = "query_id", key: str = "doc_id", source: str = "source", rank: str = "rank", weight: Column | None = None, constant: int = RRF_K) -> DataFrame:
@@ -55,13 +125,13 @@ def fuse_batches(batches: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """Fuses the lists of a query's plan (M10, T04). batches: key, batch_rank, is_original, iteration, rerank_score.
 
     A list of another query than the original weighs OTHER_QUERY, later iterations weigh less; a hit adds its rank's
-    and its score's share. Order: score, then best score of any list.
+    and its score's share. Order: score, then best score of any list, then key.
     """
     weight = F.when(F.col("is_original"), 1.0).otherwise(OTHER_QUERY) / (1.0 + LATER * F.col("iteration"))
     share = RANK_SHARE / (RANK_BASE + F.col("batch_rank")) + SCORE_SHARE * F.greatest(F.col("rerank_score"), F.lit(0.0))
     fused = batches.groupBy(by, "key").agg(F.sum(weight * share).alias("score"), F.max("rerank_score").alias("best_score"))
     millionths = F.floor(F.col("score") * 1_000_000 + 0.5).cast("long")
-    return ranked(fused.withColumn("score_millionths", millionths), k, by, score=F.col("score_millionths"), ties=("key",)).drop("score")
+    return ranked(fused.withColumn("score_millionths", millionths).withColumn("_worst", -F.col("best_score")), k, by, score=F.col("score_millionths"), ties=("_worst", "key")).drop("score", "_worst")
 
 
 def content_key(content: Column, chars: int = 500) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
-from siltstone.operators import index, retrieval
+from siltstone.operators import index, leakage, retrieval
 from siltstone.queries.text_queries import keyword_tokens, norm
 
 QUERIES, SQL = {}, {}
@@ -66,15 +66,29 @@ AUDIT = BM25 + f""", pool AS (SELECT query_id, doc_id, score_millionths FROM top
 
 @query(AUDIT + "SELECT query_id, doc_id, score_millionths, exact, jaccard, suspected, rank FROM r WHERE rank <= 5")
 def leakage_audit_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.leakage_audit(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return leakage.leakage_audit(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 @query(AUDIT + "SELECT query_id, max(jaccard) AS best_jaccard, bool_or(exact) AS exact FROM r WHERE suspected AND rank <= 5 GROUP BY query_id")
 def leakage_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.leakage_audit(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    rows = leakage.leakage_audit(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
     return rows.filter("suspected").groupBy("query_id").agg(F.max("jaccard").alias("best_jaccard"), F.max("exact").alias("exact"))
 
 
+#: Grams in rows, as all pairs of questions and documents meet by what they share.
+LEAKS = f"""WITH q AS MATERIALIZED (SELECT item_id AS query_id, {norm('text')} AS q FROM benchmark), d AS MATERIALIZED (SELECT doc_id, {norm('text')} AS d FROM documents),
+ qg AS MATERIALIZED (SELECT query_id, unnest({_grams("replace(q, ' ', '')")}) AS g FROM q), dg AS MATERIALIZED (SELECT doc_id, unnest({_grams("replace(d, ' ', '')")}) AS g FROM d),
+ qn AS (SELECT query_id, count(*) AS qn FROM qg GROUP BY ALL), dn AS (SELECT doc_id, count(*) AS dn FROM dg GROUP BY ALL), i AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS i FROM qg JOIN dg USING (g) GROUP BY ALL),
+ p AS (SELECT query_id, doc_id, q <> '' AND d <> '' AND (contains(d, q) OR contains(q, d)) AS exact, CASE WHEN coalesce(qn, 0) + coalesce(dn, 0) = 0 THEN 1.0 ELSE coalesce(i, 0) / (coalesce(qn, 0) + coalesce(dn, 0) - coalesce(i, 0)) END AS jaccard
+  FROM q CROSS JOIN d LEFT JOIN i USING (query_id, doc_id) LEFT JOIN qn USING (query_id) LEFT JOIN dn USING (doc_id))
+"""
+
+
+@query(LEAKS + "SELECT query_id, doc_id, exact, jaccard FROM p WHERE exact OR jaccard >= 0.75")
+def leakage_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 VECTOR = f"v AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM v)\n"
 
@@ -126,7 +140,7 @@ BATCH = LISTS + """, b AS (SELECT query_id, id AS key, sum((CASE WHEN source = 0
 """
 
 
-@query(BATCH + "SELECT * FROM (SELECT query_id, key, CAST(floor(best_score * 1e6 + 0.5) AS BIGINT) AS best_millionths, score_millionths, row_number() OVER (PARTITION BY query_id ORDER BY score_millionths DESC, key) AS rank FROM bs) WHERE rank <= 15")
+@query(BATCH + "SELECT * FROM (SELECT query_id, key, CAST(floor(best_score * 1e6 + 0.5) AS BIGINT) AS best_millionths, score_millionths, row_number() OVER (PARTITION BY query_id ORDER BY score_millionths DESC, best_score DESC, key) AS rank FROM bs) WHERE rank <= 15")
 def batch_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lists(spark, sf_dir).select("query_id", F.col("id").alias("key"), F.col("rank").alias("batch_rank"), (F.col("source") == 0).alias("is_original"), F.col("source").alias("iteration"), (1.0 / F.col("rank")).alias("rerank_score"))
     return retrieval.fuse_batches(rows, 15).select("query_id", "key", F.floor(F.col("best_score") * 1e6 + 0.5).cast("long").alias("best_millionths"), "score_millionths", "rank")

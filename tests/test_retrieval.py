@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
-from siltstone.operators import grounding, index, prep, retrieval
+from siltstone.operators import grounding, index, leakage, prep, retrieval
 from siltstone.plans import retrieval as plans
 
 DOCS = [(1, "protein needs of preterm infants are 3-4 g/kg/day"), (2, "lipid emulsions and protein in infants"), (3, "glucose infusion rate"), (4, "protein protein protein"), (5, "")]
@@ -34,7 +34,7 @@ def test_index_round_trip(spark, docs, tmp_path):
 
 def test_leakage(spark, docs):
     questions = spark.createDataFrame([(1, "Lipid emulsions, and protein in infants!"), (2, "unrelated zebra glucose question here")], "item_id long, text string")
-    rows = {(r["query_id"], r["rank"]): r for r in index.leakage_audit(questions, docs).collect()}
+    rows = {(r["query_id"], r["rank"]): r for r in leakage.leakage_audit(questions, docs).collect()}
     assert rows[1, 1]["exact"] and rows[1, 1]["suspected"] and rows[1, 1]["doc_id"] == 2 and not rows[2, 1]["suspected"]
 
 
