@@ -33,11 +33,14 @@ class Engine:
 
     @property
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{tables.current(self.spark, self.path)}/chunks")
+        return ingest.Store.open(self.spark, self.path).chunks
 
     @property
-    def index(self) -> KeywordIndex:
-        return KeywordIndex.read(self.spark, f"{tables.current(self.spark, self.path)}/keyword")
+    def index(self) -> KeywordIndex | None:
+        """The persisted index; None where a table of it is missing, so that its side of a retrieval is left out."""
+        store = ingest.Store.open(self.spark, self.path)
+        whole = all(tables.exists(self.spark, f"{self.path}/v{n}/{t}") for n in store.segments for t in ("ranges", "terms", "totals"))
+        return store.index if whole else None
 
     def search(self, questions: DataFrame, k: int = 5, way: str = "plain", **options) -> DataFrame:
         """questions: query_id, text. The k best chunks of each by fused rank (C06). way: plain, hyde or multi_query, the
@@ -77,7 +80,7 @@ class Engine:
         ingest.upsert(chunks, self.path)
 
     def delete(self, documents: DataFrame) -> None:
-        """Removes the chunks of sources and indexes the others anew."""
+        """Removes the chunks of sources."""
         ingest.delete(self.spark, documents, self.path)
 
     def reset(self) -> None:
@@ -86,7 +89,14 @@ class Engine:
     def healthy(self) -> dict[str, bool]:
         """Which artifacts of the current version can be read and have rows."""
         out, found = {}, tables.versions(self.spark, self.path)
-        for name in ("chunks", "manifest", "keyword/postings", "keyword/documents", "keyword/terms"):
-            folder = f"{self.path}/v{found[-1]}/{name}" if found else None
-            out[name] = bool(folder and tables.exists(self.spark, folder) and self.spark.read.parquet(folder).limit(1).collect())
+        segments = ingest.segments_of(self.spark, self.path, found[-1]) if found else ()
+        for name in ("chunks", "manifest", "ranges", "terms"):
+            folders = [f"{self.path}/v{n}/{name}" for n in segments]
+            out[name] = bool(folders) and all(tables.exists(self.spark, f) for f in folders)
+        if out["chunks"]:
+            store = ingest.Store.open(self.spark, self.path)
+            for name in ("chunks", "manifest"):
+                out[name] = bool(getattr(store, name).limit(1).collect())
+            for name in ("ranges", "terms"):
+                out[name] = out[name] and bool(store.totals[0])
         return out

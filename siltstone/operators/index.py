@@ -35,7 +35,7 @@ BLOCK_QUERIES = 5_000
 
 def range_schema(kind: str) -> str:
     """Numbers are packed, 32 bits each. dead: the places of documents that do not count any more, or null."""
-    return f"range_id long, ids array<{kind}>, dl binary, terms array<string>, dfs array<int>, doc binary, tf binary, most binary, least binary, n long, total long, dead binary"
+    return f"range_id long, ids array<{kind}>, dl binary, terms array<string>, dfs array<int>, doc binary, tf binary, most binary, least binary, n long, total long, dead array<int>"
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def posted(ids: pa.Array, dl: np.ndarray, vocabulary: pa.Array, term: np.ndarray
 
 
 def as_batch(row: dict, number: int, ids: pa.DataType) -> pa.RecordBatch:
-    kinds = {"range_id": pa.int64(), "ids": pa.list_(ids), "terms": pa.list_(pa.string()), "dfs": pa.list_(pa.int32()), "n": pa.int64(), "total": pa.int64()}
+    kinds = {"range_id": pa.int64(), "ids": pa.list_(ids), "terms": pa.list_(pa.string()), "dfs": pa.list_(pa.int32()), "dead": pa.list_(pa.int32()), "n": pa.int64(), "total": pa.int64()}
     row = {"range_id": (TaskContext.get().partitionId() << 24) + number} | row
     return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(c, pa.binary())) for c, v in row.items()], names=list(row))
 
@@ -141,10 +141,11 @@ def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield as_batch(range_row(pa.concat_arrays(ids), pa.concat_arrays(tokens)), number, ids[0].type)
 
 
-def alive(dead: bytes | None, n: int) -> np.ndarray:
+def alive(dead: pa.Array | None, n: int) -> np.ndarray:
     """Which places of a range count."""
     out = np.ones(n, bool)
-    out[numbers(dead)] = False
+    if dead is not None:
+        out[dead.to_numpy()] = False
     return out
 
 

@@ -38,12 +38,12 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.md5("question").alias("question_md5"), "n_held_out", "n_train", "first_held_out", "first_train")
 
 
-@query(f"""WITH r AS (SELECT source || '/' || lang || '/' || length(text) AS id, lower(trim(text)) AS question, {SPLIT} = 'holdout' AS o FROM documents),
+@query(f"""WITH r AS (SELECT source || '/' || lang AS id, lower(trim(text)) AS question, {SPLIT} = 'holdout' AS o FROM documents),
  q AS (SELECT question FROM r GROUP BY question HAVING bool_or(o) AND NOT bool_and(o)), i AS (SELECT id FROM r GROUP BY id HAVING bool_or(o) AND NOT bool_and(o))
 SELECT (SELECT count(*) FROM r) AS total_records, (SELECT count(*) FROM r WHERE o) AS holdout_records, (SELECT count(*) FROM r WHERE NOT o) AS train_like_records, (SELECT count(*) FROM q) AS question_overlap_count, (SELECT count(*) FROM i) AS sample_id_overlap_count,
- (SELECT md5(string_agg(question, '|' ORDER BY question)) FROM (SELECT question FROM q ORDER BY question LIMIT 20)) AS questions_md5, (SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT id FROM i ORDER BY id LIMIT 20)) AS ids, EXISTS (SELECT 1 FROM q) OR EXISTS (SELECT 1 FROM i) AS leakage_detected""")
+ (SELECT md5(string_agg(question, '|' ORDER BY question)) FROM (SELECT question FROM q ORDER BY question LIMIT 20)) AS questions_md5, coalesce((SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT id FROM i ORDER BY id LIMIT 20)), '') AS ids, EXISTS (SELECT 1 FROM q) OR EXISTS (SELECT 1 FROM i) AS leakage_detected""")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).withColumn("id", F.concat_ws("/", "source", "lang", F.length("text").cast("string")))
+    rows = _records(spark, sf_dir).withColumn("id", F.concat_ws("/", "source", "lang"))
     out = leakage.split_report(rows, "id", "text", "split")
     return out.select("total_records", "holdout_records", "train_like_records", "question_overlap_count", "sample_id_overlap_count", F.md5(F.array_join("question_overlap_examples", "|")).alias("questions_md5"), F.array_join("sample_id_overlap_examples", "|").alias("ids"), "leakage_detected")
 

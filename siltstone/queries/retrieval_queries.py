@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,36 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.floor(F.col("idf") * 1e6 + 0.5).cast("long").alias("idf_millionths"))
 
 
+#: Some documents go and others are amended: what SQL sees is the table as it is then.
+AMENDED = BM25.replace("FROM documents", "FROM amended").replace("WITH tok", "WITH amended AS (SELECT doc_id, CASE WHEN doc_id % 50 = 8 THEN text || ' amended addendum' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 7), tok")
+
+
+def _amended(spark: SparkSession, sf_dir: str):
+    """The knowledge base of all documents, written, then changed by a segment."""
+    from siltstone.plans import ingest
+    from siltstone.tables import shared_dir
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.coalesce("text", F.lit("")).alias("content"), F.lit(False).alias("is_table"))
+    docs = docs.withColumn("sha256", F.sha2("content", 256))
+    path = f"{shared_dir(spark)}/amended-{uuid.uuid4().hex}"
+    ingest.write_version(docs, path, {})
+    store = ingest.Store.open(spark, path)
+    fresh = docs.filter("doc_id % 50 = 8").withColumn("content", F.concat("content", F.lit(" amended addendum")))
+    ingest.replace(store, fresh, store.chunks.filter("doc_id % 50 in (7, 8)"), {})
+    return ingest.Store.open(spark, path).index
+
+
+@query(AMENDED + "SELECT term, df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf_millionths FROM idf")
+def amended_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _amended(spark, sf_dir).terms.select("term", "df", F.floor(F.col("idf") * 1e6 + 0.5).cast("long").alias("idf_millionths"))
+
+
+@query(AMENDED + "SELECT query_id, doc_id, score_millionths, rank FROM top WHERE rank <= 10")
+def amended_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.top_k(asked, _amended(spark, sf_dir), 10).select("query_id", "doc_id", "score_millionths", "rank")
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return index.top_k(asked, index.build(table(spark, sf_dir, "documents")), k).select("query_id", "doc_id", "score_millionths", "rank")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
@@ -43,12 +45,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop))
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the complete versions below path, oldest first."""
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of all versions below path, finished or not."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and exists(spark, f"{path}/{n}/_READY"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete versions below path, oldest first."""
+    return [n for n in _numbers(spark, path) if exists(spark, f"{path}/v{n}/_READY")]
 
 
 def current(spark: SparkSession, path: str) -> str:
@@ -60,19 +67,39 @@ def current(spark: SparkSession, path: str) -> str:
 
 
 def upcoming(spark: SparkSession, path: str) -> str:
-    """A folder for the next version. What a failed attempt has left there is overwritten; readers see the last complete
-    version until this one is committed."""
-    return f"{path}/v{(versions(spark, path) or [0])[-1] + 1}"
-
-
-def commit(spark: SparkSession, folder: str, keep: int = 2) -> None:
-    """Makes a version the current one, and deletes those before the last ``keep``."""
+    """A folder for the next version, which is this writer's alone: its mark is created only if it is not there. A number
+    that a failed attempt has taken is not used again; readers see the last complete version until this one is committed."""
+    n = (_numbers(spark, path) or [0])[-1] + 1
+    while True:
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_TAKEN")
+        system = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            system.create(mark, False).close()
+            return f"{path}/v{n}"
+        except Exception:
+            if not system.exists(mark):
+                raise
+            n += 1
+
+
+class Outdated(RuntimeError):
+    """Another writer has committed since this version was begun."""
+
+
+def commit(spark: SparkSession, folder: str, keep: int = 2, base: int | None = None, needs: Callable[[int], set[int]] = lambda n: {n}) -> None:
+    """Makes a version the current one, and deletes those that neither of the last ``keep`` needs. base: the version that
+    this one was made from (0 for none); where that is not the current one any more, nothing is committed."""
+    root = folder.rsplit("/", 1)[0]
+    if base is not None and (versions(spark, root) or [0])[-1] != base:
+        raise Outdated(f"{folder} is made from version {base}, which is not the last one")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_READY")
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.create(path, True).close()
-    root = folder.rsplit("/", 1)[0]
-    for old in versions(spark, root)[:-keep]:
-        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
+    found = versions(spark, root)
+    held = set().union(*(needs(n) | {n} for n in found[-keep:]))
+    for old in found[:-keep]:
+        if old not in held:
+            system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
 
 
 #: Bytes for each core under which a table is dealt anew before costly work: its scan would have fewer tasks than there are cores.
