@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import tables
 from siltstone.engine import Engine
 from siltstone.operators import leakage, ledger
 from siltstone.plans import answering, retrieval
@@ -50,10 +51,11 @@ def benchmark(engine: Engine, a: argparse.Namespace) -> DataFrame:
     spark, samples = engine.spark, samples_of(engine.spark, a)
     chosen = answering.strategies(a.strategies)
     conditions = spark.createDataFrame([(s, r) for s in chosen for r in (True, False)], "strategy string, rag_enabled boolean")
-    runs = retrieval.experiment(samples, conditions, model_rows(spark, a.models).select("model_id", "enabled"), snapshots_of(engine, samples), a.repeats, engine.generate)
-    runs = runs.withColumn("latency_ms", F.lit(None).cast("double")).withColumn("error", F.lit(None).cast("string"))
-    files.write_ledger(runs, f"{a.output}/ledger")
-    runs = spark.read.schema(runs.schema).json(f"{a.output}/ledger")
+    done = files.ledger(spark, f"{a.output}/ledger") if tables.exists(spark, f"{a.output}/ledger") else None
+    runs = retrieval.experiment(samples, conditions, model_rows(spark, a.models).select("model_id", "enabled"), snapshots_of(engine, samples), a.repeats, engine.generate, done=done)
+    files.write_ledger(runs.drop("context_text", "retrieved_sources", "options", "system"), f"{a.output}/ledger")
+    # a cell that was run again after an error has a row for each time
+    runs = ledger.without_superseded(files.ledger(spark, f"{a.output}/ledger", ("rag_context_used", "partial_match", *retrieval.OPEN_METRICS, *retrieval.GOLD_METRICS)))
     table = ledger.report_order(ledger.summary(runs, retrieval.OPEN_METRICS, retrieval.GOLD_METRICS, ("final_key_f1", "final_quantity_f1")))
     files.write_report({"summary": table}, a.output)
     config = {"strategies": chosen, "models": a.models, "repeats": a.repeats, "include_rag": True, "include_no_rag": True, "rag_gating_enabled": True}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -137,6 +139,35 @@ def expanded(queries: DataFrame, query: str = "text", expand: Callable[[str], li
     return queries.select("*", F.posexplode(every(F.col(query))).alias("variant", "variant_text"))
 
 
+@dataclass(frozen=True)
+class Reply:
+    """An answer, the tokens that it took, how long the call was, and what went wrong."""
+
+    text: str
+    tokens: int
+    latency_ms: float
+    error: str | None
+
+
+def called(model: Generator, prompts: list[str]) -> list[Reply]:
+    """The replies to prompts. A model answers with texts, or with pairs of text and tokens; a call of several that fails is
+    made again for each alone, so that what fails is a reply with its error, and the others have theirs. The latency of a
+    reply is that of its call."""
+    if not prompts:
+        return []
+    began = time.perf_counter()
+    try:
+        answers = [a if isinstance(a, tuple) else (a, 0) for a in model(prompts)]
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        took = (time.perf_counter() - began) * 1000
+        return [Reply(text or "", int(tokens or 0), took, None) for text, tokens in answers]
+    except Exception as e:  # noqa: BLE001 - whatever a provider raises is a result of the run
+        if len(prompts) > 1:
+            return [reply for p in prompts for reply in called(model, [p])]
+        return [Reply("", 0, (time.perf_counter() - began) * 1000, str(e) or type(e).__name__)]
+
+
 def generated(rows: DataFrame, prompt: str = "prompt", model: Generator = echo, retries: int = 3, accept: Callable[[str], bool] = lambda r: bool(r)) -> DataFrame:
     """Adds response_text: the first accepted answer of at most so many tries, else the last one (ML6)."""
 

@@ -62,6 +62,52 @@ def overall_citation_score(source_accuracy: Column, page_precision: Column, fait
     return 0.3 * source_accuracy + 0.2 * page_precision + 0.3 * faithfulness + 0.1 * completeness + 0.1 * (1 - risk)
 
 
+#: What evaluate() averages over answers.
+BATCH_MEANS = ("source_accuracy", "page_precision", "faithfulness_score", "completeness", "hallucination_risk", "overall_citation_score")
+
+
+def evaluate(answers: DataFrame, chunks: DataFrame, by: str = "answer_id", answer: str = "answer", top: int = 3) -> DataFrame:
+    """The whole evaluation of each answer's citations (A18, M13): what citation_scores gives, and faithfulness and risk
+    against the retrieved contents together, completeness (the share of distinct sources of the first ``top`` chunks that a
+    citation names; 0 without citations or chunks), whether the true source and page were found by the first citation or
+    the first chunk of that source, and the weighted whole.
+
+    answers: by, answer, and where they are known ground_truth_source and ground_truth_page. chunks: by, rank, source,
+    page, content; those of an answer are a few. An answer without chunks has no context: it is not faithful, and at risk.
+    """
+    from siltstone.functions.text import faithfulness, hallucination_risk
+
+    for c, kind in (("ground_truth_source", "string"), ("ground_truth_page", "int")):
+        answers = answers if c in answers.columns else answers.withColumn(c, F.lit(None).cast(kind))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "source", F.col("page").cast("int").alias("page"), "content")))
+    rows = answers.select(by, F.col(answer).alias("_answer"), F.coalesce("ground_truth_source", F.lit("")).alias("_source"), F.coalesce(F.col("ground_truth_page").cast("int"), F.lit(0)).alias("_page"), citations(F.col(answer)).alias("_cited"))
+    rows = rows.join(chunks.groupBy(by).agg(listed.alias("_chunks")), by, "left")
+    none = F.from_json(F.lit("[]"), rows.schema["_chunks"].dataType)
+    rows = rows.withColumn("_chunks", F.coalesce("_chunks", none)).withColumn("_context", F.array_join(F.transform("_chunks", lambda c: F.coalesce(c["content"], F.lit(""))), "\n"))
+    known = F.array_distinct(F.transform(F.slice("_chunks", 1, top), lambda c: source_name(c["source"])))
+    named = F.array_distinct(F.transform("_cited", lambda c: source_name(c["source"])))
+    rows = rows.withColumn("_known", known).withColumn("_named", named)
+    met = F.size(F.filter("_known", lambda s: F.exists("_named", lambda c: sources_match(s, c))))
+    first = lambda of: F.get(F.filter(of, lambda x: sources_match(x["source"], F.col("_source"))), F.lit(0))
+    rows = rows.withColumn("_first_cited", first("_cited")).withColumn("_first_chunk", first("_chunks"))
+    paged = lambda x: (F.col("_page") != 0) & (F.coalesce(x["page"], F.lit(0)) == F.col("_page"))
+    found = F.col("_first_cited").isNotNull() | F.col("_first_chunk").isNotNull()
+    rows = rows.select(
+        by, F.when(F.size("_named") == 0, 0.0).when(F.size("_known") == 0, 0.0).otherwise(met / F.size("_known")).alias("completeness"), ((F.col("_source") != "") & found).alias("ground_truth_source_found"),
+        ((F.col("_source") != "") & (F.coalesce(paged(F.col("_first_cited")), F.lit(False)) | F.coalesce(paged(F.col("_first_chunk")), F.lit(False)))).alias("ground_truth_page_found"),
+        faithfulness(F.col("_answer"), F.col("_context")).alias("faithfulness_score"), hallucination_risk(F.col("_answer"), F.col("_context")).alias("hallucination_risk"),
+    )
+    out = citation_scores(answers, chunks, by, answer).join(rows, by)
+    return out.withColumn("overall_citation_score", overall_citation_score(F.col("source_accuracy"), F.col("page_precision"), F.col("faithfulness_score"), F.col("completeness"), F.col("hallucination_risk")))
+
+
+def batch_means(evaluated: DataFrame) -> DataFrame:
+    """The seven means over a batch of evaluated answers, as one row; no row without answers."""
+    rate = F.avg(F.col("ground_truth_source_found").cast("int")).alias("ground_truth_found_rate")
+    means = evaluated.agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in BATCH_MEANS], rate)
+    return means.filter("n > 0")
+
+
 def match_score(segment: Column, content: Column) -> Column:
     """How well a segment matches a chunk: shares of its terms, numbers and words, weighed 0.4, 0.4, 0.2, or evenly where
     only two of them are there (X27)."""

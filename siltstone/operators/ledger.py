@@ -27,6 +27,13 @@ def latest(ledger: DataFrame, ordinal: str) -> DataFrame:
     return last.select(*CELL, "r.*")
 
 
+def without_superseded(ledger: DataFrame) -> DataFrame:
+    """Without the failed runs of cells that have one without an error; of other cells one failed run."""
+    good = valid(ledger).select(*CELL).distinct()
+    failed = ledger.filter(F.coalesce(F.col("error"), F.lit("")) != "")
+    return valid(ledger).unionByName(failed.join(good, list(CELL), "left_anti").select(*ledger.columns).dropDuplicates(list(CELL)))
+
+
 def mean_if(condition: Column, value: Column) -> Column:
     """Mean of value over the rows where condition holds, null where none does."""
     return F.avg(F.when(condition, value))

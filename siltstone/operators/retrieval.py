@@ -18,6 +18,8 @@ from siltstone.tables import materialise
 # The reciprocal-rank constant, and the batch fusion's weights.
 RRF_K = 60
 OTHER_QUERY, LATER, RANK_BASE, RANK_SHARE, SCORE_SHARE = 0.85, 0.25, 10.0, 0.7, 0.3
+# The least score of a chunk, and its share of the best one.
+FLOOR, RATIO = 0.45, 0.75
 #: Query vectors of a block, which is broadcast to the collection.
 BROADCAST_QUERIES = 2_000
 
@@ -181,7 +183,7 @@ def source_sets(hits: DataFrame, by: str = "query_id") -> DataFrame:
     return hits.groupBy(by).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.countDistinct("source").alias("source_diversity"))
 
 
-def relevance_filtered(chunks: DataFrame, by: str = "query_id", score: str = "score", rank: str = "rank", floor: float = 0.45, ratio: float = 0.75, small: float = 0.15) -> DataFrame:
+def relevance_filtered(chunks: DataFrame, by: str = "query_id", score: str = "score", rank: str = "rank", floor: float = FLOOR, ratio: float = RATIO, small: float = 0.15) -> DataFrame:
     """Keeps chunks of a score near the top one: all where the top is small, two at least."""
     order = W.partitionBy(by).orderBy(rank)
     whole = W.partitionBy(by)

@@ -141,43 +141,49 @@ def rendered(samples: DataFrame) -> DataFrame:
 
 
 def answered(rows: DataFrame, model: models.Generator = models.echo, structured: models.Generator | None = None, retries: int = 3, passes: int = 3) -> DataFrame:
-    """Adds response_text, answer, thinking, confidence, structured_output_used (ML6). rows: prompt, strategy, track.
+    """Adds response_text, answer, thinking, confidence, structured_output_used, latency_ms, tokens_used and error (ML6).
+    rows: prompt, strategy, track.
 
     A COT_SC prompt is answered ``passes`` times, and the first response with the most frequent answer counts. A choice
     answer that cannot be parsed is asked for again, ``retries`` times at most, then of the structured model, whose
-    response is an answer or JSON with one. What an open question is answered is not parsed.
+    response is an answer or JSON with one. What an open question is answered is not parsed. latency_ms is that of the
+    first call, tokens_used the sum over the calls whose answers count. A call that fails is a row with its error, no text
+    and no answer; retries that fail are left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             prompts, choice = frame["prompt"].tolist(), (frame["track"] == "mcq").tolist()
-            texts = list(model(prompts))
+            first = models.called(model, prompts)
+            texts, tokens, errors = [r.text for r in first], [r.tokens for r in first], [r.error for r in first]
             voting = [k for k, s in enumerate(frame["strategy"]) if s == "COT_SC" and choice[k]]
-            said = {k: [texts[k]] for k in voting}
+            said = {k: [first[k].text] * (first[k].error is None) for k in voting}
             for _ in range(passes - 1):
-                for k, text in zip(voting, model([prompts[k] for k in voting]) if voting else ()):
-                    said[k].append(text)
+                for k, reply in zip(voting, models.called(model, [prompts[k] for k in voting])):
+                    if reply.error is None:
+                        said[k].append(reply.text)
+                        tokens[k] += reply.tokens
             for k, every in said.items():
-                found = [parse_choice(t)[0] for t in every]
-                texts[k] = every[found.index(Counter(found).most_common(1)[0][0])]
-            parsed = [parse_choice(t) if c else ("", "", "medium") for t, c in zip(texts, choice)]
+                if every:
+                    found = [parse_choice(t)[0] for t in every]
+                    texts[k], errors[k] = every[found.index(Counter(found).most_common(1)[0][0])], None
+            parsed = [(None, None, None) if e is not None else parse_choice(t) if c else ("", "", "medium") for t, c, e in zip(texts, choice, errors)]
             rescued = [False] * len(frame)
             todo = [k for k, p in enumerate(parsed) if p[0] == "UNKNOWN"]
             for _ in range(retries):
-                if not todo:
-                    break
-                for k, text in zip(todo, model([prompts[k] for k in todo])):
-                    if (again := parse_choice(text))[0] != "UNKNOWN":
-                        texts[k], parsed[k] = text, again
+                for k, reply in zip(todo, models.called(model, [prompts[k] for k in todo])):
+                    if reply.error is None and (again := parse_choice(reply.text))[0] != "UNKNOWN":
+                        texts[k], parsed[k] = reply.text, again
+                        tokens[k] += reply.tokens
                 todo = [k for k in todo if parsed[k][0] == "UNKNOWN"]
-            if structured and todo:
-                for k, text in zip(todo, structured([prompts[k] for k in todo])):
-                    letters = sorted(set(x for x in (text or "").upper().replace('"ANSWER"', "") if x in "ABCDEF"))
-                    if letters:
-                        parsed[k], rescued[k] = (",".join(letters), parsed[k][1], parsed[k][2]), True
-            yield frame.assign(response_text=texts, answer=[p[0] for p in parsed], thinking=[p[1] for p in parsed], confidence=[p[2] for p in parsed], structured_output_used=rescued)
-
-    added = {"response_text": T.StringType(), "answer": T.StringType(), "thinking": T.StringType(), "confidence": T.StringType(), "structured_output_used": T.BooleanType()}
+            for k, reply in zip(todo, models.called(structured, [prompts[k] for k in todo]) if structured else ()):
+                letters = sorted(set(x for x in reply.text.upper().replace('"ANSWER"', "") if x in "ABCDEF"))
+                if letters:
+                    parsed[k], rescued[k] = (",".join(letters), parsed[k][1], parsed[k][2]), True
+            out = {"response_text": texts, "answer": [p[0] for p in parsed], "thinking": [p[1] for p in parsed], "confidence": [p[2] for p in parsed], "structured_output_used": rescued}
+            yield frame.assign(**out, latency_ms=[r.latency_ms for r in first], tokens_used=tokens, error=errors)
+
+    added = {"response_text": T.StringType(), "answer": T.StringType(), "thinking": T.StringType(), "confidence": T.StringType(), "structured_output_used": T.BooleanType(), "latency_ms": T.DoubleType(), "tokens_used": T.IntegerType(), "error": T.StringType()}
     rest = rows.drop(*added)
     return rest.mapInPandas(run, T.StructType([*rest.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))
 

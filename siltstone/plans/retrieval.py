@@ -38,8 +38,9 @@ def planned(queries: DataFrame, most: int = 3) -> DataFrame:
 
 
 def refined(queries: DataFrame, hits: DataFrame, asked: DataFrame, hints: int = 2, most: int = 2) -> DataFrame:
-    """Second-round queries from the sections and sources of the first ten hits of each query."""
-    first = hits.filter("rank <= 10").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "section", "source"))).alias("h"))
+    """Second-round queries from the sections and sources of the first ten hits of every query of the plan, in the plan's
+    order (X30, T11). hits: query_id, plan_no, rank, section, source."""
+    first = hits.filter("rank <= 10").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("plan_no", "rank", "section", "source"))).alias("h"))
     distinct = lambda f: F.slice(F.array_distinct(F.filter(F.transform("h", lambda x: F.coalesce(F.trim(x[f]), F.lit(""))), lambda x: x != "")), 1, hints)
     rows = queries.join(first, "query_id").select("query_id", F.concat(F.transform(distinct("section"), lambda s: F.concat_ws(" section ", "text", s)), F.transform(distinct("source"), lambda s: F.concat_ws(" source ", "text", s))).alias("q"))
     seen = asked.groupBy("query_id").agg(F.collect_set(F.lower("plan_text")).alias("seen"))
@@ -55,25 +56,31 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     below it (F05).
 
     chunks: doc_id, source, page, section, content. Returns query_id, chunks (structs by rank), context_text,
-    context_hash, context_chars, candidate_count, returned_count, source_diversity, iteration_count. A query without hits
-    has no chunks, an empty context and counts of 0.
+    context_hash, context_chars, candidate_count (after the quality filter), returned_count, source_diversity,
+    iteration_count, refinement_used, query_plan and cache_key (H04). A query without hits has no chunks, an empty context
+    and counts of 0.
     """
     def round_of(asked: DataFrame, iteration: int) -> DataFrame:
         own = asked.withColumn("pid", F.concat_ws("#", F.col("query_id").cast("string"), F.lit(iteration), F.col("plan_no").cast("string")))
         if embed is None:
-            hits = keyword.top_k(own.select("pid", "plan_text"), index, candidates, "pid", "plan_text")
+            # one list is fused like two
+            hits = keyword.top_k(own.select("pid", "plan_text"), index, candidates, "pid", "plan_text").withColumn("score", weights[1] / (r.RRF_K + F.col("rank")))
         else:
             vectors = materialise(own.select(F.col("pid").alias("query_id"), F.col("plan_text").alias("text"), models.embedded("plan_text", embed).alias("embedding")), "snapshot-plan")
             hits = hybrid(vectors, chunks, index, candidates, candidates, weights)
         hits = hits.withColumnRenamed("query_id", "pid")
-        return hits.join(own, "pid").select("query_id", "doc_id", F.col("rank").alias("batch_rank"), "is_original", F.lit(iteration).alias("iteration"), F.lit(0.0).alias("rerank_score"))
+        # retrieval hands on its fused score where it does not rerank, and that is what the batches' fusion takes
+        return hits.join(own, "pid").select("query_id", "doc_id", "plan_no", F.col("rank").alias("batch_rank"), "is_original", F.lit(iteration).alias("iteration"), F.col("score").alias("rerank_score"))
 
     plan = planned(queries, most)
-    batches = round_of(plan, 0)
+    batches, asked = round_of(plan, 0), plan.withColumn("iteration", F.lit(0))
     if iterations > 1:
-        hits = batches.filter("is_original").join(chunks.select("doc_id", "section", "source"), "doc_id").select("query_id", F.col("batch_rank").alias("rank"), "section", "source")
+        batches = materialise(batches, "snapshot-first")
+        hits = batches.join(chunks.select("doc_id", "section", "source"), "doc_id").select("query_id", "plan_no", F.col("batch_rank").alias("rank"), "section", "source")
         focus = queries.select("query_id", focus_query(F.col("text")).alias("text"))
-        batches = batches.unionByName(round_of(refined(focus, hits, plan), 1))
+        more = materialise(refined(focus, hits, plan), "snapshot-refined")
+        batches = batches.unionByName(round_of(more, 1))
+        asked = asked.unionByName(more.withColumn("iteration", F.lit(1)))
     # hits of few ids and numbers, which several of the following steps read
     batches = materialise(batches, "snapshot-hits")
     fused = r.fuse_batches(batches.withColumnRenamed("doc_id", "key"), candidates).withColumnRenamed("key", "doc_id").withColumnRenamed("rank", "retrieval_rank")
@@ -83,18 +90,25 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     else:
         rows = rerank(rows, scorer)
     rows = r.min_score(rows, min_score)
-    kept = r.relevance_filtered(r.quality_filtered(rows))
+    good = r.quality_filtered(rows)
+    kept = r.relevance_filtered(good)
     kept = kept.withColumn("rank", F.row_number().over(r.W.partitionBy("query_id").orderBy("rank")))
     top = kept.filter(F.col("rank") <= top_k)
     context = r.packed_context(top, budget)
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "source", "page", "section", "score", "retrieval_rank", "content"))).alias("chunks"), F.count("*").alias("returned_count"), F.countDistinct("source").alias("source_diversity"))
-    counted = rows.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
-    rounds = batches.groupBy("query_id").agg((F.max("iteration") + 1).alias("iteration_count"))
+    counted = good.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
+    # the queries of both rounds, led by the focused one
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("iteration", "plan_no", "plan_text"))), lambda x: x["plan_text"])
+    rounds = asked.groupBy("query_id").agg((F.max("iteration") + 1).alias("iteration_count"), (F.max("iteration") > 0).alias("refinement_used"), ordered.alias("query_plan"))
+    focused = focus_query(F.col("text"))
+    parameters = (top_k, candidates, budget, iterations > 1, iterations, most, r.FLOOR, r.RATIO)
+    rounds = rounds.join(queries.select("query_id", focused.alias("_focus"), r.cache_key(F.col("query_id"), focused, *map(F.lit, parameters)).alias("cache_key")), "query_id", "right")
+    rounds = rounds.select("query_id", "iteration_count", "refinement_used", F.concat(F.array(F.concat(F.lit("[focused] "), "_focus")), F.coalesce("query_plan", F.array().cast("array<string>"))).alias("query_plan"), "cache_key")
     out = queries.select("query_id")
     for part in (listed, context, counted, rounds):
         out = out.join(part, "query_id", "left")
     nothing = F.sha2(F.lit(""), 256)
-    empty = {"context_text": F.lit(""), "context_hash": nothing, "context_chars": F.lit(0), "candidate_count": F.lit(0), "returned_count": F.lit(0), "source_diversity": F.lit(0), "iteration_count": F.lit(0), "n_packed": F.lit(0), "chunks": F.from_json(F.lit("[]"), listed.schema["chunks"].dataType)}
+    empty = {"context_text": F.lit(""), "context_hash": nothing, "context_chars": F.lit(0), "candidate_count": F.lit(0), "returned_count": F.lit(0), "source_diversity": F.lit(0), "iteration_count": F.lit(0), "refinement_used": F.lit(False), "query_plan": F.array().cast("array<string>"), "cache_key": F.lit(""), "n_packed": F.lit(0), "chunks": F.from_json(F.lit("[]"), listed.schema["chunks"].dataType)}
     return out.select("query_id", *[F.coalesce(c, empty[c]).alias(c) for c in out.columns if c != "query_id"])
 
 
@@ -156,19 +170,25 @@ def open_metrics(rows: DataFrame) -> DataFrame:
     return out
 
 
-def experiment(samples: DataFrame, conditions: DataFrame, model_rows: DataFrame, snapshots: DataFrame, repeats: int = 1, model: models.Generator = models.echo, structured: models.Generator | None = None, pool: DataFrame | None = None, embed: models.Embedder = models.hashed_embedding, **gate) -> DataFrame:
+def experiment(samples: DataFrame, conditions: DataFrame, model_rows: DataFrame, snapshots: DataFrame, repeats: int = 1, model: models.Generator = models.echo, structured: models.Generator | None = None, pool: DataFrame | None = None, embed: models.Embedder = models.hashed_embedding, done: DataFrame | None = None, calls: int | None = None, **gate) -> DataFrame:
     """The run ledger of a grid (C11): conditions and models by samples, context where the gate passes, prompts, answers,
     and their scores. samples: sample_id, track, question, options, answer_key, reference_answer, and where they are
     known source_doc and page. snapshots: query_id, context_text, context_chars, returned_count, chunks; a sample's
     snapshot is that of its id, or where snapshots have a strategy of its id and strategy (J02). pool: worked examples
-    (question, answer), of which a FEW_SHOT prompt gets the two nearest to its question."""
+    (question, answer), of which a FEW_SHOT prompt gets the two nearest to its question.
+
+    A call that fails is a run with its error and no scores. done: a ledger; cells that have a run without an error there
+    are left out, so that a run of the grid that was broken off, or had errors, goes on with what is missing. calls: at
+    most so many tasks, each of which calls one batch after the other, ask the model at once."""
     from siltstone.functions.text import answers_match
-    from siltstone.operators.ledger import grid
+    from siltstone.operators.ledger import CELL, grid, valid
     from siltstone.plans.answering import answered, rendered
 
     for c, kind in (("source_doc", "string"), ("page", "int")):
         samples = samples if c in samples.columns else samples.withColumn(c, F.lit(None).cast(kind))
     cells = grid(samples, conditions, model_rows, repeats)
+    if done is not None:
+        cells = cells.join(valid(done).select(*CELL).distinct(), list(CELL), "left_anti")
     by = ["sample_id", "strategy"] if "strategy" in snapshots.columns else ["sample_id"]
     first = F.get("chunks", F.lit(0))
     fields = snapshots.schema["chunks"].dataType.elementType.names
@@ -180,12 +200,13 @@ def experiment(samples: DataFrame, conditions: DataFrame, model_rows: DataFrame,
     rows = rows.withColumn("context_text", F.when(F.col("rag_context_used") == 1, F.col("_context"))).drop("_context", "_has")
     if pool is not None:
         rows = rows.join(shots_for(samples, pool, embed), "sample_id", "left")
-    rows = answered(rendered(rows), model, structured)
+    rows = rendered(rows)
+    rows = answered(rows.repartition(calls) if calls else rows, model, structured)
     exact, partial = answers_match(F.col("answer"), F.coalesce("answer_key", F.lit("")))
     choice = F.col("track") == "mcq"
     scored = open_metrics(rows.withColumn("parsed_answer", F.when(choice, F.col("answer"))).withColumn("correct", F.when(choice, exact)).withColumn("partial_match", F.when(choice, partial.cast("int"))))
     own = [c for c in scored.columns if c not in rows.columns and c not in ("parsed_answer", "correct", "partial_match")]
-    return scored.select(*[c for c in scored.columns if c not in own], *[F.when(~choice, F.col(c)).alias(c) for c in own]).drop("answer")
+    return scored.select(*[c for c in scored.columns if c not in own], *[F.when(~choice & F.col("error").isNull(), F.col(c)).alias(c) for c in own]).drop("answer")
 
 
 def shots_for(samples: DataFrame, pool: DataFrame, embed: models.Embedder = models.hashed_embedding, k: int = 2) -> DataFrame:

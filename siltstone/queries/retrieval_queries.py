@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
-from siltstone.operators import index, leakage, retrieval
+from siltstone.operators import index, leakage, ledger, retrieval
 from siltstone.queries.text_queries import keyword_tokens, norm
 
 QUERIES, SQL = {}, {}
@@ -262,3 +262,37 @@ def experiment_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     model_rows = spark.createDataFrame([("m1", True)], "model_id string, enabled boolean")
     packed = _packed(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"), "context_text", "context_chars", F.col("n_packed").alias("returned_count"), F.array(F.struct(F.lit(0.9).alias("score"))).alias("chunks"))
     return experiment(samples, conditions, model_rows, packed).drop("prompt", "context_text", "question", "options", "response_text")
+
+
+def _failing(prompts: list[str]) -> list[tuple[str, int]]:
+    """A stand-in that answers with what the question starts with, takes a token for each word, and fails on some."""
+    out = []
+    for p in prompts:
+        question = p.split("Question: ", 1)[1].split("\n", 1)[0]
+        if "an" in question[:20].lower():
+            raise RuntimeError("refused")
+        out.append(("Answer: " + "ABCD"[len(question) % 4], len(question.split())))
+    return out
+
+
+#: What the stand-in makes of a question: its first line, trimmed.
+_ASKED = "WITH b AS (SELECT item_id, split_part(trim(text), chr(10), 1) AS q FROM benchmark), g AS (SELECT item_id, q, strategy, repeat_index FROM b, (SELECT unnest(['ZS', 'COT']) AS strategy), (SELECT unnest([0, 1]) AS repeat_index))"
+
+
+@query(_ASKED + " SELECT CAST(item_id AS VARCHAR) AS sample_id, strategy, CAST(repeat_index AS INTEGER) AS repeat_index, CASE WHEN contains(lower(q[1:20]), 'an') THEN 'refused' END AS error, CASE WHEN NOT contains(lower(q[1:20]), 'an') THEN ['A', 'B', 'C', 'D'][length(q) % 4 + 1] END AS parsed_answer, CASE WHEN NOT contains(lower(q[1:20]), 'an') THEN length(q) % 4 = item_id % 4 END AS correct, CAST(CASE WHEN contains(lower(q[1:20]), 'an') THEN 0 ELSE len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) END AS INTEGER) AS tokens_used, TRUE AS timed FROM g")
+def experiment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid that is broken off after its first repeat and goes on from its ledger; calls fail on some questions."""
+    from siltstone.plans.retrieval import experiment
+    from siltstone.tables import materialise
+
+    key = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("item_id") % 4 + 1).cast("int"))
+    samples = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("sample_id"), F.lit("mcq").alias("track"), F.col("text").alias("question"), F.array(F.lit("w"), F.lit("x"), F.lit("y"), F.lit("z")).alias("options"), key.alias("answer_key"), F.lit(None).cast("string").alias("reference_answer"))
+    conditions = spark.createDataFrame([(s, False) for s in ("ZS", "COT")], "strategy string, rag_enabled boolean")
+    model_rows = spark.createDataFrame([("m1", True)], "model_id string, enabled boolean")
+    snapshots = spark.createDataFrame([], "query_id string, context_text string, context_chars int, returned_count int, chunks array<struct<score: double>>")
+    run = lambda repeats, done: materialise(experiment(samples, conditions, model_rows, snapshots, repeats, _failing, done=done, calls=4), "runs")
+    first = run(1, None)
+    rest = run(2, first)
+    # failed cells are tried again, and fail again
+    runs = ledger.without_superseded(first.unionByName(rest))
+    return runs.select("sample_id", "strategy", "repeat_index", "error", "parsed_answer", "correct", "tokens_used", (F.col("latency_ms") >= 0).alias("timed"))

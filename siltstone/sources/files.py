@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import coerce_options
 from siltstone.tables import exists, materialise
@@ -20,8 +21,8 @@ from siltstone.tables import exists, materialise
 
 RUN_SCHEMA = """run_id string, sample_id string, track string, model_id string, model_name string, provider string, model_tier string, strategy string, rag_enabled boolean,
 repeat_index int, question string, prompt string, response_text string, parsed_answer string, correct boolean, retrieval_context_hash string, retrieval_snapshot_id string,
-latency_ms double, tokens_used int, metrics map<string, double>, structured_output_used boolean, error string"""
-DATASET_SCHEMA = """sample_id string, track string, split string, question string, options string, answer_key string, reference_answer string, domain string,
+latency_ms double, tokens_used int, metrics map<string, double>, rag_gate_reason string, structured_output_used boolean, error string"""
+DATASET_SCHEMA = """id string, sample_id string, track string, split string, question string, options string, answer_key string, reference_answer string, domain string,
 proficiency string, source_doc string, page int, metadata map<string, string>, messages array<struct<role: string, content: string>>"""
 CHUNK_FILE_SCHEMA = """markdown string, chunks array<struct<markdown: string, type: string, id: string, grounding: struct<box: struct<left: double, top: double, right: double, bottom: double>, page: int>>>,
 metadata struct<filename: string, page_count: int>"""
@@ -54,19 +55,26 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dataset(spark: SparkSession, path: str, track: str, holdout_only: bool = True) -> DataFrame:
-    """Evaluation records of either layout; legacy ones hold messages."""
-    rows = spark.read.schema(DATASET_SCHEMA).json(path)
-    last = lambda role: F.element_at(F.filter("messages", lambda m: m["role"] == role), -1)["content"]
-    has = F.size(F.coalesce("messages", F.array())) > 0
-    out = rows.withColumn("question", F.coalesce("question", F.when(has & F.exists("messages", lambda m: m["role"] == "user"), last("user")))).withColumn("reference_answer", F.coalesce("reference_answer", F.when(has & F.exists("messages", lambda m: m["role"] == "assistant"), last("assistant"))))
-    listed = F.from_json("options", "array<string>", {"mode": "PERMISSIVE"})
-    out = out.withColumn("options", F.when(F.col("options").startswith("["), listed).otherwise(coerce_options(F.col("options")))).withColumn("track", F.lit(track)).drop("messages")
+    """Evaluation records of either layout (S05, F01). A legacy record is one with messages: its id is the sample's (without
+    one, the first 12 digits of the line's md5), its split is the holdout unless it says another, the last user message is
+    the question, and the last assistant message is the reference answer of an open question, and no one's else."""
+    rows = spark.read.schema(DATASET_SCHEMA).json(path).withColumn("_line", F.to_json(F.struct("*")))
+    last = lambda role: F.coalesce(F.element_at(F.filter("messages", lambda m: m["role"] == role), -1)["content"], F.lit(""))
+    said = lambda role: F.when(F.exists("messages", lambda m: m["role"] == role), last(role)).otherwise(F.lit(""))
+    legacy = F.col("messages").isNotNull()
+    reference = said("assistant") if track == "open_ended" else F.lit(None).cast("string")
+    out = rows.select(
+        F.when(legacy, F.coalesce("id", "sample_id", F.substring(F.md5("_line"), 1, 12))).otherwise(F.col("sample_id")).alias("sample_id"), F.lit(track).alias("track"), F.when(legacy, F.coalesce("split", F.lit("holdout"))).otherwise(F.col("split")).alias("split"),
+        F.when(legacy, said("user")).otherwise(F.col("question")).alias("question"), F.when(F.col("options").startswith("["), F.from_json("options", "array<string>", {"mode": "PERMISSIVE"})).otherwise(coerce_options(F.col("options"))).alias("options"),
+        "answer_key", F.when(legacy, reference).otherwise(F.col("reference_answer")).alias("reference_answer"), "domain", "proficiency", "source_doc", "page", "metadata",
+    )
     return out.filter("split = 'holdout'") if holdout_only else out
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Run records, one per line."""
-    return spark.read.schema(RUN_SCHEMA).json(path)
+def ledger(spark: SparkSession, path: str, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Run records, one per line (S06), with some of their metrics as columns."""
+    runs = spark.read.schema(RUN_SCHEMA).json(path)
+    return runs.select("*", *[F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics])
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,12 +82,22 @@ def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """sample_id, snapshot: the last of each sample, lines without either skipped (S07). The order of lines is that of
-    files and places in them."""
+def _snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with a sample and a snapshot, with their place: file, block of the file, and line of the block."""
     rows = spark.read.schema("sample_id string, snapshot string, meta string").json(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).filter("sample_id is not null and snapshot is not null")
-    return rows.groupBy("sample_id").agg(F.max_by("snapshot", "_at").alias("snapshot"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("*", place.alias("_at")).filter("coalesce(sample_id, '') <> '' and coalesce(snapshot, '') not in ('', '{}')")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, snapshot: the last of each sample by file and line, lines without either skipped."""
+    return _snapshot_lines(spark, path).groupBy("sample_id").agg(F.max_by("snapshot", "_at").alias("snapshot"))
+
+
+def snapshot_meta(spark: SparkSession, path: str) -> str | None:
+    """The first description of a run, as JSON, on a line that counts; None where there is none."""
+    lines = _snapshot_lines(spark, path).filter("coalesce(meta, '') like '{%' and meta <> '{}'")
+    return lines.agg(F.min_by("meta", "_at")).first()[0]
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +148,8 @@ def xlsx_rows(content: bytes) -> Iterator[list[str]]:
                     column = column * 26 + ord(letter) - 64
                 value = cell.findtext("m:v", "", space)
                 if cell.get("t") == "s" and value:
-                    value = shared[int(value)]
+                    # a reference beyond the table is an empty cell
+                    value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else ""
                 elif cell.get("t") == "inlineStr":
                     value = "".join(t.text or "" for t in cell.iter(f"{{{space['m']}}}t"))
                 cells[column or len(cells) + 1] = value.strip()
@@ -152,9 +171,21 @@ def xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, row int, values map<string, string>")
 
 
+def with_metrics(rows: DataFrame) -> DataFrame:
+    """Numbers that are not fields of a record become entries of its metrics; nulls have none."""
+    fields = {c.split()[0] for c in RUN_SCHEMA.replace("\n", " ").replace("map<string, double>", "map").split(", ")}
+    own = [f.name for f in rows.schema.fields if f.name not in fields and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    entries = [x for c in own for x in (F.lit(c), F.col(c).cast("double"))]
+    new = F.create_map(*entries) if own else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    held = F.map_filter(new, lambda _, v: v.isNotNull())
+    if "metrics" in rows.columns:
+        held = F.map_concat(F.map_filter(F.coalesce("metrics", held), lambda k, _: ~k.isin(own) if own else F.lit(True)), held)
+    return rows.withColumn("metrics", held).drop(*own)
+
+
 def write_ledger(rows: DataFrame, path: str) -> None:
     """Appends records to a ledger that has a folder for each model; the whole folder is the ledger of all."""
-    rows.write.mode("append").partitionBy("model_id").json(path)
+    with_metrics(rows).write.mode("append").partitionBy("model_id").json(path)
 
 
 def write_ragged_csv(tables: list[DataFrame], path: str) -> None:

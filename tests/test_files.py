@@ -31,7 +31,8 @@ def test_json_sources(spark, tmp_path):
     legacy = {"sample_id": "2", "split": "holdout", "messages": [{"role": "user", "content": "old"}, {"role": "user", "content": "new"}, {"role": "assistant", "content": "ans"}]}
     path = write(tmp_path / "j", d__jsonl="\n".join(map(json.dumps, (native, legacy, native | {"sample_id": "3", "split": "train"}))))
     got = {r["sample_id"]: r for r in files.dataset(spark, path, "mcq").collect()}
-    assert set(got) == {"1", "2"} and got["1"]["options"] == ["a", "b"] and got["2"]["question"] == "new" and got["2"]["reference_answer"] == "ans"
+    assert set(got) == {"1", "2"} and got["1"]["options"] == ["a", "b"] and got["2"]["question"] == "new" and got["2"]["reference_answer"] is None
+    assert {r["sample_id"]: r["reference_answer"] for r in files.dataset(spark, path, "open_ended").collect()}["2"] == "ans"
     assert files.dataset(spark, path, "mcq", holdout_only=False).count() == 3
     snaps = write(tmp_path / "s", s__jsonl='{"sample_id":"1","snapshot":"x"}\n{"sample_id":"1","snapshot":"y"}\n{"sample_id":"2"}')
     assert [tuple(r) for r in files.snapshots(spark, snaps).collect()] == [("1", "y")]
