@@ -42,6 +42,14 @@ def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.select("item_id", "strategy", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+def _choose(prompts: list[str]) -> list[str]:
+    """A stand-in whose answer hangs on the length of the question's first line."""
+    return ["Answer: " + "AB"[len(p.rsplit("Question: ", 1)[1].split("\n", 1)[0]) % 2] for p in prompts]
+
+
+_CHOSEN = "['A', 'B'][length(split_part(trim({}), chr(10), 1)) % 2 + 1]"
+
+
 def _search(spark: SparkSession, sf_dir: str):
     """Keyword search over the documents, indexed once."""
     own, chunks = index.build(table(spark, sf_dir, "documents")), _chunks(spark, sf_dir)
@@ -57,21 +65,21 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BM25 + """, f AS (SELECT query_id, doc_id, score_millionths, rank, source, lang FROM top JOIN documents USING (doc_id) WHERE rank <= 5)
-SELECT b.item_id AS query_id, 'A' AS answer, coalesce(count(f.rank), 0) AS n_scores, string_agg(f.source || '/' || f.lang, ',' ORDER BY f.rank) FILTER (WHERE f.rank <= 3) AS sources FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id GROUP BY b.item_id""")
+SELECT b.item_id AS query_id, """ + _CHOSEN.format("any_value(b.text)") + """ AS answer, coalesce(count(f.rank), 0) AS n_scores, string_agg(f.source || '/' || f.lang, ',' ORDER BY f.rank) FILTER (WHERE f.rank <= 3) AS sources FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id GROUP BY b.item_id""")
 def answer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _questions(spark, sf_dir)
-    out = answering.choice_chain(asked, _search(spark, sf_dir)(asked.select("query_id", F.col("question").alias("text")), 5))
+    out = answering.choice_chain(asked, _search(spark, sf_dir)(asked.select("query_id", F.col("question").alias("text")), 5), _choose)
     listed = F.array_join(F.transform("sources", lambda x: F.concat_ws("/", x["source"], x["section"])), ",")
     return out.select("query_id", "answer", F.coalesce(F.size("retrieval_scores"), F.lit(0)).cast("long").alias("n_scores"), F.when(F.size("sources") > 0, listed).alias("sources"))
 
 
-@query("SELECT item_id AS query_id, 'A' AS answer, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS rewrite_count, true AS context_used FROM benchmark")
+@query("SELECT item_id AS query_id, " + _CHOSEN.format("CASE WHEN item_id % 3 = 0 THEN 'third: ' ELSE '' END || text") + " AS answer, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS rewrite_count, true AS context_used FROM benchmark")
 def agentic_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The judge rejects what every third question finds, until it is asked anew; the question is told by its mark."""
     asked = _questions(spark, sf_dir).withColumn("question", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("third: "), "question")).otherwise(F.col("question")))
     judge = lambda prompts: ["no" if p.split("\n")[1].startswith("third: ") else "yes" for p in prompts]
     rewrite = lambda prompts: [p.split("\n", 1)[1].replace("third: ", "") for p in prompts]
-    out = answering.agentic(asked, _search(spark, sf_dir), grade=judge, rewrite=rewrite)
+    out = answering.agentic(asked, _search(spark, sf_dir), _choose, grade=judge, rewrite=rewrite)
     return out.select("query_id", "answer", "rewrite_count", "context_used")
 
 

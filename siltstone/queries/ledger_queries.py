@@ -195,16 +195,18 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.leaderboard(_table(spark, sf_dir))
 
 
-@query(LEDGER + "SELECT strategy, rag_enabled, count(*) AS n, avg(CAST(correct AS INT)) AS accuracy, max(latency_ms) AS latency_max, count(DISTINCT model_id) AS models FROM mcq GROUP BY ALL")
+@query(LEDGER + ", t AS (" + ACCURACY + "), l AS (SELECT model_id, strategy, rag_enabled, avg(latency_ms) AS latency FROM mcq GROUP BY ALL) SELECT strategy, floor(avg(accuracy) * 1e9 + 0.5)::BIGINT AS mean_billionths, floor(max(accuracy) * 1e9 + 0.5)::BIGINT AS max_billionths, floor(avg(latency) * 1e3 + 0.5)::BIGINT AS latency_us FROM t JOIN l USING (model_id, strategy, rag_enabled) GROUP BY strategy")
 def strategy_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.valid(ledger(spark, sf_dir)).filter("track = 'mcq'")
-    return rows.groupBy("strategy", "rag_enabled").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"), F.max("latency_ms").alias("latency_max"), F.countDistinct("model_id").alias("models"))
+    latency = L.valid(ledger(spark, sf_dir)).filter("track = 'mcq'").groupBy(*L.CONDITION).agg(F.avg("latency_ms").alias("latency"))
+    out = L.group_means(_table(spark, sf_dir).join(latency, list(L.CONDITION)), "strategy", latency="latency")
+    whole = lambda c, n: F.floor(F.col(c) * n + 0.5).cast("long")
+    return out.select("strategy", whole("accuracy_mean", 1e9).alias("mean_billionths"), whole("accuracy_max", 1e9).alias("max_billionths"), whole("latency_mean", 1e3).alias("latency_us"))
 
 
 @query(LEDGER + "SELECT model_id, quantile_cont(latency_ms, 0.25) AS q1, quantile_cont(latency_ms, 0.5) AS median, quantile_cont(latency_ms, 0.75) AS q3, avg(latency_ms) AS mean FROM mcq GROUP BY ALL")
 def quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.valid(ledger(spark, sf_dir)).filter("track = 'mcq'")
-    return rows.groupBy("model_id").agg(*[F.percentile("latency_ms", q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.avg("latency_ms").alias("mean"))
+    out = L.spread(L.valid(ledger(spark, sf_dir)).filter("track = 'mcq'"), "model_id", "latency_ms")
+    return out.select("model_id", *[F.get("quartiles", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))], "mean")
 
 
 @query(LEDGER + ", t AS (SELECT model_id, parsed_answer AS category, count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM mcq GROUP BY ALL) SELECT m.model_id, c.category, coalesce(t.accuracy, 0.0) AS accuracy FROM (SELECT DISTINCT model_id FROM t) m CROSS JOIN (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS category) c LEFT JOIN t USING (model_id, category)")
@@ -215,9 +217,9 @@ def radar_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.radar(table, table.select("model_id").distinct(), categories, "category", "accuracy").select("model_id", "category", "accuracy")
 
 
-@query(LEDGER + ", t AS (" + ACCURACY + ") SELECT model_id, floor(avg(accuracy) * 1e9 + 0.5)::BIGINT AS accuracy_billionths, count(*) AS n FROM t GROUP BY ALL")
+@query(LEDGER + ", t AS (" + ACCURACY + ") SELECT model_id, floor(avg(accuracy) * 1e9 + 0.5)::BIGINT AS accuracy_billionths, count(DISTINCT strategy) AS n_strategies FROM t GROUP BY ALL")
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir).groupBy("model_id").agg(F.floor(F.avg("accuracy") * 1e9 + 0.5).cast("long").alias("accuracy_billionths"), F.count("*").alias("n"))
+    return L.model_means(_table(spark, sf_dir)).select("model_id", F.floor(F.col("accuracy_mean") * 1e9 + 0.5).cast("long").alias("accuracy_billionths"), "n_strategies")
 
 
 @query(LEDGER + "SELECT model_id, strategy, rag_enabled, count(*) AS n, avg(f1_tenths) AS relevance_mean, avg(cites_gold) AS gold_mean, avg(CAST(f1_tenths >= 5 AS INT)) AS relevance_pass_rate, avg(CAST(cites_gold = 1 AS INT)) AS gold_pass_rate FROM ledger GROUP BY ALL")

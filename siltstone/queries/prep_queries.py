@@ -78,7 +78,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source FROM ({_MANIFEST}) m ANTI JOIN ({_FILES}) c USING (source)")
 def removed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manifest(spark, sf_dir).join(_current(spark, sf_dir), "source", "left_anti").select("source")
+    return prep.changed(_current(spark, sf_dir), _manifest(spark, sf_dir)).filter("change = 'removed'").select("source")
 
 
 @query("SELECT source, count(*) AS chunk_count, min(sha256(text)) AS sha256, sha256('size=1000') AS config_sha256 FROM documents GROUP BY source")
@@ -88,7 +88,7 @@ def ingestion_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.ingestion_manifest(per_chunk, {"size": "1000"})
 
 
-CALC = """SELECT doc_id, CAST(doc_id AS VARCHAR) AS no, CASE WHEN doc_id % 3 = 0 THEN 'Calculate the dose of item ' || doc_id ELSE 'What is item ' || doc_id END AS question, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 50) || ' mg/kg/day, max ' || (doc_id % 9) || '-10 mL/hr' ELSE 'see text' END AS reference_answer,
+CALC = """SELECT doc_id, CAST(doc_id AS VARCHAR) AS no, CASE WHEN doc_id % 3 = 0 THEN 'Calculate the dose of item ' || doc_id ELSE 'What is item ' || doc_id END AS question, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 50) || ' mg/kg/day, max ' || (doc_id % 9) || '-10 mL/hr' || CASE WHEN doc_id % 12 = 0 THEN ', later 77 mg/kg/day' ELSE '' END || CASE WHEN doc_id % 18 = 0 THEN ', target 5 g/dose' ELSE '' END ELSE 'see text' END AS reference_answer,
   (['Basic', ' intermediate', 'ADVANCED', 'other'])[doc_id % 4 + 1] AS complexity, CAST((doc_id % 100) / 100 AS VARCHAR) AS confidence FROM documents"""
 
 
@@ -98,13 +98,13 @@ def _calc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
         s(n).alias("S.No"), F.lit("p").alias("Provider"), F.when(n % 3 == 0, F.concat(F.lit("Calculate the dose of item "), s(n))).otherwise(F.concat(F.lit("What is item "), s(n))).alias("Question"),
-        F.when(n % 2 == 0, F.concat(s(n % 50), F.lit(" mg/kg/day, max "), s(n % 9), F.lit("-10 mL/hr"))).otherwise("see text").alias("Answer"),
+        F.when(n % 2 == 0, F.concat(s(n % 50), F.lit(" mg/kg/day, max "), s(n % 9), F.lit("-10 mL/hr"), F.when(n % 12 == 0, ", later 77 mg/kg/day").otherwise(""), F.when(n % 18 == 0, ", target 5 g/dose").otherwise(""))).otherwise("see text").alias("Answer"),
         F.element_at(F.array(*map(F.lit, ("Basic", " intermediate", "ADVANCED", "other"))), (n % 4 + 1).cast("int")).alias("Complexity"), F.col("source").alias("Source Document"), s((n % 100) / 100).alias("Verification Confidence"),
     )
     return prep.calc_records(rows)
 
 
-_ELIGIBLE = f"WITH c AS ({CALC}), e AS (SELECT 'calc_' || CASE WHEN doc_id < 1000 THEN lpad(no, 3, '0') ELSE no END AS sample_id, CASE lower(trim(complexity)) WHEN 'basic' THEN 1 WHEN 'intermediate' THEN 2 WHEN 'advanced' THEN 3 ELSE 0 END AS weight, CAST(confidence AS DOUBLE) AS confidence FROM c WHERE doc_id <> 0 AND doc_id % 3 = 0 AND doc_id % 2 = 0)"
+_ELIGIBLE = f"WITH c AS ({CALC}), e AS (SELECT 'calc_' || CASE WHEN doc_id < 1000 THEN lpad(no, 3, '0') ELSE no END AS sample_id, CASE lower(trim(complexity)) WHEN 'basic' THEN 1 WHEN 'intermediate' THEN 2 WHEN 'advanced' THEN 3 ELSE 0 END AS weight, CAST(confidence AS DOUBLE) AS confidence, 2 + CAST(doc_id % 12 = 0 AS INT) + CAST(doc_id % 18 = 0 AS INT) AS density, CASE WHEN doc_id % 12 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 18 = 0 THEN 4 ELSE 0 END AS more FROM c WHERE doc_id <> 0 AND doc_id % 3 = 0 AND doc_id % 2 = 0)"
 
 
 @query(_ELIGIBLE + " SELECT sample_id, weight, confidence FROM e")
@@ -112,9 +112,10 @@ def calc_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.calc_scored(_calc(spark, sf_dir)).select("sample_id", "weight", "confidence")
 
 
-@query(_ELIGIBLE + " SELECT sample_id, weight, weight * 10 + 10 AS messy FROM e ORDER BY weight DESC, confidence DESC, sample_id DESC LIMIT 50")
+# all have two quantities of different units, a range and a messy word; a second value of a key, or another key and word, adds four
+@query(_ELIGIBLE + """, o AS (SELECT *, weight * 10 + 10 + more AS messy, row_number() OVER (ORDER BY weight DESC, confidence DESC, density DESC, sample_id DESC) AS place FROM e)
+SELECT sample_id, weight, messy FROM o WHERE place <= 25 UNION ALL SELECT sample_id, weight, messy FROM (SELECT * FROM o WHERE place > 25 ORDER BY messy DESC, weight DESC, confidence DESC, density DESC, sample_id DESC LIMIT 25)""")
 def calc_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all have two quantities of different units, a range and one messy word, so that the weight decides
     return prep.calc_selected(prep.calc_scored(_calc(spark, sf_dir)), 50, 25).select("sample_id", "weight", "messy")
 
 
@@ -133,9 +134,14 @@ def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.merged_judgements(table(spark, sf_dir, "documents").select("doc_id", "source"), other, "doc_id")
 
 
-@query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.lang = 'en'")
+@query("SELECT l.doc_id, d.source, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 7 <> 3 AND d.doc_id % 2 = 0")
 def judge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality")
+    # open runs, some of them with errors, and their samples
+    from siltstone.operators.ledger import open_records
+
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "source", F.when(F.col("doc_id") % 2 == 0, "open_ended").otherwise("mcq").alias("track"), F.when(F.col("doc_id") % 7 == 3, "timeout").alias("error"))
+    samples = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"), "quality")
+    return open_records(runs, samples).select(F.col("sample_id").alias("doc_id"), "source", "quality")
 
 
 @query("SELECT doc_id, CASE WHEN trim(source) = '' THEN 'missing_source' WHEN length(text) < 100 THEN 'missing_body' END AS skip_reason FROM documents")
@@ -144,10 +150,11 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.required(rows, ("source", "body")).select("doc_id", "skip_reason")
 
 
-@query("SELECT 'documents' AS name, doc_id AS id FROM documents UNION ALL SELECT 'pages', page_id FROM pages UNION ALL SELECT 'benchmark', item_id FROM benchmark")
+@query("SELECT 'documents' AS name, 'Documents' AS display, doc_id AS id FROM documents UNION ALL SELECT 'pages', NULL, page_id FROM pages UNION ALL SELECT 'benchmark', 'Benchmark', item_id FROM benchmark")
 def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda t, c: table(spark, sf_dir, t).select(F.lit(t).alias("name"), F.col(c).alias("id"))
-    return side("documents", "doc_id").unionByName(side("pages", "page_id")).unionByName(side("benchmark", "item_id"))
+    tables = {t: table(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in (("documents", "doc_id"), ("pages", "page_id"), ("benchmark", "item_id"))}
+    names = spark.createDataFrame([(t, t.title()) for t in tables if t != "pages"], "model_id string, display string")
+    return files.csv_union(tables, names).select(F.col("model_id").alias("name"), "display", "id")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -171,7 +178,10 @@ def kb_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("included_files", ",").alias("included"), F.size("file_sha256").cast("long").alias("n"), "manifest_sha256")
 
 
-@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS hour_us, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS hour_us, count(*) AS n, floor(sum(value) * 1e3 + 0.5)::BIGINT AS total_thousandths FROM events GROUP BY ALL")
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return rows.select("event_type", F.unix_micros(F.col("w.start").cast("timestamp")).alias("hour_us"), "n")
+    from siltstone.streaming.ingest import event_counts
+
+    # what is a watermark to a stream is nothing to a table
+    rows = event_counts(table(spark, sf_dir, "events"), "1 hour")
+    return rows.select("event_type", F.unix_micros(F.col("window.start").cast("timestamp")).alias("hour_us"), "n", F.floor(F.col("total") * 1e3 + 0.5).cast("long").alias("total_thousandths"))

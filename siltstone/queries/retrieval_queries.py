@@ -28,23 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BM25 = f"""WITH tok AS MATERIALIZED (SELECT doc_id, {keyword_tokens('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM tok),
+TERMS = f"""WITH tok AS MATERIALIZED (SELECT doc_id, {keyword_tokens('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM tok),
  post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, n GROUP BY term),
- idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
- q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({keyword_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
+ idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)
+"""
+BM25 = f"""{TERMS}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({keyword_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
  bm AS (SELECT query_id, doc_id, CAST(floor(sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) * 1000000 + 0.5) AS BIGINT) AS score_millionths FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) > 0),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_millionths DESC, doc_id) AS rank FROM bm)
 """
 
 
-@query(BM25 + "SELECT term, df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf_millionths FROM idf")
+@query(TERMS + "SELECT term, df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf_millionths FROM idf")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.floor(F.col("idf") * 1e6 + 0.5).cast("long").alias("idf_millionths"))
 
 
 #: Some documents go and others are amended: what SQL sees is the table as it is then.
-AMENDED = BM25.replace("FROM documents", "FROM amended").replace("WITH tok", "WITH amended AS (SELECT doc_id, CASE WHEN doc_id % 50 = 8 THEN text || ' amended addendum' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 7), tok")
+AMENDED_TERMS, AMENDED = (sql.replace("FROM documents", "FROM amended").replace("WITH tok", "WITH amended AS (SELECT doc_id, CASE WHEN doc_id % 50 = 8 THEN text || ' amended addendum' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 7), tok") for sql in (TERMS, BM25))
 
 
 def _amended(spark: SparkSession, sf_dir: str):
@@ -62,7 +63,7 @@ def _amended(spark: SparkSession, sf_dir: str):
     return ingest.Store.open(spark, path).index
 
 
-@query(AMENDED + "SELECT term, df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf_millionths FROM idf")
+@query(AMENDED_TERMS + "SELECT term, df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf_millionths FROM idf")
 def amended_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amended(spark, sf_dir).terms.select("term", "df", F.floor(F.col("idf") * 1e6 + 0.5).cast("long").alias("idf_millionths"))
 

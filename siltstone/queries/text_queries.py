@@ -225,8 +225,10 @@ def ground_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- answers -----------------------------------------------------------------------------------------------------
 
 RAW = ("a, c", "ALL of the above", "none", " b ", "C, A and B", "not a letter")
-PREDICTED = f"({sql_list(RAW)})[doc_id % 6 + 1]"
-EXPECTED = f"({sql_list(RAW)})[doc_id % 5 + 1]"
+#: Every other answer is what stands at some place of the document, as far as it is letters.
+_SAID = "regexp_replace(substr(text, 1 + doc_id % 40, 14), '[^A-Za-z ,.]', '', 'g')"
+PREDICTED = f"CASE WHEN doc_id % 2 = 0 THEN ({sql_list(RAW)})[doc_id % 6 + 1] ELSE {_SAID} END"
+EXPECTED = f"CASE WHEN doc_id % 4 < 2 THEN ({sql_list(RAW)})[doc_id % 5 + 1] ELSE {_SAID} END"
 
 
 def sql_answer(x: str) -> str:
@@ -237,7 +239,8 @@ def sql_answer(x: str) -> str:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.array(*map(F.lit, RAW))
     pick = lambda k: F.element_at(raw, (F.col("doc_id") % k + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", pick(6).alias("predicted"), pick(5).alias("expected"))
+    said = F.regexp_replace(F.substring("text", 1 + F.col("doc_id") % 40, F.lit(14)), "[^A-Za-z ,.]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, pick(6)).otherwise(said).alias("predicted"), F.when(F.col("doc_id") % 4 < 2, pick(5)).otherwise(said).alias("expected"))
 
 
 @query(f"SELECT doc_id, {sql_answer(PREDICTED)} AS answer FROM documents")
@@ -251,17 +254,20 @@ def answers_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", exact.alias("exact"), partial.alias("partial"))
 
 
-@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS n_options, CASE item_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'x' WHEN 2 THEN 'p' END AS first_option FROM benchmark")
+@query("""WITH r AS (SELECT item_id, item_id % 4 AS k, replace(text, '. ', (['||', chr(10), ' | ', '; '])[item_id % 4 + 1]) AS raw FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)),
+ o AS (SELECT item_id, CASE WHEN k < 3 AND (k = 0 OR len(p) >= 2) AND contains(raw, (['||', chr(10), '|'])[k + 1]) THEN p END AS o FROM (SELECT *, list_filter(list_transform(string_split(raw, (['||', chr(10), '|', ';'])[k + 1]), lambda x: trim(x)), lambda x: x <> '') AS p FROM r))
+SELECT item_id, len(o) AS n_options, o[1] AS first_option FROM o""")
 def coerce_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.element_at(F.array(F.lit("a || b||c || d"), F.lit("x\n y\n\nz"), F.lit("p | q"), F.lit("one option alone")), (F.col("item_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", T.coerce_options(raw).alias("o")).select("item_id", F.when(F.col("o").isNotNull(), F.size("o")).alias("n_options"), F.get("o", F.lit(0)).alias("first_option"))
+    # the sentences of an item, under each kind of delimiter and under none
+    mark = F.element_at(F.array(F.lit("||"), F.lit("\n"), F.lit(" | "), F.lit("; ")), (F.col("item_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", T.coerce_options(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(". "), mark)).alias("o"))
+    return rows.select("item_id", F.when(F.col("o").isNotNull(), F.size("o").cast("long")).alias("n_options"), F.get("o", F.lit(0)).alias("first_option"))
 
 
-@query("SELECT item_id, 'the answer is ' || item_id AS final, item_id % 2 = 0 AS relevant, CASE WHEN item_id % 2 = 0 THEN '{\"answer\": \"C\"}' END AS json FROM benchmark")
+@query("SELECT item_id, 'the answer is ' || trim(split_part(trim(text), chr(10), 1)) AS final, item_id % 2 = 0 AS relevant, CASE WHEN item_id % 2 = 0 THEN '{\"answer\": \"C\"}' END AS json FROM benchmark")
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("item_id").cast("string")
     even = F.col("item_id") % 2 == 0
-    answer = F.concat(F.lit("<think>Final answer: no</think> Final Answer: the answer is "), n, F.lit("\nWork: 1 + 1\nCitations: (none)"))
+    answer = F.concat(F.lit("<think>Final answer: no</think> Final Answer: the answer is "), F.trim(F.substring_index(F.trim("text"), "\n", 1)), F.lit("\nWork: 1 + 1\nCitations: (none)"))
     verdict = F.when(even, 'Verdict: "Yes"').otherwise('It is "no", not yes')
     said = F.when(even, 'Here: {"answer": "C"} done').otherwise("nothing here")
     return table(spark, sf_dir, "benchmark").select("item_id", T.final_answer(T.without_thinking(answer)).alias("final"), T.judge_verdict(verdict).alias("relevant"), T.json_rescue(said).alias("json"))
@@ -284,8 +290,9 @@ _T = sq("unnest(string_split(text, chr(10)))")
 
 @query(f"WITH l AS (SELECT doc_id, {_T} AS t FROM documents), s AS (SELECT *, len({words('t')}) AS w, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS capitals FROM l) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE t = '' OR (NOT regexp_matches(t, '[0-9]') AND (length(t) < 40 OR w <= 6)) OR (letters > 0 AND capitals * 10 > letters * 9 AND w <= 10 AND length(t) <= 120)) AS n_low FROM s GROUP BY doc_id")
 def low_value_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.low_value(F.col("t"))).alias("n_low"))
+    # a count over a row's own lines needs no shuffle
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, T.low_value)).cast("long").alias("n_low"))
 
 
 _CLAUSES = "(?i)\\s*(?:;|,|\\band\\b|\\bthen\\b|\\bwhile\\b|\\bversus\\b|\\bvs\\.?\\b)\\s*"
