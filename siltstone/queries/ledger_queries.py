@@ -119,6 +119,13 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci(L.lift_pairs(ledger(spark, sf_dir)), ("model_id", "strategy"), "rag", "no_rag")
 
 
+@query()
+def bootstrap_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.functions.stats import bootstrap_replayed as ci
+
+    return ci(L.lift_pairs(ledger(spark, sf_dir)), ("model_id", "strategy"), "rag", "no_rag", ("sample_id", "repeat_index"))
+
+
 @query()
 def inter_rater(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.inter_rater(ledger(spark, sf_dir))

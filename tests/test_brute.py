@@ -117,3 +117,31 @@ def test_rag_lift(spark):
     step = sorted(tests, key=lambda k: (tests[k], k))
     passed = [all(tests[j] <= 0.05 / (len(step) - i) for i, j in enumerate(step[: at + 1])) for at in range(len(step))]
     assert {k: got[k]["significant_holm"] for k in step} == dict(zip(step, passed))
+
+
+def test_bootstrap_replayed(spark):
+    """Python's own generator, draw by draw."""
+    import random
+
+    cells = {}
+    for r in ledger_rows(spark):
+        if r["strategy"] != "RAP":
+            cells.setdefault((r["model_id"], r["strategy"]), {}).setdefault((r["sample_id"], r["repeat_index"]), {})[r["rag_enabled"]] = int(bool(r["correct"]))
+    want = {k: [c[True] - c[False] for _, c in sorted(v.items()) if len(c) == 2] for k, v in cells.items()}
+    got = {(r["model_id"], r["strategy"]): r for r in run(spark, "bootstrap_replayed")}
+    assert set(got) == {k for k, d in want.items() if d}
+    for k in sorted(got)[:5]:
+        random.seed(42)
+        n = len(want[k])
+        means = sorted(float(np.mean([float(want[k][random.randrange(n)]) for _ in range(n)])) for _ in range(5000))
+        assert (got[k]["mean_delta"], got[k]["ci_low"], got[k]["ci_high"]) == (float(np.mean(want[k])), means[125], means[4874])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
+def test_drawn_indices(n):
+    import random
+
+    from siltstone.functions.stats import drawn_indices
+
+    random.seed(7)
+    assert np.concatenate(list(drawn_indices(n, 30, 7))).ravel().tolist() == [random.randrange(n) for _ in range(30 * n)]

@@ -109,7 +109,7 @@ def test_compacted(corpus, small_ranges):
         row = next(index.rows_of(b))
         gone = list(range(0, row["n"], 3))
         dead |= {row["ids"][g].as_py() for g in gone}
-        batches.append(b.set_column(b.schema.get_field_index("dead"), "dead", pa.array([index.packed(np.array(gone))], pa.binary())))
+        batches.append(b.set_column(b.schema.get_field_index("dead"), "dead", pa.array([gone], pa.list_(pa.int32()))))
     live = {i: t for i, t in tokens.items() if i not in dead}
     unpacked = lambda bs: Counter((i, t, tf, dl) for b in index._unpacked(bs) for i, dl, t, tf in zip(*(c.to_pylist() for c in b.columns)))
     want = Counter((i, t, c, len(own)) for i, own in live.items() for t, c in Counter(own).items())
