@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import ANSWER_STOPWORDS, covered, let, source_name, sources_match, split_words, squeezed, terms, without_citations
+from siltstone.operators.chunking import SENTENCE_END
 
 # The forms of citations with a source and, but for the last, a page.
 CITATIONS = (
@@ -126,15 +126,11 @@ def _mean(s: Column) -> Column:
     return F.when(F.size(s) == 3, 0.4 * at(0) + 0.4 * at(1) + 0.2 * at(2)).when(F.size(s) == 2, 0.5 * at(0) + 0.5 * at(1)).otherwise(at(0))
 
 
-# Fixed value: what ends a sentence, but after a digit, a page mark or an abbreviation.
-BOUNDARY = re.compile(r"(?<!\d)(?<!p)(?<!e\.g)(?<!i\.e)(?<!vs)(?<!Dr)(?<!Mr)(?<!Mrs)[.!?]+\s+")
-
-
 def answer_sentences(text: str | None) -> list[str]:
     """Sentences with their ends; fragments of 20 characters or less go with what follows."""
     text = text or ""
     out, start = [], 0
-    for m in BOUNDARY.finditer(text):
+    for m in SENTENCE_END.finditer(text):
         if len(text[start : m.end()].strip()) > 20:
             out.append(text[start : m.end()].strip())
             start = m.end()
