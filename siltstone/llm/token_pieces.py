@@ -153,14 +153,16 @@ class PieceEncoder:
         end, data = np.frombuffer(joined.buffers()[1], np.int64), memoryview(joined.buffers()[2] or b"")
         return [bytes(data[end[a] : end[b]]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
-    def encode_column(self, column: pa.Array, size: int = 8 << 20) -> Iterator[bytes]:
-        """For each text of a column without nulls its ids, packed; texts of about ``size`` bytes are held as pieces at once."""
+    def encode_column(self, column: pa.Array, size: int = 4 << 20) -> Iterator[bytes]:
+        """For each text of a column without nulls its ids, packed; texts of about ``size`` bytes are held as pieces at once,
+        and what they took is given back to the system at the column's end."""
         ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(column):
             n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")) - at)
             yield from self._joined(column.slice(at, n))
             at += n
+        pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
