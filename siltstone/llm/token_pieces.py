@@ -8,6 +8,7 @@ the ids of the whole text; most pieces are words met before.
 from __future__ import annotations
 
 import array
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,6 +34,16 @@ def packed(ids: Iterable[int]) -> bytes:
     return a.tobytes()
 
 
+def give_back() -> None:
+    """What was allocated and freed goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 class PieceEncoder:
     """encode_many maps strings to lists of ids. limit: pieces kept (a third as many other strings). Words of more
     than longest letters, and other pieces of more than mixed characters, rarely come again and are not kept.
@@ -153,7 +164,7 @@ class PieceEncoder:
         end, data = np.frombuffer(joined.buffers()[1], np.int64), memoryview(joined.buffers()[2] or b"")
         return [bytes(data[end[a] : end[b]]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
-    def encode_column(self, column: pa.Array, size: int = 4 << 20) -> Iterator[bytes]:
+    def encode_column(self, column: pa.Array, size: int = 8 << 20) -> Iterator[bytes]:
         """For each text of a column without nulls its ids, packed; texts of about ``size`` bytes are held as pieces at once,
         and what they took is given back to the system at the column's end."""
         ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -162,7 +173,7 @@ class PieceEncoder:
             n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")) - at)
             yield from self._joined(column.slice(at, n))
             at += n
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
