@@ -18,12 +18,23 @@ ORACLE_SQL = None
 BROADCAST_IDS = 500_000
 
 
+#: Bytes of a batch that a Python worker gets at once, where the session has Spark's own default.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Executors hold a heap and several workers side by side: batches of texts are kept small on both ends."""
+    if spark.conf.get(BATCH_SETTING) == f"{64 << 20}b":
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go. Scores ride on the rows; nothing is joined.
 
     Null and empty texts score as texts without words, rows without an id are scored like others, repeated rows score
     the same. Without toxic labels all stay.
     """
+    _bounded(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).filter("toxicity < 0.5").select(*COLUMNS)
 
@@ -31,6 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays; of repeated rows of an id, one row for each text that stays. Null texts are
     equal to empty ones and to white space."""
+    _bounded(spark)
     verdict = materialise(exact_dedup.exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "verdict")
     ids = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     twice = materialise(ids.filter("n > 1").select("doc_id"), "repeated")
@@ -50,6 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the row with the smallest id stays, null ids last, then that with the smallest hash of
     its text. Rows are told apart by id and text, so that null or repeated ids save no copy; rows equal in both stay
     together. Null and empty texts have no near copies and stay."""
+    _bounded(spark)
     found = materialise(near_dedup.grouped(docs, 85).filter("group is not null").select("doc_id", "h", "group"), "near-verdict")
     first = found.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"))
     first = materialise(first.filter("n > 1").select("group", "n", "first"), "near-first")
@@ -77,6 +90,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows without an id and repeated rows are documents of their own."""
     import public_tokenizers
 
+    _bounded(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
