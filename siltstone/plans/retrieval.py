@@ -103,7 +103,8 @@ def snapshot(queries: DataFrame, chunks: DataFrame, index: keyword.KeywordIndex,
     focused = focus_query(F.col("text"))
     parameters = (top_k, candidates, budget, iterations > 1, iterations, most, r.FLOOR, r.RATIO)
     rounds = rounds.join(queries.select("query_id", focused.alias("_focus"), r.cache_key(F.col("query_id"), focused, *map(F.lit, parameters)).alias("cache_key")), "query_id", "right")
-    rounds = rounds.select("query_id", "iteration_count", "refinement_used", F.concat(F.array(F.concat(F.lit("[focused] "), "_focus")), F.coalesce("query_plan", F.array().cast("array<string>"))).alias("query_plan"), "cache_key")
+    rounds = rounds.join(batches.select("query_id", F.lit(True).alias("_found")).distinct(), "query_id", "left")
+    rounds = rounds.select("query_id", F.when(F.col("_found"), F.col("iteration_count")).alias("iteration_count"), "refinement_used", F.concat(F.array(F.concat(F.lit("[focused] "), "_focus")), F.coalesce("query_plan", F.array().cast("array<string>"))).alias("query_plan"), "cache_key")
     out = queries.select("query_id")
     for part in (listed, context, counted, rounds):
         out = out.join(part, "query_id", "left")

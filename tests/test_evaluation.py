@@ -82,7 +82,7 @@ def test_snapshot_plan(spark):
     # the original query's hits lead, so its best hit's section is the first hint
     assert len(plan) == 6 and all(" section " in p for p in plan[4:]) and got["q"]["refinement_used"] and got["q"]["iteration_count"] == 2
     assert {p.split(" section ")[1] for p in plan[4:]} == {"alpha", "omega"}
-    assert (got["none"]["query_plan"], got["none"]["refinement_used"], got["none"]["iteration_count"], got["none"]["candidate_count"]) == (["[focused] zebra", "zebra"], False, 1, 0)
+    assert (got["none"]["query_plan"], got["none"]["refinement_used"], got["none"]["iteration_count"], got["none"]["candidate_count"]) == (["[focused] zebra", "zebra"], False, 0, 0)
     assert len(got["q"]["cache_key"]) == 64 != got["none"]["cache_key"]
     # one query, one round: rank 1 gives 0.7 / 11 + 0.3 * 0.4 / 61
     one = plans.snapshot(spark.createDataFrame([("q", "psi")], "query_id string, text string"), chunks, own, iterations=1, scorer=None).first()
