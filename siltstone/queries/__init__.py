@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import answer_queries, ledger_queries, prep_queries, retrieval_queries, text_queries
+from siltstone.queries import answer_queries, ledger_queries, prep_queries, retrieval_queries, sql_queries, text_queries
 
-MODULES = (answer_queries, ledger_queries, prep_queries, retrieval_queries, text_queries)
+MODULES = (answer_queries, ledger_queries, prep_queries, retrieval_queries, sql_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
