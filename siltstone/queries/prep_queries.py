@@ -185,3 +185,19 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     # what is a watermark to a stream is nothing to a table
     rows = event_counts(table(spark, sf_dir, "events"), "1 hour")
     return rows.select("event_type", F.unix_micros(F.col("window.start").cast("timestamp")).alias("hour_us"), "n", F.floor(F.col("total") * 1e3 + 0.5).cast("long").alias("total_thousandths"))
+
+
+@query("SELECT doc_id, source, lang, length(text) AS n_chars FROM documents")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rows of a table as workbooks and back
+    import uuid
+
+    from siltstone.sources import formats
+    from siltstone.tables import shared_dir
+
+    formats.register(spark)
+    path = f"{shared_dir(spark)}/workbooks-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("Source"), F.col("lang").alias("Lang."), F.length("text").alias("No. of Characters"))
+    rows.write.format("workbook").mode("append").save(path)
+    back = spark.read.format("workbook").schema("doc_id string, source string, lang string, no_of_characters string").load(path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("no_of_characters").cast("int").alias("n_chars"))

@@ -156,6 +156,11 @@ def xlsx_rows(content: bytes) -> Iterator[list[str]]:
             yield [cells.get(k, "") for k in range(1, max(cells, default=0) + 1)]
 
 
+def header_names(cells: list[str]) -> list[str]:
+    """Headers in lower case, with underscores for what is neither letter nor digit."""
+    return [re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9]+", "_", h.lower())) for h in cells]
+
+
 def xlsx(spark: SparkSession, path: str) -> DataFrame:
     """file, row, values (map of normalised header to text) of each row of each workbook's first sheet that is not blank."""
 
@@ -164,7 +169,7 @@ def xlsx(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for file, content in zip(frame["path"], frame["content"]):
                 rows = xlsx_rows(content)
-                header = [re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9]+", "_", h.lower())) for h in next(rows, [])]
+                header = header_names(next(rows, []))
                 out += [(file, n, dict(zip(header, row))) for n, row in enumerate(rows, 1) if any(row)]
             yield pd.DataFrame(out, columns=["file", "row", "values"])
 
