@@ -239,9 +239,13 @@ def judge_summary(judged: DataFrame, by: tuple[str, ...], metrics: tuple[str, ..
 
 
 def rollup_summary(ledger: DataFrame) -> DataFrame:
-    """Runs and accuracy of each model with and without strategy, and over all: one pass over the ledger."""
-    rows = valid(ledger).filter("track = 'mcq'")
-    out = rows.rollup("model_id", "strategy").agg(F.count("*").alias("n"), share(F.coalesce(F.col("correct"), F.lit(False))).alias("accuracy"))
+    """Runs and accuracy of each model with and without strategy, and over all: one pass over the ledger. As in SQL, the row
+    over all is there without any run too, with an accuracy that is not a number."""
+    rows = valid(ledger).filter("track = 'mcq'").select("model_id", "strategy", "correct", F.lit(1).alias("run"))
+    # a row that is no run: a rollup of no rows gives none in Spark
+    rows = rows.unionByName(ledger.sparkSession.range(1).select(F.lit(0).alias("run")), allowMissingColumns=True)
+    out = rows.rollup("model_id", "strategy").agg(F.sum("run").alias("n"), F.count_if("correct").alias("right"), F.grouping_id().alias("level"))
+    out = out.filter("n > 0 or level = 3").withColumn("accuracy", F.when(F.col("n") > 0, F.col("right") / F.col("n")).otherwise(F.lit(float("nan"))))
     return out.select(F.coalesce("model_id", F.lit("all")).alias("model_id"), F.coalesce("strategy", F.lit("all")).alias("strategy"), "n", "accuracy")
 
 

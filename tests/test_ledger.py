@@ -82,3 +82,11 @@ def test_bootstrap(spark):
     small = spark.createDataFrame([("g", 0.8, 0.7), ("g", 0.7, 0.6), ("g", 0.9, 0.85), ("g", 0.6, 0.5)], "g string, a double, b double")
     row = bootstrap_ci(small, ("g",), "a", "b", 200, 1).first()
     assert 0.05 <= row["ci_low"] <= 0.0875 <= row["ci_high"] <= 0.1 + 1e-12
+
+
+def test_rollup_of_no_runs(spark, runs):
+    """All runs failed: SQL's rollup still has its row over all, 0 / 0 being no number."""
+    (row,) = L.rollup_summary(runs.withColumn("error", F.lit("timeout"))).collect()
+    assert (row["model_id"], row["strategy"], row["n"]) == ("all", "all", 0) and row["accuracy"] != row["accuracy"]
+    rows = {(r["model_id"], r["strategy"]): r["n"] for r in L.rollup_summary(runs).collect()}
+    assert rows == {("all", "all"): 88, ("m1", "all"): 44, ("m1", "ZS"): 44, ("m2", "all"): 44, ("m2", "ZS"): 44}
