@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.tables import discard, materialise, shared_dir
+from siltstone.tables import LARGE_ROWS, discard, materialise, shared_dir, small_batches
 
-__all__ = ["attach", "cache_cleared_by", "claim", "discard", "each_text", "materialise", "shared_dir", "text_of"]
+__all__ = ["LARGE_ROWS", "attach", "cache_cleared_by", "claim", "discard", "each_text", "materialise", "shared_dir", "small_batches", "text_of"]
 
 #: A key counts as hot when it holds over 1/HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, materialise
+from siltstone.llm.common import LARGE_ROWS, discard, materialise, small_batches
 from siltstone.llm.words import each_bytes, word_runs
 
 #: Terms, with repeats, and documents of a shard, about; a longer document is a shard of its own.
@@ -105,7 +105,7 @@ class LexicalIndex:
     terms: int
 
     def write(self, path: str) -> None:
-        self.shards.write.mode("overwrite").parquet(f"{path}/shards")
+        self.shards.write.mode("overwrite").options(**LARGE_ROWS).parquet(f"{path}/shards")
         totals = self.shards.sparkSession.createDataFrame([(self.documents, self.terms)], "documents long, terms long")
         totals.write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -118,7 +118,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Le
     """The index of all documents. Each row is a document, repeated and unnamed ones too; null texts have no terms, very long
     ones are split in runs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = materialise(rows.mapInArrow(sharded, SHARDS), "shards")
+    small_batches(docs.sparkSession)
+    counted = materialise(rows.mapInArrow(sharded, SHARDS), "shards", **LARGE_ROWS)
     documents, terms = (x or 0 for x in counted.agg(F.sum("documents"), F.sum("terms")).first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Le
                 n, doc, tf = (np.frombuffer(r.pop(c), t) for c, t in (("n", np.int64), ("doc", np.int32), ("tf", np.int32)))
                 yield row(r | {"doc": doc.tobytes(), "impact": impacts(n, doc, tf, documents, terms).astype(np.int32).tobytes()}, schema)
 
-    index = materialise(counted.select("doc_id", "none", "n", "term", "start", "doc", "tf").mapInArrow(run, INDEX), "impacts")
+    index = materialise(counted.select("doc_id", "none", "n", "term", "start", "doc", "tf").mapInArrow(run, INDEX), "impacts", **LARGE_ROWS)
     discard(counted)
     return LexicalIndex(index, documents, terms)
 
@@ -224,6 +225,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 50, id_col: str = "
     Rows of one query id, null among them, are one query with the terms of all of them. Queries without terms, and all
     queries of an empty index, have no rows. Queries go over the shards in blocks of bounded size, each once.
     """
+    small_batches(queries.sparkSession)
     kind = queries.schema[id_col].dataType.simpleString()
     if kind not in ARROW:
         raise TypeError(f"query ids of type {kind} are not supported")

@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import lower
+from pyspark.sql import functions as F
 
 from siltstone.llm import clustering, decontaminate, lexical
 from siltstone.llm.words import word_runs
@@ -192,6 +195,17 @@ def test_cut_keeps_ties_by_id():
     assert ids[lexical.cut(score, np.array([False, False, True, False, False]), ids, 3)].tolist() == [9, 1, 2]
 
 
+def test_row_groups_of_shards_are_small(spark):
+    """A reader holds a row group of a column at once: it has a few shards, not all of a task."""
+    texts = spark.range(6, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + lexical.SHARD_TERMS).cast("array<string>")).alias("text"))
+    built = lexical.build(texts)
+    files = [pq.ParquetFile(f).metadata for f in Path(built.shards.written_at.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 6 and max(g.num_rows for g in groups) <= 2
+    q = spark.createDataFrame([(1, "0"), (2, f"{lexical.SHARD_TERMS + 5} 3")], "item_id long, text string")
+    assert {(r["query_id"], r["doc_id"]) for r in lexical.search(built, q).filter("rank = 1").collect()} == {(1, 0), (2, 5)}
+
+
 # --- decontamination
 
 
