@@ -156,7 +156,7 @@ def write_version(chunks: DataFrame, path: str, options: dict) -> str:
 
 def _write_postings(ranges: DataFrame, removed: DataFrame | None, folder: str) -> None:
     """Ranges, and terms and totals of these without those of ``removed``."""
-    ranges.write.mode("overwrite").parquet(f"{folder}/ranges")
+    ranges.write.mode("overwrite").options(**tables.LARGE_ROWS).parquet(f"{folder}/ranges")
     terms, totals = keyword.counted_terms(ranges), ranges.select("n", "total")
     if removed is not None:
         terms = terms.unionByName(keyword.counted_terms(removed).select("term", (-F.col("df")).alias("df")))
@@ -213,7 +213,7 @@ def compact(store: Store) -> str:
     folder = tables.upcoming(spark, store.path)
     _write_chunks(store.chunks, folder)
     ranges = store.ranges
-    ranges.mapInArrow(keyword.compacted, keyword.range_schema(ranges.schema["ids"].dataType.elementType.simpleString())).write.mode("overwrite").parquet(f"{folder}/ranges")
+    ranges.mapInArrow(keyword.compacted, keyword.range_schema(ranges.schema["ids"].dataType.elementType.simpleString())).write.mode("overwrite").options(**tables.LARGE_ROWS).parquet(f"{folder}/ranges")
     store.counts.write.mode("overwrite").parquet(f"{folder}/terms")
     spark.createDataFrame([store.totals], "n long, total long").write.mode("overwrite").parquet(f"{folder}/totals")
     store.manifest.write.mode("overwrite").parquet(f"{folder}/manifest")

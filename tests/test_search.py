@@ -3,9 +3,11 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,12 @@ def test_batches_of_one_score_go_by_their_best(spark):
     rows = [(1, "a", 1, True, 0, -0.5), (1, "b", 1, True, 0, 0.0)]
     got = retrieval.fuse_batches(spark.createDataFrame(rows, "query_id long, key string, batch_rank int, is_original boolean, iteration int, rerank_score double"), 5).orderBy("rank").collect()
     assert [r["key"] for r in got] == ["b", "a"]
+
+
+def test_row_groups_of_ranges_are_small(spark):
+    """A reader holds a row group of a column at once: it has a few ranges, not all of a task."""
+    tokens = F.sequence(F.col("doc_id"), F.col("doc_id") + index.RANGE_TOKENS).cast("array<string>")
+    built = index.ranges_of(spark.range(8, numPartitions=1).withColumnRenamed("id", "doc_id"), tokens=tokens)
+    files = [pq.ParquetFile(f).metadata for f in Path(built.written_at.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 8 and max(groups) == 1
