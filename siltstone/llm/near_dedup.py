@@ -252,19 +252,22 @@ def bucket_edges(percent: int):
 
 
 def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest and shingles of texts that are members: of a class, one in each task."""
+    """digest, shingles, root and blocks of texts (digest, text, root, blocks) that are members: of a class, one in each
+    task."""
     claim("words")
     seen: set[bytes] = set()
     for batch in batches:
-        digests, sets = [], []
-        for text, digest in zip(each_text(batch.column(1)), batch.column(0).to_pylist()):
-            if digest not in seen:
+        at, sets = [], []
+        digests = batch.column(0).to_pylist()
+        for k, text in enumerate(each_text(batch.column(1))):
+            if digests[k] not in seen:
                 x = shingles(text)
-                if set_digest(x) == digest:
-                    seen.add(digest)
-                    digests.append(digest)
+                if set_digest(x) == digests[k]:
+                    seen.add(digests[k])
+                    at.append(k)
                     sets.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+        own = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 2, 3)]
+        yield pa.RecordBatch.from_arrays([own[0], pa.array(sets, pa.binary()), *own[1:]], names=["digest", "shingles", "root", "blocks"])
 
 
 def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -435,14 +438,13 @@ def confirmed(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     is_large = (F.col("n") > 2 * BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES)
     total = materialise(total.select("root", is_large.alias("large"), F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-roots")
     members = materialise(members.drop("size"), "near-places")
-    wanted = members.select(F.col("digest").alias("_digest"), "low_id", "low_h")
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_MEMBERS else wanted
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("h") == F.col("low_h"))).select("_digest", "text")
-    sets = found.mapInArrow(member_sets, "digest binary, shingles binary")
     # a root has many members: it is not what rows are dealt by
     hot = total.filter("large").select(F.col("root").alias("_root"), "blocks")
-    of = members.select("digest", "root").join(F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot, F.col("root") == F.col("_root"), "left").drop("_root")
-    sets = materialise(sets.join(of, "digest"), "near-sets")
+    wanted = members.join(F.broadcast(hot) if hot.count() <= BROADCAST_MEMBERS else hot, F.col("root") == F.col("_root"), "left").select(F.col("digest").alias("_digest"), "low_id", "low_h", "root", "blocks")
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_MEMBERS else wanted
+    # root and blocks ride with the text, so that sets are not shuffled to find them
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("h") == F.col("low_h"))).select("_digest", "text", "root", "blocks")
+    sets = materialise(found.mapInArrow(member_sets, "digest binary, shingles binary, root binary, blocks int"), "near-sets")
     scratch += [total, members, sets]
     edge = "a binary, b binary"
     small = sets.filter("blocks is null").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "digest", "shingles")
